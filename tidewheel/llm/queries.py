@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe
+from tidewheel.llm import bpe, lines, quality
 from tidewheel.llm.common import documents
 
 
@@ -16,14 +16,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.op3(documents(spark, sf_dir), tokenizer_path())
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {"op3_bpe_codec": op3_bpe_codec}
-    return found
+    return {
+        "op1_quality_rules": lambda spark, sf_dir: quality.op1(documents(spark, sf_dir)),
+        "op3_bpe_codec": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir), tokenizer_path()),
+        "op4_line_dedup": lambda spark, sf_dir: lines.op4(documents(spark, sf_dir)),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality.SQL, "op4_line_dedup": lines.SQL}
