@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, classifier, licences, lines, quality
+from tidewheel.llm import bpe, classifier, leaks, licences, lines, quality
 from tidewheel.llm.common import documents
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_codec": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir), tokenizer_path()),
         "op4_line_dedup": lambda spark, sf_dir: lines.op4(documents(spark, sf_dir)),
         "op6_quality_classifier": lambda spark, sf_dir: classifier.op6(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op9_decontamination": lambda spark, sf_dir: leaks.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
         "op10_license_scan": lambda spark, sf_dir: licences.op10(documents(spark, sf_dir)),
     }
 
