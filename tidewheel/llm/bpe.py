@@ -9,14 +9,12 @@ Tasks memory-map the automaton; words that it lacks are merged exactly, by rank.
 from __future__ import annotations
 
 import gc
-import hashlib
 import heapq
 import json
-import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import map_texts, prepare
+from tidewheel.llm.common import map_texts, prepare, stored
 
 #: The byte-level pre-tokeniser's published pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A letter run, alone or before one of these, splits without the pattern.
+STOPS = frozenset(".,;:!?")
 #: Where a space inside white space stands, the pieces between spaces can't be taken one by one.
 INNER_SPACE = regex.compile(r"\s \s")
 #: Frequent words in the lexicon, at most; and the longest piece (code points) counted for it.
@@ -61,11 +61,13 @@ class Merges:
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.of_byte = np.array([self.byte_id[b] for b in range(256)], np.int64)
-        self.none, self.merged = len(model["merges"]), np.array([new for _, new in self.pair.values()], np.int64)
+        self.of_byte = np.array([self.byte_id[b] for b in range(256)], np.int32)
+        self.none, self.merged = len(model["merges"]), np.array([new for _, new in self.pair.values()], np.int32)
         keys = np.array([a << 20 | b for a, b in self.pair], np.int64)
         self.rank_of = np.argsort(keys)
         self.keys = keys[self.rank_of]
+        self.rank_of = self.rank_of.astype(np.int32)
+        self.of_bytes = np.array([[self.pair.get((self.byte_id[a], self.byte_id[b]), (self.none,))[0] for b in range(256)] for a in range(256)], np.int32)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def encode(self, word: bytes) -> tuple[int, ...]:
@@ -79,16 +81,19 @@ class Merges:
         short = [i for i, x in enumerate(words) if len(x) <= 48]
         out = [() if len(x) <= 48 else self._long([self.byte_id[b] for b in x]) for x in words]
         size = np.array([len(words[i]) for i in short], np.int64)
-        ids = self.of_byte[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-        word = np.repeat(np.arange(len(short)), size)
-        rank = self._ranks(ids, word)
+        raw = np.frombuffer(b"".join(words[i] for i in short), np.uint8)
+        ids = self.of_byte[raw]
+        word = np.repeat(np.arange(len(short), dtype=np.int32), size)
+        rank = np.full(len(ids), self.none, np.int32)
+        if len(ids) > 1:
+            rank[:-1] = np.where(word[1:] == word[:-1], self.of_bytes[raw[:-1], raw[1:]], self.none)
         done_ids, done_words = [], []
         while len(ids):
             start = np.flatnonzero(np.diff(word, prepend=-1))
-            least = np.minimum.reduceat(rank, start)
-            least = np.repeat(least, np.diff(start, append=len(word)))
-            over = least == self.none
-            if over.any():
+            best = np.minimum.reduceat(rank, start)
+            least = np.repeat(best, np.diff(start, append=len(word)))
+            if (best == self.none).any():
+                over = least == self.none
                 done_ids.append(ids[over])
                 done_words.append(word[over])
                 ids, word, rank, least = (x[~over] for x in (ids, word, rank, least))
@@ -109,13 +114,12 @@ class Merges:
                 out[i] = tuple(flat[cut[k] : cut[k + 1]])
         return out
 
-    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        """Rank of the pair that begins at each place, `none` where no merge exists or the word ends."""
-        at = np.arange(len(ids)) if at is None else at
-        rank = np.full(len(at), self.none)
-        inside = np.flatnonzero(at + 1 < len(ids))
-        inside = inside[word[at[inside]] == word[at[inside] + 1]]
-        key = ids[at[inside]] << 20 | ids[at[inside] + 1]
+    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each of some places, `none` where no merge exists or the word ends."""
+        rank = np.full(len(at), self.none, np.int32)
+        after = np.minimum(at + 1, len(ids) - 1)
+        inside = np.flatnonzero((word[at] == word[after]) & (after > at))
+        key = ids[at[inside]].astype(np.int64) << 20 | ids[after[inside]]
         j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[j] == key
         rank[inside[hit]] = self.rank_of[j[hit]]
@@ -185,13 +189,13 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
     by = np.argsort(np.array(keys, np.int64), kind="stable")
     ids = [words[w] for w in order]
     arrays = [
-        np.array([len(states) - 1, len(by), len(states), len(order), sum(map(len, ids)), max(map(len, order), default=0)], np.int64),
-        np.array(keys, np.int64)[by],
-        np.array(targets, np.int64)[by],
-        np.array(outs, np.int64)[by],
-        np.array([f for f, _ in states], np.int64),
-        np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64),
-        np.fromiter(chain.from_iterable(ids), np.int64),
+        np.array([len(states) - 1, len(by), len(states), len(order), sum(map(len, ids)), max(map(len, order), default=0)], np.int32),
+        np.array(keys, np.int32)[by],
+        np.array(targets, np.int32)[by],
+        np.array(outs, np.int32)[by],
+        np.array([f for f, _ in states], np.int32),
+        np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32),
+        np.fromiter(chain.from_iterable(ids), np.int32),
     ]
     return b"".join(a.tobytes() for a in arrays)
 
@@ -200,7 +204,7 @@ class Lexicon:
     """The compiled transducer, memory-mapped from a file."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int64, "r")
+        data = np.memmap(path, np.int32, "r")
         self.root, arcs, states, words, ids, self.longest = map(int, data[:6])
         cuts = np.cumsum([6, arcs, arcs, arcs, states, words + 1, ids])
         self.keys, self.targets, self.outs, self.final, self.offset, self.ids = (data[a:b] for a, b in pairwise(cuts))
@@ -210,14 +214,14 @@ class Lexicon:
         if not words or not len(self.keys):
             return [None] * len(words)
         size = np.array([len(w) for w in words])
-        state, total = np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        state, total = np.full(len(words), self.root, np.int32), np.zeros(len(words), np.int32)
         alive = np.flatnonzero((size > 0) & (size <= self.longest))
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         raw = np.frombuffer(b"".join(words), np.uint8)
         found = np.full(len(words), -1)
         at = 0
         while len(alive):
-            key = state[alive] << 8 | raw[begin[alive] + at]
+            key = state[alive] << 8 | raw[begin[alive] + at].astype(np.int32)
             j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[j] == key
             alive, j = alive[ok], j[ok]
@@ -237,15 +241,11 @@ _local: dict[str, object] = {}
 
 
 def _mapped(lexicon: bytes) -> Lexicon:
-    """The lexicon as a file of this machine, written once, then mapped by every worker."""
-    name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:24]}"
-    path = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(path) or os.path.getsize(path) != len(lexicon):
-        os.makedirs(tempfile.gettempdir(), exist_ok=True)
-        with open(own := f"{path}.{os.getpid()}", "wb") as f:
-            f.write(lexicon)
-        os.replace(own, path)
-    return Lexicon(path)
+    """The lexicon mapped from a file of this machine, whose name goes at once, so that nothing stays behind."""
+    with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:
+        f.write(lexicon)
+        f.flush()
+        return Lexicon(f.name)
 
 
 class Codec:
@@ -269,7 +269,10 @@ class Codec:
 
     def _learn(self, memo: dict, pieces: list[str], lead: str) -> None:
         """Put the ids of `lead` + piece into a memo; their pre-tokens don't depend on what stands around."""
-        tokens = [[(lead + p).encode()] if p.isalpha() else [t.encode() for t in PATTERN.findall(lead + p)] for p in pieces]
+        tokens = [
+            [(lead + p).encode()] if p.isalpha() else [(lead + p[:-1]).encode(), p[-1:].encode()] if p[-1:] in STOPS and p[:-1].isalpha() else [t.encode() for t in PATTERN.findall(lead + p)]
+            for p in pieces
+        ]
         distinct = list(dict.fromkeys(chain.from_iterable(tokens)))
         known = self.lexicon.find(distinct) if self.lexicon else [None] * len(distinct)
         unseen = iter(self.merges.encode_many([w for w, x in zip(distinct, known, strict=True) if x is None]))
@@ -279,11 +282,11 @@ class Codec:
     def _ids(self, memo: dict, pieces: list[str], lead: str) -> list[tuple[int, ...]]:
         found = list(map(memo.get, pieces))
         if missing := dict.fromkeys(p for p, x in zip(pieces, found, strict=True) if x is None):
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = dict.fromkeys(pieces)
             self._learn(memo, list(missing), lead)
             found = [memo[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+            if len(memo) > MEMO:  # the newest go; what is frequent was learnt early
+                for p in list(islice(reversed(memo), MEMO // 2)):
+                    del memo[p]
         return found
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
@@ -321,7 +324,10 @@ class Codec:
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
-    """The `most` most frequent pieces between spaces over all whole texts, with counts; ties by byte order."""
+    """The pieces between spaces that make up over 2**-20 of all whole texts' pieces, with counts: the `most` most frequent, ties by byte order.
+
+    At most 2**20 pieces can have that share, which bounds what is sorted.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(n: Counter) -> pa.RecordBatch:
@@ -338,8 +344,14 @@ def frequent_pieces(docs: DataFrame, text: str = "text", most: int = LEXICON_WOR
                 n = Counter()
         yield out(n)
 
-    counted = docs.select(text).mapInArrow(count, "piece string, n long")
-    return counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    counted = stored(docs.select(text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where(F.col("n") > total >> 20).orderBy(F.desc("n"), "piece").limit(most)
+
+
+def _lists(rows: list[list[int]]) -> pa.Array:
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(cut[-1]))))
 
 
 class BytePairCoder:
@@ -376,7 +388,7 @@ class BytePairCoder:
         All other columns and repeated rows stay; a column named as `out` is replaced.
         """
         sent = self._broadcast(docs)
-        return map_texts(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [Codec.local(*sent.value).encode_batch(texts)])
+        return map_texts(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [_lists(Codec.local(*sent.value).encode_batch(texts))])
 
     def decode(self, docs: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Add `out`, the text that the ids stand for; null gives an empty text, broken UTF-8 U+FFFD."""
@@ -386,7 +398,13 @@ class BytePairCoder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = Codec.local(*sent.value).decode_batch(b.column(ids).to_pylist())
+                column = b.column(ids)
+                if column.null_count:
+                    rows = column.to_pylist()
+                else:
+                    flat = column.values.to_numpy().tolist()
+                    rows = [flat[a:z] for a, z in pairwise(column.offsets.to_pylist())]
+                texts = Codec.local(*sent.value).decode_batch(rows)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
         return docs.mapInArrow(run, schema)

@@ -82,7 +82,7 @@ def map_texts(df: DataFrame, text: str, added: list[T.StructField], columns: Cal
             for a, b in groups(texts):
                 made = columns(texts[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(out.field(c).type) for c in kept), *(pa.array(x, t) for x, t in zip(made, types, strict=True))], schema=out)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(out.field(c).type) for c in kept), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True))], schema=out)
 
     return base.mapInArrow(run, schema)
 
