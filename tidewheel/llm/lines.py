@@ -140,8 +140,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = stored(docs.mapInArrow(suspects, f"doc_id {kind}, key_hash long, key string"), "suspects")
-    repeated = held.groupBy("key_hash", "key").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= least)
-    return held.join(repeated, ["key_hash", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "key_hash").distinct()
+    repeated = held.groupBy("key_hash", "key").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= least).select("key_hash", "key", "last")
+    repeated = stored(repeated, "repeated")  # so that both sides of the join are dealt out anew, and a hot line can be split
+    return held.join(repeated, ["key_hash", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "key_hash")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chars: int = 20, least: int = 3) -> DataFrame:
@@ -152,7 +153,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cha
     """
     clash = {"n_lines", "n_dropped", "__drop"}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in clash))
-    lost = repeated_lines(docs, text, doc_id, chars, least).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("key_hash").alias("__drop"))
+    lost = repeated_lines(docs, text, doc_id, chars, least).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key_hash").alias("__drop"))
     both = docs.join(lost, docs[doc_id].eqNullSafe(lost["__id"]), "left").drop("__id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = schema.names
