@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, classifier, leaks, licences, lines, private, quality
+from tidewheel.llm import bpe, classifier, leaks, licences, lines, private, quality, scoring
 from tidewheel.llm.common import documents
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": lambda spark, sf_dir: quality.op1(documents(spark, sf_dir)),
         "op3_bpe_codec": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir), tokenizer_path()),
         "op4_line_dedup": lambda spark, sf_dir: lines.op4(documents(spark, sf_dir)),
+        "op5_lm_score": lambda spark, sf_dir: scoring.op5(documents(spark, sf_dir)),
         "op6_quality_classifier": lambda spark, sf_dir: classifier.op6(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op8_private_data": lambda spark, sf_dir: private.op8(documents(spark, sf_dir)),
         "op9_decontamination": lambda spark, sf_dir: leaks.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
