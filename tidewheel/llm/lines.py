@@ -7,7 +7,7 @@ those shuffle with their text, to be counted exactly and to find the copy that s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import mix
-from tidewheel.llm.common import UPPER, prepare, stored
+from tidewheel.llm.common import UPPER, groups, prepare, stored
 
 SHARDS, PROBES = 64, 4
 #: Bits of a filter, by the amount of text; the largest is 64 MB, and beyond it more lines are confirmed exactly.
@@ -63,14 +63,17 @@ class Filter:
         return hit
 
 
-def repeat_filter(docs: DataFrame, text: str, chars: int) -> Filter:
-    """The filter of keys seen twice or more, over all whole texts."""
-    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
+def filter_of(texts: DataFrame, keys: Callable[[list], np.ndarray], size: int) -> Filter:
+    """The filter of hashes seen twice or more, over all rows of a column of texts.
+
+    `keys(texts)` gives the hashes of a batch, each once per text; `size` (characters in
+    all) sets the number of bits.
+    """
     total = min(MOST_BITS, max(LEAST_BITS, 1 << (size // 4).bit_length()))
     bits = total // SHARDS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes by shard, twice where two texts of this task hold the key; never more often."""
+        """Hashes by shard, twice where two texts of this task hold one; never more often."""
 
         def out(h: np.ndarray) -> pa.RecordBatch:
             values, n = np.unique(h, return_counts=True)
@@ -83,10 +86,10 @@ def repeat_filter(docs: DataFrame, text: str, chars: int) -> Filter:
 
         parts, n = [], 0
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                keys = text_keys(x, chars)
-                parts.append(hashes(list(keys)))
-                n += len(keys)
+            own = batch.column(0).to_pylist()
+            for a, b in groups(own):
+                parts.append(keys(own[a:b]))
+                n += len(parts[-1])
             if n > 2_000_000:
                 yield out(np.concatenate(parts))
                 parts, n = [], 0
@@ -110,13 +113,19 @@ def repeat_filter(docs: DataFrame, text: str, chars: int) -> Filter:
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
 
-    sent = docs.select(text).mapInArrow(emit, "shard int, hashes binary").repartition("shard")
+    sent = texts.mapInArrow(emit, "shard int, hashes binary").repartition("shard")
     data = np.zeros(total // 8, np.uint8)
     for r in sent.mapInArrow(build, "shard int, bits binary").toLocalIterator():
         data[r.shard * bits // 8 : (r.shard + 1) * bits // 8] = np.frombuffer(r.bits, np.uint8)
     return Filter(data, bits)
 
 
+def repeat_filter(docs: DataFrame, text: str, chars: int) -> Filter:
+    """The filter of line keys that two texts or more hold."""
+    keys = lambda texts: hashes([k for x in texts for k in text_keys(x, chars)])
+    return filter_of(docs.select(text), keys, docs.agg(F.sum(F.length(text))).first()[0] or 0)
+
+
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chars: int = 20, least: int = 3) -> DataFrame:
     """Keys of at least `chars` code points held by at least `least` documents: (doc_id, key_hash) of the documents that lose them.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, classifier, leaks, licences, lines, private, quality, scoring
+from tidewheel.llm import bpe, classifier, jaccard, leaks, licences, lines, private, quality, scoring
 from tidewheel.llm.common import documents
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": lambda spark, sf_dir: lines.op4(documents(spark, sf_dir)),
         "op5_lm_score": lambda spark, sf_dir: scoring.op5(documents(spark, sf_dir)),
         "op6_quality_classifier": lambda spark, sf_dir: classifier.op6(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op7_jaccard_join": lambda spark, sf_dir: jaccard.op7(documents(spark, sf_dir)),
         "op8_private_data": lambda spark, sf_dir: private.op8(documents(spark, sf_dir)),
         "op9_decontamination": lambda spark, sf_dir: leaks.op9(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
         "op10_license_scan": lambda spark, sf_dir: licences.op10(documents(spark, sf_dir)),
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op4_line_dedup": lines.SQL}
+    return {"op1_quality_rules": quality.SQL, "op4_line_dedup": lines.SQL, "op7_jaccard_join": jaccard.SQL}
