@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, classifier, jaccard, leaks, licences, lines, private, quality, scoring
+from tidewheel.llm import bpe, classifier, jaccard, leaks, licences, lines, private, quality, repeats, scoring
 from tidewheel.llm.common import documents
 
 
@@ -19,6 +19,7 @@ def tokenizer_path() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": lambda spark, sf_dir: quality.op1(documents(spark, sf_dir)),
+        "op2_suffix_dedup": lambda spark, sf_dir: repeats.op2(documents(spark, sf_dir)),
         "op3_bpe_codec": lambda spark, sf_dir: bpe.op3(documents(spark, sf_dir), tokenizer_path()),
         "op4_line_dedup": lambda spark, sf_dir: lines.op4(documents(spark, sf_dir)),
         "op5_lm_score": lambda spark, sf_dir: scoring.op5(documents(spark, sf_dir)),
