@@ -150,7 +150,19 @@ def score(rows: DataFrame, model: Discriminant, features: str = "features", out:
     return rows.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", train: Column | None = None) -> DataFrame:
+def statistics_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, features and held_out of each row, written and read again."""
+    test = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return stored(with_statistics(docs.select("doc_id", F.col(text).alias("text"))).drop("text").withColumn("held_out", test), "statistics")
+
+
+def learnt(rows: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model of the labelled rows that aren't held out."""
+    known = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("label"))
+    return fit(rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("__id")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out and score of each row of `docs`, from `labels` (doc_id, quality).
 
     Rows with crc32(doc_id) mod 3 = 1 are held out and never learnt from. A doc_id labelled
@@ -158,10 +170,16 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", train: Colu
     false for it). Null and empty texts get the score of a text without words. Without
     labels of both classes, the score is the share of label 1, or 0.5 without any.
     """
-    rows = stored(with_statistics(docs.select("doc_id", "text")).drop("text").withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))), "statistics")
-    known = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("label"))
-    learn = rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("__id"))
-    return score(rows, fit(learn))
+    rows = statistics_of(docs, text)
+    return score(rows, learnt(rows, labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` with a score of at least `least`, all columns as they are; the model is as in `classify`."""
+    prepare(docs.sparkSession)
+    model = learnt(statistics_of(docs, text), labels)
+    scored = map_texts(docs, text, [T.StructField("__score", T.DoubleType())], lambda texts: [model.score(statistics(texts))])
+    return scored.where(F.col("__score") >= least).select(*docs.columns)
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
