@@ -77,7 +77,8 @@ def lexical_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         out = out if len(out) == len(names) else []
         return pd.DataFrame({"dag_id": [key[0]] * len(out), "id": out, "position": range(1, len(out) + 1)})
 
-    return nodes.select("dag_id", "id").groupBy("dag_id").cogroup(edges.select("dag_id", "id", "parent").groupBy("dag_id")).applyInPandas(order, "dag_id string, id string, position long")
+    left, right = nodes.select(F.col("dag_id").alias("own"), "id"), edges.select(F.col("dag_id").alias("dag"), "id", "parent")
+    return left.groupBy("own").cogroup(right.groupBy("dag")).applyInPandas(order, "dag_id string, id string, position long")
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
