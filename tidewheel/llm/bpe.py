@@ -8,6 +8,8 @@ Tasks memory-map the automaton; words that it lacks are merged exactly, by rank.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import heapq
 import json
@@ -33,8 +35,8 @@ STOPS = frozenset(".,;:!?")
 INNER_SPACE = regex.compile(r"\s \s")
 #: Frequent words in the lexicon, at most; and the longest piece (code points) counted for it.
 LEXICON_WORDS, LEXICON_LENGTH = 65_536, 64
-#: Entries of a task's memo of pieces, emptied when full.
-MEMO = 400_000
+#: Entries of a memo of pieces within a task, and of what a worker keeps of it for the next one.
+MEMO, KEPT = 200_000, 50_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -256,7 +258,6 @@ class Codec:
         self.lexicon = _mapped(lexicon) if lexicon else None
         self.bare: dict[str, tuple[int, ...]] = {}  # pieces as they stand
         self.led: dict[str, tuple[int, ...]] = {}  # pieces with a space before them
-        gc.freeze()  # memos hold many small tuples, which the collector needn't visit
         gc.set_threshold(200_000, 50, 1000)
         self.bytes = [self.merges.bytes.get(i, b"") for i in range(max(self.merges.bytes) + 1)]
 
@@ -318,6 +319,15 @@ class Codec:
             out.append(ids)
         return out
 
+    def trim(self) -> None:
+        """Keep the pieces learnt first, which are frequent ones, and give the rest of the memory back."""
+        self.bare, self.led = (dict(islice(m.items(), KEPT)) for m in (self.bare, self.led))
+        gc.collect()
+        if libc := ctypes.util.find_library("c"):
+            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
+            if trim:
+                trim(0)
+
     def decode_batch(self, ids: list[list[int] | None]) -> list[str]:
         get = self.bytes.__getitem__
         return [b"".join(map(get, x or ())).decode("utf-8", "replace") for x in ids]
@@ -388,7 +398,7 @@ class BytePairCoder:
         All other columns and repeated rows stay; a column named as `out` is replaced.
         """
         sent = self._broadcast(docs)
-        return map_texts(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [_lists(Codec.local(*sent.value).encode_batch(texts))])
+        return map_texts(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [_lists(Codec.local(*sent.value).encode_batch(texts))], finish=lambda: Codec.local(*sent.value).trim())
 
     def decode(self, docs: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Add `out`, the text that the ids stand for; null gives an empty text, broken UTF-8 U+FFFD."""

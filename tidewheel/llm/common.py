@@ -50,7 +50,7 @@ def with_fields(schema: T.StructType, *added: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in schema.fields if f.name.lower() not in names), *added])
 
 
-def groups(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters in all; a longer text stands alone, whole."""
     start = size = 0
     for i, x in enumerate(texts):
@@ -63,10 +63,11 @@ def groups(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, text: str, added: list[T.StructField], columns: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, text: str, added: list[T.StructField], columns: Callable[[list], list], keep: list[str] | None = None, finish: Callable[[], None] | None = None) -> DataFrame:
     """Add columns made from the texts: `columns(texts)` gives one list or array per added field.
 
     Keeps the other columns (or those in `keep`), except those an added one replaces.
+    `finish` is called at the end of a task, to give memory back.
     """
     base = df if keep is None else df.select(*{c: None for c in [*keep, text]})
     schema = with_fields(base.schema if keep is None else base.select(*keep).schema, *added)
@@ -83,6 +84,8 @@ def map_texts(df: DataFrame, text: str, added: list[T.StructField], columns: Cal
                 made = columns(texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).cast(out.field(c).type) for c in kept), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True))], schema=out)
+        if finish:
+            finish()
 
     return base.mapInArrow(run, schema)
 
