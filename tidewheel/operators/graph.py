@@ -75,7 +75,7 @@ def lexical_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 if not parents[m]:
                     heapq.heappush(ready, m)
         out = out if len(out) == len(names) else []
-        return pd.DataFrame({"dag_id": [key[0]] * len(out), "id": out, "position": range(1, len(out) + 1)})
+        return pd.DataFrame({"dag_id": pd.Series([key[0]] * len(out), dtype=object), "id": pd.Series(out, dtype=object), "position": pd.Series(range(1, len(out) + 1), dtype="int64")})
 
     left, right = nodes.select(F.col("dag_id").alias("own"), "id"), edges.select(F.col("dag_id").alias("dag"), "id", "parent")
     return left.groupBy("own").cogroup(right.groupBy("dag")).applyInPandas(order, "dag_id string, id string, position long")

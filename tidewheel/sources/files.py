@@ -12,8 +12,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     raw = spark.read.text(path).where(F.trim("value") != "")
     names = F.array(*(F.lit(n) for n in schema.names))
     keys = F.json_object_keys("value")
-    good = raw.withColumn("row", F.from_json("value", schema, {"mode": "FAILFAST"})).withColumn("extra", F.array_except(keys, names))
-    checked = good.withColumn("row", F.when(keys.isNull() | (F.size("extra") > 0), F.raise_error(F.concat(F.lit("unexpected line: "), F.substring("value", 1, 200))).cast(schema)).otherwise(F.col("row")))
+    listed = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), T.ArrayType(schema), {"mode": "FAILFAST"})  # two values on a line aren't a list of one
+    good = raw.withColumn("rows", listed).withColumn("row", F.element_at("rows", 1)).withColumn("extra", F.array_except(keys, names))
+    checked = good.withColumn("row", F.when(keys.isNull() | (F.size("rows") != 1) | (F.size("extra") > 0), F.raise_error(F.concat(F.lit("unexpected line: "), F.substring("value", 1, 200))).cast(schema)).otherwise(F.col("row")))
     return checked.select("row.*")
 
 
