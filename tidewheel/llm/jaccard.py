@@ -24,6 +24,8 @@ from tidewheel.llm.lines import Filter, filter_of
 
 #: Words of a shingle and least similarity in percent; blocks of columns of one product.
 WORDS, PERCENT, BLOCKS = 5, 80, 4
+#: Rows of a block where components are compared.
+BLOCK = 64
 
 
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +112,57 @@ def products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def block_products(couples: DataFrame, member: DataFrame, sizes: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from rows of each component `root` to the component `other` it is coupled with, one at most per row and block.
+
+    Rows that meet one component stand in blocks of about BLOCK rows, and so do its own
+    rows; a task multiplies two blocks. So no pair of rows is ever a row of a table.
+    """
+    cells = F.struct("c", "n", "tokens")
+    rows = matrix.select("c", "n", "tokens")
+    asking = couples.join(member.select("root", "c"), "root").select(F.col("other").alias("root"), "c").distinct()
+    counts = stored(asking.groupBy("root").agg(F.count("*").alias("asks")), "asks")
+    parts = lambda n: F.call_function("div", n + BLOCK - 1, F.lit(BLOCK))
+    place = lambda n: F.pmod(F.xxhash64("c"), parts(F.col(n)))
+    left = asking.join(counts, "root").withColumn("lb", place("asks")).join(rows, "c").groupBy("root", "lb").agg(F.collect_list(cells).alias("left"))
+    right = member.select("root", "c").join(counts, "root", "left_semi").join(sizes, "root").withColumn("rb", place("size")).join(rows, "c").groupBy("root", "rb").agg(F.collect_list(cells).alias("right"))
+    both = stored(left, "left").join(stored(right, "right"), "root").select("left", "right")
+
+    def side(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        for block in column:
+            own = block.values
+            tokens = own.field("tokens")
+            out.append((own.field("c").to_numpy(), own.field("n").to_numpy(), np.repeat(np.arange(len(own)), np.diff(tokens.offsets.to_numpy())), tokens.flatten().to_numpy()))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for (ca, na, pa_, ta), (cb, nb, pb, tb) in zip(side(batch.column("left")), side(batch.column("right")), strict=True):
+                fits = percent * np.maximum.outer(na, nb) <= 100 * np.minimum.outer(na, nb)
+                overlap = np.zeros((len(na), len(nb)), np.float32)
+                shared = np.intersect1d(ta, tb)
+                for columns in np.array_split(shared, -(-len(shared) // 4096)) if len(shared) else ():
+                    dense = []
+                    for p, t, n in ((pa_, ta, len(na)), (pb, tb, len(nb))):
+                        j = np.minimum(np.searchsorted(columns, t), len(columns) - 1)
+                        hit = columns[j] == t
+                        x = np.zeros((n, len(columns)), np.float32)
+                        x[p[hit], j[hit]] = 1
+                        dense.append(x)
+                    overlap += dense[0] @ dense[1].T
+                o = overlap.astype(np.int64)
+                good = fits & (100 * o >= percent * (np.add.outer(na, nb) - o))
+                found = np.flatnonzero(good.any(axis=1))
+                a += ca[found].tolist()
+                b += cb[good[found].argmax(axis=1)].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, roots): rows of `sets`; classes of equal sets (s1, s2, n, c, low); (node, root) for classes that links join."""
     prepare(docs.sparkSession)
@@ -133,16 +186,15 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     pairs = stored(first.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct(), "pairs")
     links = stored(products(pairs, matrix, percent), "links")
     joined = components(links)
-    # what the leaders left apart: components that share a rare column, row by row, whatever their number
+    # what the leaders left apart: rows of the smaller component against the whole of the other, where both share a rare column
     member = stored(matrix.select("c", "n").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root")), "members")
     bins = stored(rare.select("token", "c").join(member.select("c", "root"), "c").groupBy("token", "root").agg(F.count("*").alias("k")), "bins")
     apart = bins.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
-    some = stored(bins.join(apart, "token", "left_semi").select("token", "root"), "apart")
-    couples = some.join(some.withColumnRenamed("root", "other"), "token").where("root < other").select("root", "other").distinct()
-    mine, other = member.select("root", F.col("c").alias("a"), F.col("n").alias("na")), member.select(F.col("root").alias("other"), F.col("c").alias("b"), F.col("n").alias("nb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    later = couples.join(mine, "root").join(other, "other").where(fits).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = stored(products(later, matrix, percent), "links")
+    sizes = stored(member.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    some = stored(bins.join(apart, "token", "left_semi").join(sizes, "root").select("token", "root", "size"), "apart")
+    order = F.struct("size", "root") < F.struct("osize", "other")
+    couples = some.join(some.select("token", F.col("root").alias("other"), F.col("size").alias("osize")), "token").where(order).select("root", "other").distinct()
+    more = stored(block_products(stored(couples, "couples"), member, sizes, matrix, percent), "links")
     roots = components(links.unionByName(more))
     return rows, classes, roots
 

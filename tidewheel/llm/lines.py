@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tidewheel.llm.blocks import mix
 from tidewheel.llm.common import UPPER, groups, prepare, stored
 
-SHARDS, PROBES = 64, 4
+SHARDS, PROBES = 1024, 4
 #: Bits of a filter, by the amount of text; the largest is 64 MB, and beyond it more lines are confirmed exactly.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 STRIP = b" \t\n\v\f\r"
@@ -42,8 +42,14 @@ def hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def probes(h: np.ndarray, bits: int) -> np.ndarray:
+def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each hash, and the 32 bits by which the shard tells hashes apart; what collides is merely suspected."""
+    return (h % np.uint64(SHARDS)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+
+
+def probes(low: np.ndarray, bits: int) -> np.ndarray:
     """Places of each hash in a shard's filter: PROBES rows."""
+    h = mix(low.astype(np.uint64) + np.uint64(1))
     step = mix(h) | np.uint64(1)
     return np.stack([((h + np.uint64(j) * step) >> np.uint64(17)) % np.uint64(bits) for j in range(PROBES)]).astype(np.int64)
 
@@ -55,10 +61,10 @@ class Filter:
         self.data, self.bits = data, bits
 
     def test(self, h: np.ndarray) -> np.ndarray:
-        base = (h % np.uint64(SHARDS)).astype(np.int64) * self.bits
+        shard, low = places(h)
         hit = np.ones(len(h), bool)
-        for p in probes(h, self.bits):
-            at = base + p
+        for p in probes(low, self.bits):
+            at = shard * self.bits + p
             hit &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return hit
 
@@ -76,12 +82,15 @@ def filter_of(texts: DataFrame, keys: Callable[[list], np.ndarray], size: int) -
         """Hashes by shard, twice where two texts of this task hold one; never more often."""
 
         def out(h: np.ndarray) -> pa.RecordBatch:
-            values, n = np.unique(h, return_counts=True)
-            values = np.repeat(values, np.minimum(n, 2))
-            shard = (values % np.uint64(SHARDS)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(SHARDS + 1))
-            rows = [(s, values[by[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+            shard, low = places(h)
+            own = shard << 32 | low
+            own.sort()
+            third = np.zeros(len(own), bool)
+            third[2:] = own[2:] == own[:-2]
+            own = own[~third]
+            cut = np.searchsorted(own, np.arange(SHARDS + 1) << 32)
+            low = own.astype(np.uint32)
+            rows = [(s, low[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["shard", "hashes"])
 
         parts, n = [], 0
@@ -104,7 +113,7 @@ def filter_of(texts: DataFrame, keys: Callable[[list], np.ndarray], size: int) -
             for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a = once.setdefault(shard, np.zeros(bits, bool))
                 b = twice.setdefault(shard, np.zeros(bits, bool))
-                h, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+                h, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
                 at = probes(h, bits)
                 seen = a[at].all(axis=0) | (n > 1)
                 b[at[:, seen].ravel()] = True
@@ -115,7 +124,7 @@ def filter_of(texts: DataFrame, keys: Callable[[list], np.ndarray], size: int) -
 
     sent = texts.mapInArrow(emit, "shard int, hashes binary").repartition("shard")
     data = np.zeros(total // 8, np.uint8)
-    for r in sent.mapInArrow(build, "shard int, bits binary").toLocalIterator():
+    for r in sent.mapInArrow(build, "shard int, bits binary").collect():  # at most MOST_BITS in all
         data[r.shard * bits // 8 : (r.shard + 1) * bits // 8] = np.frombuffer(r.bits, np.uint8)
     return Filter(data, bits)
 
