@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/tidewheel-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -193,7 +193,7 @@ def repeat_spans(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(uid, begin, end): stretches of bytes under windows that repeat; they may overlap. `docs` has uid and text."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     suspected = filter_of(docs.select("text"), lambda texts: anchors(texts)[-1], size)
-    found = stored(contexts(docs, suspected), "contexts")
+    found = stored(contexts(docs, suspected), "contexts", codec="zstd")
     hot = stored(found.groupBy("key").count().where(F.col("count") > together).select("key"), "hot")
     near = found.join(hot, "key", "left_anti") if hot.limit(1).count() else found
     spans = near.select("uid", "key", "place", "low", "high", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_together, SPAN_SCHEMA)
