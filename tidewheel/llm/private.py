@@ -146,6 +146,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
         known = edges.join(belief, "value", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
         scored = known.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("belief").alias("s"), F.count_if(F.col("belief") >= BELIEF).alias("k"))
         trusted = scored.where((F.col("k") >= support) & (F.col("s") >= confidence * F.col("n"))).select("pattern", (F.col("s") / (F.col("n") + 0.5)).alias("c"))
+        trusted = stored(trusted, "trusted")  # so that a hot pattern's join can be split
         doubt = edges.join(trusted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("belief"))
         belief = stored(doubt.join(seeds.select("value"), "value", "left_anti").unionByName(seeds), "belief")
     return belief
