@@ -13,9 +13,9 @@ READY = ("job_admitted", "job_promoted", "dependency_released", "lease_reaped",
 def timing_events(events: DataFrame, jobs: DataFrame, attempts: DataFrame, completions: DataFrame, after: int = 0, limit: int | None = None) -> DataFrame:
     """TS12: per event the four latencies in ns, null where they don't apply.
 
-    All windows and joins are by job, so one shuffle of the events serves JN11 (the latest
-    ready time strictly before, by one running maximum), JN10 and JN13 (the loss of the
-    previous attempt) and the joins with jobs and completions.
+    All windows and joins are by job alone, so each table is shuffled once: JN11 (the latest
+    ready time strictly before) is one running maximum, a job's attempts (JN12, at most 100)
+    and their predecessors (JN13) come as an array, and JN10 and JN14 look up in sets.
     """
     by_job = Window.partitionBy("job_id").orderBy("event_seq")
     before = by_job.rowsBetween(Window.unboundedPreceding, -1)
@@ -25,10 +25,13 @@ def timing_events(events: DataFrame, jobs: DataFrame, attempts: DataFrame, compl
     own = own.withColumn("ready_at", ready).withColumn("losses", F.collect_set(loss).over(Window.partitionBy("job_id")))
     chain = Window.partitionBy("job_id").orderBy("attempt_no")
     lag = lambda c: F.lag(c).over(chain)
-    leases = attempts.select("job_id", "attempt_no", "leased_at", "completed_at", F.when((lag("state") == "EXPIRED") & (lag("attempt_no") == F.col("attempt_no") - 1), F.struct(lag("attempt_no").alias("attempt_no"), lag("completed_at").alias("occurred_at"))).alias("lost"))
+    lost = F.when((lag("state") == "EXPIRED") & (lag("attempt_no") == F.col("attempt_no") - 1), F.struct(lag("attempt_no").alias("attempt_no"), lag("completed_at").alias("occurred_at")))
+    leases = attempts.select("job_id", "attempt_no", "leased_at", "completed_at", lost.alias("lost")).groupBy("job_id").agg(F.collect_list(F.struct("attempt_no", "leased_at", "completed_at", "lost")).alias("leases"))
     born = jobs.select(F.col("id").alias("job_id"), "created_at")
-    ended = completions.select("job_id", F.col("committed_at").alias("occurred_at"), F.lit(True).alias("ended"))
-    full = own.join(born, "job_id").join(leases, ["job_id", "attempt_no"], "left").join(ended, ["job_id", "occurred_at"], "left")
+    ended = completions.groupBy("job_id").agg(F.collect_set("committed_at").alias("commits"))
+    own_lease = F.try_element_at(F.filter("leases", lambda x: x["attempt_no"] == F.col("attempt_no")), F.lit(1))
+    full = own.join(born, "job_id").join(leases, "job_id", "left").join(ended, "job_id", "left")
+    full = full.withColumn("lease", own_lease).select("*", "lease.leased_at", "lease.completed_at", "lease.lost", F.array_contains("commits", F.col("occurred_at")).alias("ended"))
     kind, lease = F.col("event_type"), F.col("event_type") == "lease_acquired"
     lost_at = F.when(F.array_contains("losses", F.col("lost")), F.col("lost.occurred_at"))
     out = full.where(F.col("event_seq") > after).select(
