@@ -14,6 +14,14 @@ def total(condition: Column, value: Column | int = 1) -> Column:
     return F.coalesce(F.sum(F.when(condition, value).otherwise(0)), F.lit(0)).cast("long")
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Columns of several one-row results in one row."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*(F.max(c).alias(c) for c in out.columns))
+
+
 def job(jobs: DataFrame, job_id: str) -> DataFrame:
     """SRC1."""
     return jobs.where(F.col("id") == job_id)
@@ -24,7 +32,7 @@ def state_snapshot(jobs: DataFrame, events: DataFrame, dead_letters: DataFrame)
     last = events.agg(F.coalesce(F.max("event_seq"), F.lit(0)).alias("sequence"))
     dlq = dead_letters.where(F.col("redriven_job_id").isNull()).agg(F.count("*").alias("dlq"))
     counts = jobs.agg(*(total(F.col("state") == s).alias(s.lower()) for s in ("PENDING", "SCHEDULED", "RUNNING", "RETRYING")))
-    return last.crossJoin(counts).crossJoin(dlq)  # one row each
+    return one_row(last, counts, dlq)
 
 
 def queue_depth(queues: DataFrame, tenants: DataFrame, jobs: DataFrame, tenant: str | None, now_ns: int) -> DataFrame:
@@ -197,4 +205,4 @@ def dashboard_totals(depths: DataFrame, workers: DataFrame) -> DataFrame:
     """AG24: totals over queues and workers."""
     q = depths.agg(total(F.lit(True), F.col("active")).alias("depth"), total(F.lit(True), F.col("running")).alias("running"))
     w = workers.agg(F.count_if(F.col("status") == "healthy").alias("healthy"), F.count("*").alias("workers"))
-    return q.crossJoin(w)  # one row each
+    return one_row(q, w)

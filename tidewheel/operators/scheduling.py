@@ -111,9 +111,8 @@ def snapshots(candidates: DataFrame, queues: DataFrame, now_ns: int, slots: int,
 def unit_cost_order(candidates: DataFrame, cursor: int, take: int) -> DataFrame:
     """SCH2 where all costs are 1 and no deficit is left over, in closed form: by round, then turn, then rank."""
     w = Window.orderBy("tenant_id", "queue_name")
-    queues = candidates.select("tenant_id", "queue_name").distinct().withColumn("qi", F.row_number().over(w) - 1)  # a row per queue
-    n = queues.agg(F.count("*").alias("nq"))
-    both = candidates.join(queues, ["tenant_id", "queue_name"]).crossJoin(n)  # one row
+    queues = candidates.select("tenant_id", "queue_name").distinct().withColumn("qi", F.row_number().over(w) - 1).withColumn("nq", F.count("*").over(Window.partitionBy()))  # a row per queue
+    both = candidates.join(queues, ["tenant_id", "queue_name"])
     round_ = F.ceil(F.col("rank") / F.greatest("weight", F.lit(1)))
     turn = F.pmod(F.col("qi") - cursor, F.col("nq"))
     return both.select("id", "tenant_id", "queue_name", round_.alias("round"), turn.cast("long").alias("turn"), "rank").orderBy("round", "turn", "rank").limit(take)

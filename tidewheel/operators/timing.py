@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.ledger import TERMINAL, attempt_of, duration_between
+from tidewheel.operators.reads import one_row
 
 READY = ("job_admitted", "job_promoted", "dependency_released", "lease_reaped", "operator_release")
 
@@ -64,7 +65,7 @@ def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     own = df.where(F.col(value).isNotNull())
     basic = own.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")).where(F.col("min") >= 0)
     ranks = nearest_rank(own, value, [50, 95, 99], by)
-    return basic.join(ranks, by) if by else basic.crossJoin(ranks)
+    return basic.join(ranks, by) if by else one_row(basic, ranks).where("n > 0")
 
 
 def long_latencies(timing: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ TIMING_SQL = """SELECT e.event_seq, e.event_type, e.state,
     CASE WHEN e.event_type = 'lease_acquired' AND l.job_id IS NOT NULL AND a.leased_at >= p.completed_at THEN a.leased_at - p.completed_at END AS lease_recovery,
     CASE WHEN e.event_type IN ('job_completed', 'retry_scheduled') AND a.completed_at >= a.leased_at THEN a.completed_at - a.leased_at END AS lease_to_completion,
     CASE WHEN e.state IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER') AND c.committed_at >= j.created_at THEN c.committed_at - j.created_at END AS end_to_end
-    FROM (SELECT *, CAST(json_extract(payload_json, '$.attempt_no') AS BIGINT) AS no FROM ledger_events) e JOIN jobs j ON j.id = e.job_id LEFT JOIN attempts a ON a.job_id = e.job_id AND a.attempt_no = e.no
+    FROM (SELECT * EXCLUDE (no), CAST(json_extract(payload_json, '$.attempt_no') AS BIGINT) AS no FROM ledger_events) e JOIN jobs j ON j.id = e.job_id LEFT JOIN attempts a ON a.job_id = e.job_id AND a.attempt_no = e.no
     LEFT JOIN attempts p ON p.job_id = e.job_id AND p.attempt_no = a.attempt_no - 1 AND p.state = 'EXPIRED'
     LEFT JOIN (SELECT DISTINCT job_id, occurred_at, CAST(json_extract(payload_json, '$.attempt_no') AS BIGINT) AS no FROM ledger_events WHERE event_type = 'lease_reaped' AND state = 'PENDING') l ON l.job_id = e.job_id AND l.no = p.attempt_no AND l.occurred_at = p.completed_at
     LEFT JOIN job_completions c ON c.job_id = e.job_id AND c.committed_at = e.occurred_at

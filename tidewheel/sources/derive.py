@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.plans.storage import materialize
+from tidewheel.plans.storage import materialize, numbered
 
 SECOND = 1_000_000_000
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -36,7 +36,7 @@ TABLES: dict[str, str] = {
           CASE WHEN state = 'EXPIRED' THEN 'PENDING' WHEN state = 'SUCCEEDED' THEN 'SUCCEEDED' WHEN attempt_no = max_attempts THEN 'DEAD_LETTER' ELSE 'RETRYING' END, completed_at, attempt_no
           FROM attempts WHERE completed_at IS NOT NULL
         UNION ALL SELECT job_id, 4, attempt_no, 'job_promoted', 'PENDING', completed_at + 2000000000, attempt_no FROM attempts WHERE state = 'FAILED' AND attempt_no < n""",
-    "ledger_events": """SELECT CAST(row_number() OVER (ORDER BY occurred_at, job_id, ord, no) AS BIGINT) AS event_seq, job_id, event_type, state,
+    "ledger_events": """SELECT {event_seq} AS event_seq, ord, no, job_id, event_type, state,
         CAST(row_number() OVER (PARTITION BY job_id ORDER BY occurred_at, ord, no) AS BIGINT) AS state_version, occurred_at,
         CASE WHEN ord = 0 THEN '{{}}' ELSE concat('{{"attempt_no":', CAST(attempt_no AS STRING), '}}') END AS payload_json FROM ev0""",
     "evagg": "SELECT job_id, CAST(count(*) AS BIGINT) AS versions, max(occurred_at) AS updated_at FROM ev0 GROUP BY job_id",
@@ -59,13 +59,15 @@ TABLES: dict[str, str] = {
         CAST(sum(active_slots) AS BIGINT) AS active_slots FROM queue_state GROUP BY tenant_id""",
     "workers": """SELECT concat('worker-', CAST(s_suppkey AS STRING)) AS worker_id, 8 + s_suppkey % 9 AS capacity_slots, (SELECT max(occurred_at) FROM ev0) - s_suppkey * 4000000000 AS last_heartbeat_at FROM {supplier}""",
     "idempotency_requests": """SELECT tenant_id, concat('submit-', CAST(k AS STRING)) AS submission_key, 'job' AS request_kind, {sha_req} AS request_digest, id AS job_id, created_at FROM job0""",
-    "manifest": """SELECT CAST(row_number() OVER (ORDER BY created_at, id) AS BIGINT) AS sequence, concat('submit-', CAST(k AS STRING)) AS submission_key, id AS job_id, tenant_id, created_at AS accepted_at, false AS duplicate, k FROM jobs WHERE state = 'SUCCEEDED'""",
+    "manifest": """SELECT {sequence} AS sequence, concat('submit-', CAST(k AS STRING)) AS submission_key, id AS job_id, tenant_id, created_at AS accepted_at, false AS duplicate, k FROM jobs WHERE state = 'SUCCEEDED'""",
     "dag_jobs": """SELECT concat('dag-', CAST(cust AS STRING)) AS dag_id, id AS job_id, concat('node-', CAST(k AS STRING)) AS node_key FROM job0""",
     "audit_events": """SELECT md5(concat('audit:', job_id)) AS id, concat('actor-', CAST(length(reason) % 3 + CASE WHEN redriven_job_id IS NULL THEN 0 ELSE 1 END AS STRING)) AS actor,
         CASE WHEN redriven_job_id IS NULL THEN 'inspect' ELSE 'redrive' END AS action, job_id AS target, created_at + 1000000000 AS occurred_at FROM dead_letters""",
     "stream_events": """SELECT event_id AS event_seq, CAST(user_id AS STRING) AS job_id, CASE event_type WHEN 'signup' THEN 'job_admitted' WHEN 'view' THEN 'job_promoted' WHEN 'click' THEN 'lease_acquired'
         WHEN 'purchase' THEN 'job_completed' ELSE 'lease_reaped' END AS event_type, {us_ts} * 1000 AS occurred_at, value FROM {raw}""",
 }
+#: Tables with a dense number over all rows, and its order: DuckDB numbers them by a window, Spark range by range.
+NUMBERED = {"ledger_events": ("event_seq", ["occurred_at", "job_id", "ord", "no"]), "manifest": ("sequence", ["accepted_at", "job_id"])}
 FUNCTIONS = {
     "spark": {
         "us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})",
@@ -79,6 +81,9 @@ def _render(engine: str, names: dict[str, str]) -> dict[str, str]:
     f = FUNCTIONS[engine]
     fills = names | {"us_orderdate": f["us"].format("o_orderdate"), "us_ts": f["us"].format("ts")}
     fills |= {f"sha_{k}": f["sha"].format(v) for k, v in {"token": "concat(id, ':', CAST(no AS STRING))", "exec": "concat('exec:', j.id)", "out": "concat('out:', id)", "req": "concat('req:', id)"}.items()}
+    for name, (column, order) in NUMBERED.items():
+        order = ["created_at", "id"] if name == "manifest" else order
+        fills[column] = "CAST(0 AS BIGINT)" if engine == "spark" else f"CAST(row_number() OVER (ORDER BY {', '.join(order)}) AS BIGINT)"
     return {name: sql.format(**fills) for name, sql in TABLES.items()}
 
 
@@ -111,11 +116,17 @@ class Ledger:
         if name not in self._tables:
             order = list(TABLES)
             sql = _render("spark", {t: "{" + t + "}" for t in BASE} | {"raw": "{events}"})
-            used = [t for t in order[: order.index(name) + 1]]
+            for t in NUMBERED:
+                if t != name and order.index(t) < order.index(name):
+                    self.table(t)
+            used = order[: order.index(name) + 1]
             inner = {t: self._tables[t] for t in used if t in self._tables}
             ctes = ", ".join(f"{t} AS (SELECT * FROM {{mat_{t}}})" if t in inner else f"{t} AS ({_escape(sql[t])})" for t in used)
             frames = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in BASE if any("{" + t + "}" in sql[u] for u in used if u not in inner)}
             df = self.spark.sql(f"WITH {ctes} SELECT * FROM {name}", **frames, **{f"mat_{t}": x for t, x in inner.items()})
+            if name in NUMBERED:
+                column, order = NUMBERED[name]
+                df = numbered(df.drop(column), column, order)
             self._tables[name] = materialize(df, name)
         return self._tables[name]
 
