@@ -115,17 +115,18 @@ def products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def block_products(couples: DataFrame, member: DataFrame, sizes: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) from rows of each component `root` to the component `other` it is coupled with, one at most per row and block.
 
-    Rows that meet one component stand in blocks of about BLOCK rows, and so do its own
+    Sizes bound which rows can link at all; those that meet one component stand in blocks of about BLOCK rows, and so do its own
     rows; a task multiplies two blocks. So no pair of rows is ever a row of a table.
     """
     cells = F.struct("c", "n", "tokens")
     rows = matrix.select("c", "n", "tokens")
-    asking = couples.join(member.select("root", "c"), "root").select(F.col("other").alias("root"), "c").distinct()
+    fits = (F.col("n") <= F.col("o_most")) & (F.col("o_least") <= F.col("most")) & (percent * F.col("n") <= 100 * F.col("o_largest")) & (percent * F.col("o_least") <= 100 * F.col("n"))
+    asking = couples.join(member.select("root", "c", "n", "most"), "root").where(fits).select(F.col("other").alias("root"), "c").distinct()
     counts = stored(asking.groupBy("root").agg(F.count("*").alias("asks")), "asks")
     parts = lambda n: F.call_function("div", n + BLOCK - 1, F.lit(BLOCK))
     place = lambda n: F.pmod(F.xxhash64("c"), parts(F.col(n)))
     left = asking.join(counts, "root").withColumn("lb", place("asks")).join(rows, "c").groupBy("root", "lb").agg(F.collect_list(cells).alias("left"))
-    right = member.select("root", "c").join(counts, "root", "left_semi").join(sizes, "root").withColumn("rb", place("size")).join(rows, "c").groupBy("root", "rb").agg(F.collect_list(cells).alias("right"))
+    right = member.select("root", "c").join(counts, "root", "left_semi").join(sizes.select("root", "size"), "root").withColumn("rb", place("size")).join(rows, "c").groupBy("root", "rb").agg(F.collect_list(cells).alias("right"))
     both = stored(left, "left").join(stored(right, "right"), "root").select("left", "right")
 
     def side(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,13 +188,16 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     links = stored(products(pairs, matrix, percent), "links")
     joined = components(links)
     # what the leaders left apart: rows of the smaller component against the whole of the other, where both share a rare column
-    member = stored(matrix.select("c", "n").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root")), "members")
+    most = F.floor((100 + percent) * F.size("tokens") / percent).cast("long") - F.col("n")  # shingles of the largest partner that a row's shared columns allow
+    member = stored(matrix.select("c", "n", most.alias("most")).join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", "n", "most", F.coalesce("root", "c").alias("root")), "members")
     bins = stored(rare.select("token", "c").join(member.select("c", "root"), "c").groupBy("token", "root").agg(F.count("*").alias("k")), "bins")
     apart = bins.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
-    sizes = stored(member.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    some = stored(bins.join(apart, "token", "left_semi").join(sizes, "root").select("token", "root", "size"), "apart")
-    order = F.struct("size", "root") < F.struct("osize", "other")
-    couples = some.join(some.select("token", F.col("root").alias("other"), F.col("size").alias("osize")), "token").where(order).select("root", "other").distinct()
+    sizes = stored(member.groupBy("root").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("most")), "sizes")
+    some = stored(bins.join(apart, "token", "left_semi").select("token", "root").join(sizes, "root"), "apart")
+    other = some.select("token", *(F.col(c).alias(f"o_{c}") for c in ("root", "size", "least", "largest", "most")))
+    order = F.struct("size", "root") < F.struct("o_size", "o_root")
+    fits = (F.col("least") <= F.col("o_most")) & (F.col("o_least") <= F.col("most")) & (percent * F.col("least") <= 100 * F.col("o_largest")) & (percent * F.col("o_least") <= 100 * F.col("largest"))
+    couples = some.join(other, "token").where(order & fits).select("root", F.col("o_root").alias("other"), "o_least", "o_largest", "o_most").distinct()
     more = stored(block_products(stored(couples, "couples"), member, sizes, matrix, percent), "links")
     roots = components(links.unionByName(more))
     return rows, classes, roots
