@@ -99,3 +99,19 @@ def mapped_clock(server_ns: Column, before_ns: Column, after_ns: Column) -> tupl
 def bounded(x: Column, allowed: tuple[str, ...], rest: str = "other") -> Column:
     """Map a label to a bounded set."""
     return F.when(x.isin(*allowed), x).otherwise(rest)
+
+
+def audit_id(tenant: Column, action: Column, key: Column) -> Column:
+    """SC8: id of an operator action's audit event."""
+    return F.concat(F.lit("audit-"), F.substring(scoped_key(tenant, action, key), 1, 24))
+
+
+def scoped_key(tenant: Column, action: Column, key: Column) -> Column:
+    """SC8: idempotency scope of an operator action."""
+    return sha_hex(tenant, zero(), action, zero(), key)
+
+
+def stable_key(domain: str, prefix: str, run: Column, seed: Column, index: Column) -> Column:
+    """SC11, AG23: key of a benchmark submission: `prefix` and the first 24 bytes of a hash over domain, run, seed and index."""
+    h = sha_hex(F.lit(domain), zero(), run, zero(), seed.cast("string"), zero(), index.cast("string"))
+    return F.concat(F.lit(prefix), F.substring(h, 1, 48))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.ledger import whole
+from tidewheel.functions.ledger import TERMINAL, stable_key, whole
+from tidewheel.operators.reads import one_row
 from tidewheel.operators.timing import distribution, nearest_rank
 
 
@@ -90,3 +91,61 @@ def sample_rows(samples: DataFrame, expected: DataFrame) -> DataFrame:
     c = F.col
     message = F.when(c("s").isNull(), "missing sample").when(c("e").isNull(), "unexpected sample").when(c("generation") <= c("killed_generation"), "successor not later").when(c("leased_at") <= c("killed_at"), "lease before kill").when(c("recovery_ms") != c("want"), "recovery differs")
     return both.select("kill_sequence", "job_id", message.alias("message")).where(c("message").isNotNull())
+
+
+def submissions(sent: DataFrame, drained: DataFrame, run: str, domain: str, prefix: str, expected: int) -> DataFrame:
+    """EV3, AG23: (rule, item) that a run's submissions and drain samples break.
+
+    `sent` has run_id, seed, index, idempotency_key, job_id, error, duplicate,
+    ambiguous_retry, attempt_count; `drained` has run_id, job_id, state, terminal_at.
+    """
+    c = F.col
+    rows = F.array(
+        F.when(c("run_id") != run, F.lit("submission of another run")),
+        F.when(F.coalesce("error", F.lit("")) != "", F.lit("submission failed")),
+        F.when(c("duplicate") & ~c("ambiguous_retry"), F.lit("reused an admission")),
+        F.when(c("attempt_count") < 1, F.lit("no attempts")),
+        F.when(c("idempotency_key") != stable_key(domain, prefix, c("run_id"), c("seed"), c("index")), F.lit("unstable key")),
+    )
+    out = sent.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("rule"), c("index").cast("string").alias("item"))
+    twice = lambda df, k, rule: df.groupBy(k).count().where("count > 1").select(F.lit(rule).alias("rule"), c(k).cast("string").alias("item"))
+    jobs = sent.where(F.coalesce("job_id", F.lit("")) != "").select("job_id").distinct()
+    open_ = drained.where(~c("state").isin(*TERMINAL) | c("terminal_at").isNull()).select(F.lit("drain sample not terminal").alias("rule"), c("job_id").alias("item"))
+    parts = [
+        twice(sent, "index", "duplicate index"),
+        twice(sent, "idempotency_key", "duplicate key"),
+        twice(drained, "job_id", "duplicate drain sample"),
+        open_,
+        drained.where(c("run_id") != run).select(F.lit("drain sample of another run").alias("rule"), c("job_id").alias("item")),
+        drained.select("job_id").distinct().join(jobs, "job_id", "left_anti").select(F.lit("drained job never submitted").alias("rule"), c("job_id").alias("item")),
+        jobs.join(drained.select("job_id"), "job_id", "left_anti").select(F.lit("submitted job not drained").alias("rule"), c("job_id").alias("item")),
+        sent.agg(F.count("*").alias("n")).where(c("n") != expected).select(F.lit("unexpected count").alias("rule"), c("n").cast("string").alias("item")),
+    ]
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def environment(runs: DataFrame, run: str, expected: dict[str, object]) -> DataFrame:
+    """EV4, EV10d: (run, column, found) wherever a run's setting isn't the expected one; a null setting isn't either."""
+    cells = F.array(*(F.when(~F.col(k).eqNullSafe(F.lit(v)), F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("found"))) for k, v in expected.items()))
+    return runs.select(run, F.inline(F.filter(cells, lambda c: c.isNotNull())))
+
+
+def differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """EV10a: rows of either side alone; none if stored evidence equals what was computed again."""
+    names = stored.columns
+    return stored.exceptAll(recomputed.select(names)).withColumn("side", F.lit("stored")).unionByName(recomputed.select(names).exceptAll(stored).withColumn("side", F.lit("recomputed")))
+
+
+def report_accounting(report: DataFrame, required: list[str], total: int, details: int, truncated: bool, histogram: DataFrame, jobs: int) -> DataFrame:
+    """EV10c: one row of verdicts on a report's own sums: its checks, its total, its cut, its states."""
+    seen = report.agg(F.array_sort(F.collect_set("check")).alias("checks"), F.coalesce(F.sum("violations"), F.lit(0)).alias("sum"))
+    states = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("states"))
+    both = one_row(seen.select(F.concat_ws(",", "checks").alias("checks"), "sum"), states)
+    return both.select((F.col("checks") == ",".join(sorted(required))).alias("checks"), (F.col("sum") == total).alias("total"), F.lit(truncated == (details < total)).alias("cut"), (F.col("states") == jobs).alias("states"))
+
+
+def contained(actions: DataFrame, start: int, end: int) -> DataFrame:
+    """EV10b: actions whose calibrated time lies outside of the campaign."""
+    return actions.where(~F.col("calibrated_ns").between(start, end)).select("sequence", F.lit("outside of the campaign").alias("message"))

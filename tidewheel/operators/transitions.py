@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.ledger import ACTIVE, TERMINAL, retry_delay_ns, sha_hex
-from tidewheel.operators import reads
+from tidewheel.functions.ledger import ACTIVE, TERMINAL, audit_id, dag_id, retry_delay_ns, sha_hex
+from tidewheel.operators import graph, reads
 from tidewheel.operators.graph import descendants
 from tidewheel.plans.storage import numbered
 
@@ -132,3 +132,65 @@ def register(beats: DataFrame, workers: DataFrame) -> DataFrame:
 def next_counter(used: DataFrame, column: str, current: int) -> DataFrame:
     """DM20: the counter after numbers were drawn."""
     return used.agg(F.greatest(F.coalesce(F.max(column), F.lit(0)), F.lit(current)).alias("value"))
+
+
+def acquire(grants: DataFrame, jobs: DataFrame, tenants: DataFrame, worker: str, token: str, ttl_ns: int, now_ns: int) -> DataFrame:
+    """DM4, DM8: leases for granted jobs (job_id): next attempt, generation and version, and the token's hash.
+
+    The scheduler tests a tenant's cap job by job; where its grants together overshoot it,
+    the whole transaction fails, so every row's `committed` is false.
+    """
+    c = F.col
+    own = grants.select("job_id").join(jobs.select(c("id").alias("job_id"), "tenant_id", "queue_name", "slot_cost", "attempt_no", "lease_generation", "state_version", "state"), "job_id")
+    spent = own.groupBy("tenant_id").agg(F.sum("slot_cost").alias("spent")).join(tenants.select("tenant_id", "max_slots", "active_slots"), "tenant_id")
+    over = spent.agg(F.count_if((c("max_slots") > 0) & (c("active_slots") + c("spent") > c("max_slots"))).alias("over"))
+    flagged = own.withColumn("one", F.lit(1)).join(F.broadcast(over.withColumn("one", F.lit(1))), "one").drop("one")  # one row
+    attempt = c("attempt_no") + 1
+    return flagged.select(
+        "job_id", "tenant_id", "queue_name", "slot_cost", attempt.alias("attempt_no"), (c("lease_generation") + 1).alias("lease_generation"), (c("state_version") + 1).alias("state_version"), F.lit("SCHEDULED").alias("state"),
+        F.lit(worker).alias("worker_id"), sha_hex(F.lit(token), c("job_id"), attempt.cast("string")).alias("token_hash"), F.lit(now_ns).alias("leased_at"), F.lit(now_ns + ttl_ns).alias("expires_at"), ((c("over") == 0) & (c("state") == "PENDING")).alias("committed"),
+    )
+
+
+def record_actions(actions: DataFrame, known: DataFrame, now_ns: int) -> DataFrame:
+    """DM16: audit events of operator actions (tenant_id, action, idempotency_key, actor, target_type, target_id, digest); a known scope with another digest conflicts."""
+    old = known.select("tenant_id", "action", "idempotency_key", F.col("digest").alias("old"))
+    both = actions.join(old, ["tenant_id", "action", "idempotency_key"], "left")
+    outcome = F.when(F.col("old").isNull(), "recorded").when(F.col("old") == F.col("digest"), "replayed").otherwise("conflict")
+    return both.select(audit_id(F.col("tenant_id"), F.col("action"), F.col("idempotency_key")).alias("id"), "tenant_id", "action", "actor", "target_type", "target_id", outcome.alias("outcome"), F.lit(now_ns).alias("occurred_at"))
+
+
+def create_triggers(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """DM18: new cron triggers (id, schedule, next_fire_at); an id that exists conflicts unless its schedule is the same."""
+    both = requests.join(known.select("id", F.col("schedule").alias("old")), "id", "left")
+    return both.withColumn("outcome", F.when(F.col("old").isNull(), "created").when(F.col("old") == F.col("schedule"), "same").otherwise("conflict")).drop("old")
+
+
+def save_dag(nodes: DataFrame, jobs: DataFrame, tenant: str, key: str) -> DataFrame:
+    """DM19: (dag_id, job_id, node_key) rows of one run; nodes whose job is missing or whose key repeats are marked."""
+    from pyspark.sql import Window
+
+    known = jobs.where(F.col("tenant_id") == tenant).select(F.col("id").alias("job_id"), F.lit(True).alias("known"))
+    n = F.count("*").over(Window.partitionBy("node_key"))
+    message = F.when(F.col("known").isNull(), "missing job").when(F.col("n") > 1, "duplicate node")
+    return nodes.withColumn("n", n).join(known, "job_id", "left").select(dag_id(F.lit(tenant), F.lit(key)).alias("dag_id"), "job_id", "node_key", message.alias("message"))
+
+
+def submit_workflows(nodes: DataFrame, edges: DataFrame, known: DataFrame, jobs: DataFrame, tenants: DataFrame, counter: int, now_ns: int) -> DataFrame:
+    """DM2, DM3: (request, node, outcome, ready_seq) of whole workflows: `nodes` has request, tenant_id, submission_key, digest, node, job_id, available_at; `edges` has request, node, parent.
+
+    A workflow is taken whole or not at all: admission counts all its nodes, and a fault or
+    a cycle in its graph makes it invalid. Roots that aren't delayed get ready numbers, by
+    request and node.
+    """
+    c = F.col
+    n = nodes.select(c("request").cast("string").alias("dag_id"), c("node").alias("id"))
+    e = edges.select(c("request").cast("string").alias("dag_id"), c("node").alias("id"), "parent")
+    bad = graph.validate(n, e).select("dag_id").unionByName(graph.levels(n, e).where("level is null").select("dag_id")).distinct().select(c("dag_id").alias("bad"))
+    whole_ = nodes.groupBy("request", "tenant_id", "submission_key", "digest").agg(F.count("*").alias("nodes"), F.min("job_id").alias("job_id")).withColumn("parent", F.lit(None).cast("string"))
+    whole_ = whole_.join(bad, c("request").cast("string") == c("bad"), "left")
+    taken = submit(whole_.where("bad is null").drop("bad"), known, jobs, tenants, counter, now_ns).select("request", "outcome")
+    taken = taken.unionByName(whole_.where("bad is not null").select("request", F.lit("invalid").alias("outcome")))
+    each = nodes.select("request", "node", "available_at").join(taken, "request")
+    roots = each.where((c("outcome") == "accepted") & (c("available_at") <= now_ns)).join(edges.select("request", "node").distinct(), ["request", "node"], "left_anti").select("request", "node")
+    return each.join(numbered(roots, "ready_seq", ["request", "node"], counter + 1), ["request", "node"], "left").select("request", "node", "outcome", F.coalesce("ready_seq", F.lit(0)).alias("ready_seq"))
