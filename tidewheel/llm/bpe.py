@@ -400,6 +400,18 @@ class BytePairCoder:
         sent = self._broadcast(docs)
         return map_texts(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda texts: [_lists(Codec.local(*sent.value).encode_batch(texts))], finish=lambda: Codec.local(*sent.value).trim())
 
+    def round_trip(self, docs: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+        """`encode`, then `decode`, in one Python worker per task instead of two."""
+        sent = self._broadcast(docs)
+
+        def both(texts: list) -> list:
+            codec = Codec.local(*sent.value)
+            found = codec.encode_batch(texts)
+            return [_lists(found), codec.decode_batch(found)]
+
+        added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())]
+        return map_texts(docs, text, added, both, finish=lambda: Codec.local(*sent.value).trim())
+
     def decode(self, docs: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Add `out`, the text that the ids stand for; null gives an empty text, broken UTF-8 U+FFFD."""
         sent = self._broadcast(docs)
@@ -423,7 +435,7 @@ class BytePairCoder:
 def op3(docs: DataFrame, path: str) -> DataFrame:
     """Digest of a round trip per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     coder = BytePairCoder(path).fit(docs)
-    both = coder.decode(coder.encode(docs.select("doc_id", "text")).drop("text"))
+    both = coder.round_trip(docs.select("doc_id", "text")).drop("text")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
