@@ -38,8 +38,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text decoded from them."""
     prepare(spark)
     coder = bpe.BytePairCoder(tokenizer_path()).fit(docs)
-    coded = coder.decode(coder.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"), out="text")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    coded = coder.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
