@@ -8,8 +8,6 @@ Tasks memory-map the automaton; words that it lacks are merged exactly, by rank.
 
 from __future__ import annotations
 
-import ctypes
-import ctypes.util
 import gc
 import heapq
 import json
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.llm.common import map_texts, prepare, stored
+from tidewheel.llm.common import map_texts, prepare, stored, tidy
 
 #: The byte-level pre-tokeniser's published pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -320,13 +318,8 @@ class Codec:
         return out
 
     def trim(self) -> None:
-        """Keep the pieces learnt first, which are frequent ones, and give the rest of the memory back."""
+        """Keep the pieces learnt first, which are frequent ones, and forget the rest."""
         self.bare, self.led = (dict(islice(m.items(), KEPT)) for m in (self.bare, self.led))
-        gc.collect()
-        if libc := ctypes.util.find_library("c"):
-            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
-            if trim:
-                trim(0)
 
     def decode_batch(self, ids: list[list[int] | None]) -> list[str]:
         get = self.bytes.__getitem__
@@ -354,7 +347,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text", most: int = LEXICON_WOR
                 n = Counter()
         yield out(n)
 
-    counted = stored(docs.select(text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    counted = stored(docs.select(text).mapInArrow(tidy(count), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
     total = counted.agg(F.sum("n")).first()[0] or 0
     return counted.where(F.col("n") > total >> 20).orderBy(F.desc("n"), "piece").limit(most)
 
@@ -429,7 +422,7 @@ class BytePairCoder:
                 texts = Codec.local(*sent.value).decode_batch(rows)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
 
 
 def op3(docs: DataFrame, path: str) -> DataFrame:

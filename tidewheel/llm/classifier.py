@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import Words
-from tidewheel.llm.common import map_texts, prepare, stored
+from tidewheel.llm.common import map_texts, prepare, stored, tidy
 from tidewheel.llm.quality import letters, lines_of, repeat_words, sums
 
 
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, features: str = "features", label: str = "label", s
         n = total.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], n), pa.int32()), pa.array(np.tile(np.arange(n), 2), pa.int32()), pa.array(total.ravel(), pa.float64())], ["c", "k", "v"])
 
-    rows = labelled.select(features, F.col(label).cast("int")).where(F.col(label).isin(0, 1)).mapInArrow(partial, "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
+    rows = labelled.select(features, F.col(label).cast("int")).where(F.col(label).isin(0, 1)).mapInArrow(tidy(partial), "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + d + d * d))
     for r in rows:
         total[r.c, r.k] = r.v
@@ -147,7 +147,7 @@ def score(rows: DataFrame, model: Discriminant, features: str = "features", out:
             x = np.array(b.column(features).to_pylist(), float).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(model.score(x) if len(x) else [], pa.float64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def statistics_of(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.blocks import Words, mix
-from tidewheel.llm.common import groups, prepare, stored
+from tidewheel.llm.common import groups, prepare, stored, tidy
 from tidewheel.llm.components import components
 from tidewheel.llm.lines import Filter, filter_of
 
@@ -72,7 +72,7 @@ def sets(docs: DataFrame, repeated: Filter, percent: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, m), pa.array(n, pa.int64()), *map(pa.array, sums), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, tokens array<long>").withColumn("rid", F.monotonically_increasing_id())
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, s1 long, s2 long, tokens array<long>").withColumn("rid", F.monotonically_increasing_id())
 
 
 def products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -109,7 +109,7 @@ def products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             good = np.flatnonzero(alive & (100 * overlap >= percent * (na + nb - overlap)))
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(tidy(run), "a long, b long")
 
 
 def block_products(couples: DataFrame, member: DataFrame, sizes: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def block_products(couples: DataFrame, member: DataFrame, sizes: DataFrame, matr
                 b += cb[good[found].argmax(axis=1)].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.blocks import Words
-from tidewheel.llm.common import groups, prepare, stored
+from tidewheel.llm.common import groups, prepare, stored, tidy
 
 #: Words of the shortest tile, and the share of an item's words that tiles must cover.
 MATCH, COVERAGE = 5, 0.6
@@ -124,7 +124,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage:
                     found = list(known.leaks(texts[x:y], coverage))
                     yield _rows(found, b.column("doc_id").slice(x, y - x), known.ids, arrow)
 
-        return docs.mapInArrow(scan, _schema(*kinds))
+        return docs.mapInArrow(tidy(scan), _schema(*kinds))
     return _joined(docs, items, match, coverage, kinds, arrow)
 
 
@@ -141,7 +141,7 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kind
                 at, h = words.windows(match)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(words.doc[at] + x)), pa.array(h.view(np.int64))], ["iid", "hash"])
 
-    seeds = items.mapInArrow(windows, "iid long, hash long").distinct()
+    seeds = items.mapInArrow(tidy(windows), "iid long, hash long").distinct()
     places = seeds.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("place")).distinct()
     bits = np.zeros(FILTER_BITS, bool)
     for r in places.toLocalIterator():
@@ -162,7 +162,7 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kind
                 lists = [part.tolist() for part in np.split(own[1], cut[1:])] if len(rows) else []
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows + x)), pa.array([texts[x + i] for i in rows.tolist()], pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text", "hashes"])
 
-    near = stored(docs.mapInArrow(candidates, f"doc_id {kinds[0]}, text string, hashes array<long>").withColumn("rid", F.monotonically_increasing_id()), "candidates")
+    near = stored(docs.mapInArrow(tidy(candidates), f"doc_id {kinds[0]}, text string, hashes array<long>").withColumn("rid", F.monotonically_increasing_id()), "candidates")
     pairs = near.select("rid", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("rid", "iid").count().select("rid", "iid")
     full = pairs.join(items.select("iid", "item_id", F.col("text").alias("item")), "iid").join(near.select("rid", "doc_id", "text"), "rid").select("doc_id", "text", "item_id", "item")
 
@@ -173,7 +173,7 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kind
                 found += [(k, k, share, own) for _, _, share, own in Items([0], [item], match).leaks([text], coverage)]
             yield _rows(found, b.column("doc_id"), b.column("item_id").to_pylist(), arrow)
 
-    return full.mapInArrow(check, _schema(*kinds))
+    return full.mapInArrow(tidy(check), _schema(*kinds))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import mix
-from tidewheel.llm.common import UPPER, groups, prepare, stored
+from tidewheel.llm.common import UPPER, groups, prepare, stored, tidy
 
 SHARDS, PROBES = 1024, 4
 #: Bits of a filter, by the amount of text; the largest is 64 MB, and beyond it more lines are confirmed exactly.
@@ -122,9 +122,9 @@ def filter_of(texts: DataFrame, keys: Callable[[list], np.ndarray], size: int) -
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
 
-    sent = texts.mapInArrow(emit, "shard int, hashes binary").repartition("shard")
+    sent = texts.mapInArrow(tidy(emit), "shard int, hashes binary").repartition("shard")
     data = np.zeros(total // 8, np.uint8)
-    for r in sent.mapInArrow(build, "shard int, bits binary").collect():  # at most MOST_BITS in all
+    for r in sent.mapInArrow(tidy(build), "shard int, bits binary").collect():  # at most MOST_BITS in all
         data[r.shard * bits // 8 : (r.shard + 1) * bits // 8] = np.frombuffer(r.bits, np.uint8)
     return Filter(data, bits)
 
@@ -157,7 +157,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.array(at, np.int64)[hit])), pa.array(h[hit].view(np.int64)), pa.array([keys[j].decode() for j in hit], pa.string())], ["doc_id", "key_hash", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = stored(docs.mapInArrow(suspects, f"doc_id {kind}, key_hash long, key string"), "suspects")
+    held = stored(docs.mapInArrow(tidy(suspects), f"doc_id {kind}, key_hash long, key string"), "suspects")
     repeated = held.groupBy("key_hash", "key").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= least).select("key_hash", "key", "last")
     repeated = stored(repeated, "repeated")  # so that both sides of the join are dealt out anew, and a hot line can be split
     return held.join(repeated, ["key_hash", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "key_hash")
@@ -190,7 +190,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cha
             columns = {text: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays([columns.get(c) if c in columns else batch.column(c) for c in names], names)
 
-    return both.mapInArrow(rewrite, schema)
+    return both.mapInArrow(tidy(rewrite), schema)
 
 
 def op4(docs: DataFrame) -> DataFrame:

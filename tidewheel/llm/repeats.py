@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import _upto, mix
-from tidewheel.llm.common import groups, prepare, stored
+from tidewheel.llm.common import groups, prepare, stored, tidy
 from tidewheel.llm.lines import Filter, filter_of
 
 LENGTH, GRAM = 200, 64
@@ -84,7 +84,7 @@ def contexts(docs: DataFrame, suspected: Filter) -> DataFrame:
                 own = [whole[x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(uid[a:b][doc]), pa.array(h.view(np.int64)), pa.array(at - begin[doc]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(own, pa.binary())], ["uid", "key", "place", "low", "high", "bytes"])
 
-    return docs.mapInArrow(run, CONTEXT)
+    return docs.mapInArrow(tidy(run), CONTEXT)
 
 
 def interleave(key: np.ndarray, right: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -196,9 +196,9 @@ def repeat_spans(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     found = stored(contexts(docs, suspected), "contexts", codec="zstd")
     hot = stored(found.groupBy("key").count().where(F.col("count") > together).select("key"), "hot")
     near = found.join(hot, "key", "left_anti") if hot.limit(1).count() else found
-    spans = near.select("uid", "key", "place", "low", "high", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_together, SPAN_SCHEMA)
+    spans = near.select("uid", "key", "place", "low", "high", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_together), SPAN_SCHEMA)
     if hot.limit(1).count():
-        windows = stored(found.join(hot, "key", "left_semi").select("uid", "key", "place", "low", "high", "bytes").mapInArrow(_windows, "uid long, begin long, hash binary"), "windows")
+        windows = stored(found.join(hot, "key", "left_semi").select("uid", "key", "place", "low", "high", "bytes").mapInArrow(tidy(_windows), "uid long, begin long, hash binary"), "windows")
         twice = stored(windows.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "twice")
         spans = spans.unionByName(windows.join(twice, "hash", "left_semi").select("uid", "begin", (F.col("begin") + LENGTH).alias("end")))
     return spans
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", together: int = TOGETHER
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), span), strict=True))], schema.names)
 
-    return both.mapInArrow(cut, schema)
+    return both.mapInArrow(tidy(cut), schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:

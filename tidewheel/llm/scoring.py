@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.blocks import Words
 from tidewheel.llm.classifier import remainder
-from tidewheel.llm.common import groups, prepare, stored
+from tidewheel.llm.common import groups, prepare, stored, tidy
 
 #: Bytes of the longest context. Its grams have 48 bits, which leaves 16 for a text's place in its batch: the nearest context byte in the highest, the byte itself in the lowest.
 DEPTH = 5
@@ -151,7 +151,7 @@ def tree_scores(grams: DataFrame) -> DataFrame:
         key, inverse = np.unique(up, return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(np.bincount(inverse, v, len(key))) for v in (level.zeros, level.ones, level.weighted))], ["key", "a", "b", "w"])
 
-    rows = grams.repartition(shard).mapInArrow(below, "key long, a double, b double, w double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).collect()  # at most 2**16
+    rows = grams.repartition(shard).mapInArrow(tidy(below), "key long, a double, b double, w double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).collect()  # at most 2**16
     rows.sort(key=lambda r: r.key)
     key = np.array([r.key for r in rows], U)
     a, b, w = (np.array([r[c] for r in rows], float) for c in "abw")
@@ -165,7 +165,7 @@ def tree_scores(grams: DataFrame) -> DataFrame:
         p = log10_grams(gram, levels(gram, n, 2) | top.value) if len(gram) else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(p)], ["gram", "n", "log10p"])
 
-    return grams.repartition(shard).mapInArrow(score, "gram long, n long, log10p double")
+    return grams.repartition(shard).mapInArrow(tidy(score), "gram long, n long, log10p double")
 
 
 def _counted(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +210,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for kind in (0, 1):
             yield out(kind)
 
-    return docs.mapInArrow(run, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def head(table: DataFrame, most: int) -> DataFrame:
@@ -314,7 +314,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, head_words:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(size, pa.int64()), left], ["doc_id", "held_out", "words", "known", "base", "score", "n_bytes", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, words long, known long, base double, score double, n_bytes long, rest {rest_type}").withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, words long, known long, base double, score double, n_bytes long, rest {rest_type}").withColumn("rid", F.monotonically_increasing_id())
     rows = stored(rows, "scored")
     table = words.select(F.lit(1).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(grams.select(F.lit(0).alias("kind"), "key", F.col("log10p").alias("value")))
     left = rows.select("rid", F.inline("rest")).groupBy("rid", "kind", "key").agg(F.sum("n").alias("n")).join(table, ["kind", "key"], "left")
