@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidewheel.functions import ledger as fn
 from tidewheel.operators import checks, evidence, graph, reads, scheduling, slo, timing, transitions
 from tidewheel.sources.derive import Ledger, duckdb_ctes
+from tidewheel.streaming import cron
+from tidewheel.streaming import ledger as streams
 
 TENANT = "nation-7"
 QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {}
@@ -330,6 +332,43 @@ query("DM6_heartbeat", f"SELECT job_id, attempt_no, state IN ('LEASED', 'RUNNING
 )
 
 
+query("TS8_quantiles", f"WITH {_o}, b(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {', '.join(f'({chr(39)}{b}{chr(39)})' for b in (*slo.BOUNDS, 'inf'))}) v(le)), c AS (SELECT stage, le, count(*) FILTER (WHERE ns / 1e9 <= le) AS n FROM o, b GROUP BY stage, le), w AS (SELECT *, max(n) OVER (PARTITION BY stage) AS total, coalesce(lag(le) OVER (PARTITION BY stage ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY stage ORDER BY le), 0) AS before FROM c) SELECT stage, round(CASE WHEN le = 'inf' THEN low ELSE low + (le - low) * (0.95 * total - before) / (n - before) END, 6) AS value FROM w WHERE n >= 0.95 * total AND before < 0.95 * total")(
+    lambda x: slo.histogram_quantile(slo.buckets(observed(x)), 0.95).select("stage", F.round("value", 6).alias("value"))
+)
+query("TS6_depth_alert", "WITH d AS (SELECT event_type AS series, occurred_at // 60000000000 AS minute, count(*) AS n FROM stream_events GROUP BY ALL), g AS (SELECT *, max(CASE WHEN n < 2 THEN minute END) OVER (PARTITION BY series ORDER BY minute) AS off FROM d) SELECT series, minute, n >= 2 AND minute - min(CASE WHEN n >= 2 THEN minute END) OVER (PARTITION BY series, off ORDER BY minute ROWS UNBOUNDED PRECEDING) >= 10 AS firing FROM g")(
+    lambda x: slo.alerts(x.stream_events.groupBy(F.col("event_type").alias("series"), fn.whole(F.col("occurred_at"), slo.MINUTE).alias("minute")).agg(F.count("*").alias("n")), F.col("n") >= 2, 10)
+)
+query("JN18_affected", f"SELECT job_id, attempt_no, CASE WHEN completed_at IS NULL THEN true WHEN completed_at < {NOW} - 20000000000000 THEN false WHEN completed_at > {NOW} - 10000000000000 THEN state <> 'SUCCEEDED' END AS affected FROM attempts")(
+    lambda x: evidence.affected(x.attempts, now_of(x) - 20_000_000_000_000, now_of(x) - 10_000_000_000_000).select("job_id", "attempt_no", "affected")
+)
+query("SO6_known_workers", "SELECT worker_id FROM attempts WHERE state IN ('LEASED', 'RUNNING') INTERSECT SELECT worker_id FROM workers WHERE capacity_slots > 10")(lambda x: reads.active_workers(x.attempts).intersect(x.workers.where("capacity_slots > 10").select("worker_id")))
+query("SC18_bounded_labels", "SELECT CASE WHEN queue_name IN ('1-URGENT', '2-HIGH') THEN queue_name ELSE 'other' END AS label, count(*) AS n FROM jobs GROUP BY ALL")(lambda x: x.jobs.groupBy(fn.bounded(F.col("queue_name"), ("1-URGENT", "2-HIGH")).alias("label")).agg(F.count("*").alias("n")))
+query("FLT10_labels", "SELECT text IS NOT NULL AND strlen(text) BETWEEN 1 AND 128 AND regexp_full_match(text, '[!-~]([ -~]*[!-~])?') AS valid, count(*) AS n FROM benchmark GROUP BY ALL")(lambda x: x.spark.read.parquet(f"{x.sf_dir}/benchmark.parquet").groupBy(fn.is_label(F.col("text")).alias("valid")).agg(F.count("*").alias("n")))
+query("GR6_parents", "WITH r AS (SELECT d.job_id AS request, j.tenant_id, CASE WHEN j.k % 10 = 0 THEN 'gone' ELSE d.depends_on_id END AS p FROM job_dependencies d JOIN jobs j ON j.id = d.job_id) SELECT request, CASE WHEN o.id IS NULL THEN 'missing parent' ELSE 'parent of another tenant' END AS message FROM r LEFT JOIN jobs o ON o.id = r.p WHERE o.id IS NULL OR o.tenant_id <> r.tenant_id")(
+    lambda x: graph.check_parents(x.job_dependencies.join(x.jobs.select(F.col("id").alias("job_id"), "tenant_id", "k"), "job_id").select(F.col("job_id").alias("request"), "tenant_id", F.when(F.col("k") % 10 == 0, "gone").otherwise(F.col("depends_on_id")).alias("depends_on_id")), x.jobs)
+)
+query("DM4_acquire", f"SELECT id AS job_id, 1 AS attempt_no, 1 AS lease_generation, state_version + 1 AS state_version, 'SCHEDULED' AS state, (SELECT count(*) FROM (SELECT t.tenant_id FROM ({READY_SQL}) r JOIN tenant_limits t ON t.tenant_id = r.tenant_id WHERE rank <= 2 GROUP BY t.tenant_id, max_slots, active_slots HAVING max_slots > 0 AND active_slots + sum(slot_cost) > max_slots)) = 0 AS committed FROM jobs WHERE id IN (SELECT id FROM ({READY_SQL}) WHERE rank <= 2)")(
+    lambda x: transitions.acquire(reads.ready_candidates(x.jobs, x.tenant_limits, x.queue_state, now_of(x), 2).select(F.col("id").alias("job_id")), x.jobs, x.tenant_limits, "w", "secret", 1, now_of(x)).select("job_id", F.col("attempt_no").cast("int").alias("attempt_no"), F.col("lease_generation").cast("int").alias("lease_generation"), "state_version", "state", "committed")
+)
+query("DM11_activate", "SELECT id, 500 + row_number() OVER (ORDER BY id) AS ready_seq FROM (SELECT j.id FROM jobs j WHERE j.state = 'PENDING' AND EXISTS (SELECT 1 FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE d.job_id = j.id AND p.state = 'SUCCEEDED') AND NOT EXISTS (SELECT 1 FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE d.job_id = j.id AND p.state <> 'SUCCEEDED'))")(
+    lambda x: transitions.activate(x.jobs.where("state = 'SUCCEEDED'").select("id"), x.jobs.withColumn("ready_seq", F.lit(0)), x.job_dependencies, 500)
+)
+query("JN16_outcomes", "SELECT a.job_id, a.attempt_no, coalesce(c.state, 'open') AS outcome FROM attempts a LEFT JOIN job_completions c ON c.job_id = a.job_id AND c.attempt_no = a.attempt_no")(lambda x: x.attempts.select("job_id", "attempt_no").join(x.job_completions.select("job_id", "attempt_no", "state"), ["job_id", "attempt_no"], "left").select("job_id", "attempt_no", F.coalesce("state", F.lit("open")).alias("outcome")))
+query("AG21_pooled_latency", f"WITH s AS (SELECT * FROM ({SAMPLES_SQL}) WHERE complete), u AS (SELECT completed - admitted AS ns FROM s UNION ALL SELECT completed - final_lease FROM s) SELECT count(*) AS n, min(ns) AS min, max(ns) AS max, quantile_disc(ns, 0.5) AS p50, quantile_disc(ns, 0.95) AS p95, quantile_disc(ns, 0.99) AS p99 FROM u")(
+    lambda x: (lambda s: timing.distribution(s.select((F.col("completed") - F.col("admitted")).alias("ns")).unionByName(s.select((F.col("completed") - F.col("final_lease")).alias("ns"))), "ns"))(evidence.benchmark_samples(x.manifest, x.jobs, x.attempts, x.job_completions).where("complete"))
+)
+query("STR2_first_response", "SELECT tenant_id, queue_name AS submission_key, arg_min(execution_key, k) AS digest, min(execution_key) <> max(execution_key) AS conflict FROM jobs GROUP BY ALL")(
+    lambda x: streams.first_response(x.jobs.select("tenant_id", F.col("queue_name").alias("submission_key"), F.col("execution_key").alias("digest"), F.col("k").alias("seq")))
+)
+
+
+@query("STR3_due_triggers")
+def due_triggers(x: Ledger) -> DataFrame:
+    """Triggers of every queue, half of them due."""
+    t = x.queue_state.select(F.concat_ws("/", "tenant_id", "queue_name").alias("id"), F.when(F.col("weight") > 1, "@hourly").otherwise("*/5 * * * *").alias("schedule"), (F.lit(now_of(x)) + (F.col("weight") - 2) * 3_600_000_000_000).alias("next_fire_at"))
+    return cron.due(t, now_of(x), 1000)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Ledger.of(spark, sf_dir))) for name, f in QUERIES.items()}
 
