@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewheel.llm.blocks import Words
 from tidewheel.llm.common import groups, prepare, stored, tidy
@@ -94,10 +95,10 @@ def _schema(doc: str, item: str) -> str:
     return f"doc_id {doc}, item_id {item}, coverage double, tiles array<struct<item_start:long,doc_start:long,words:long>>"
 
 
-def _rows(found: list, doc_ids: pa.Array, item_ids: list, kinds: tuple) -> pa.RecordBatch:
+def _rows(found: list, doc_ids: pa.Array, item_ids: list, kind: pa.DataType) -> pa.RecordBatch:
     tile = pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
     own = [[{"item_start": i, "doc_start": j, "words": n} for i, j, n in x[3]] for x in found]
-    return pa.RecordBatch.from_arrays([doc_ids.take(pa.array([x[0] for x in found], pa.int64())), pa.array([item_ids[x[1]] for x in found], kinds[1]), pa.array([x[2] for x in found], pa.float64()), pa.array(own, tile)], ["doc_id", "item_id", "coverage", "tiles"])
+    return pa.RecordBatch.from_arrays([doc_ids.take(pa.array([x[0] for x in found], pa.int64())), pa.array([item_ids[x[1]] for x in found], kind), pa.array([x[2] for x in found], pa.float64()), pa.array(own, tile)], ["doc_id", "item_id", "coverage", "tiles"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -111,7 +112,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage:
     spark = prepare(docs.sparkSession)
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").where(F.col("text").isNotNull())
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    arrow = None, pa.type_for_alias({"bigint": "int64", "int": "int32", "string": "string"}[kinds[1]])
+    arrow = to_arrow_type(items.schema["item_id"].dataType)
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars:
         rows = items.collect()
         sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
@@ -128,7 +129,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage:
     return _joined(docs, items, match, coverage, kinds, arrow)
 
 
-def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kinds: tuple, arrow: tuple) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kinds: tuple, arrow: pa.DataType) -> DataFrame:
     """As `find_leaks`, for any number of items: a fixed-size filter of item windows picks candidate texts, window hashes pair them."""
     spark = docs.sparkSession
     items = stored(items.withColumn("iid", F.monotonically_increasing_id()), "items")
