@@ -70,3 +70,13 @@ def test_environment_and_accounting(spark):
     assert tuple(evidence.report_accounting(report, ["b", "a"], 2, 2, False, states, 5).first()) == (True, True, True, True)
     assert tuple(evidence.report_accounting(report, ["a"], 3, 2, False, states, 4).first()) == (False, False, False, False)
     assert [r.side for r in evidence.differences(report, report.where("check = 'a'")).collect()] == ["stored"]
+
+
+def test_a_rejected_request_takes_no_room(spark):
+    jobs = spark.createDataFrame([("o", "t", "RUNNING")], "id string, tenant_id string, state string")
+    tenants = spark.createDataFrame([("t", 4), ("free", 0)], "tenant_id string, max_depth long")
+    known = spark.createDataFrame([], "tenant_id string, submission_key string, request_digest string, job_id string")
+    rows = [(1, "t", 2), (2, "t", 9), (3, "t", 1), (4, "t", 1), (5, "free", 99)]
+    requests = spark.createDataFrame([(i, t, f"k{i}", "d", f"n{i}", None, n) for i, t, n in rows], "request int, tenant_id string, submission_key string, digest string, job_id string, parent string, nodes int")
+    got = {r.request: r.outcome for r in transitions.submit(requests, known, jobs, tenants, 0, 0).collect()}
+    assert got == {1: "accepted", 2: "rejected", 3: "accepted", 4: "rejected", 5: "accepted"}

@@ -35,10 +35,18 @@ def submit(requests: DataFrame, known: DataFrame, jobs: DataFrame, tenants: Data
     replay = F.when(seen.isNotNull(), F.when(seen == c("digest"), "replayed").otherwise("conflict"))
     invalid = F.when(c("parent").isNotNull() & (c("parent_state").isNull() | (c("parent_tenant") != c("tenant_id"))), "invalid")
     own = own.withColumn("kind", F.coalesce(replay, invalid, F.lit("new")))
-    before = F.sum(F.when(c("kind") == "new", c("nodes")).otherwise(0)).over(Window.partitionBy("tenant_id").orderBy("request"))
-    full = (c("max_depth") > 0) & (c("active") + before > c("max_depth"))
+    new = own.where(c("kind") == "new").groupBy("tenant_id", "max_depth", "active").agg(F.array_sort(F.collect_list(F.struct("request", "nodes"))).alias("asked"))
+    empty = F.struct(F.coalesce("active", F.lit(0)).cast("long").alias("used"), F.array().cast(f"array<{requests.schema['request'].dataType.simpleString()}>").alias("taken"))
+
+    def admit(acc: Column, x: Column) -> Column:
+        fits = (F.coalesce("max_depth", F.lit(0)) == 0) | (acc["used"] + x["nodes"] <= c("max_depth"))
+        return F.struct((acc["used"] + F.when(fits, x["nodes"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.array_append(acc["taken"], x["request"])).otherwise(acc["taken"]).alias("taken"))
+
+    admitted = new.select(F.explode(F.aggregate("asked", empty, admit)["taken"]).alias("request")).withColumn("admitted", F.lit(True))
+    own = own.join(admitted, "request", "left")
+    full = c("admitted").isNull()
     state = F.when(c("parent_state").isin("FAILED", "DEAD_LETTER"), "DEAD_LETTER").otherwise("PENDING")
-    own = own.withColumn("outcome", F.when((c("kind") == "new") & F.coalesce(full, F.lit(False)), "rejected").when(c("kind") == "new", "accepted").otherwise(c("kind")))
+    own = own.withColumn("outcome", F.when((c("kind") == "new") & full, "rejected").when(c("kind") == "new", "accepted").otherwise(c("kind")))
     own = own.withColumn("state", F.when(c("outcome") == "accepted", state))
     ready = (c("outcome") == "accepted") & (c("state") == "PENDING") & (c("parent").isNull() | (c("parent_state") == "SUCCEEDED"))
     numbers = numbered(own.where(ready).select("request"), "ready_seq", ["request"], counter + 1)
