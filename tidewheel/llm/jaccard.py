@@ -181,7 +181,7 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
         own.select("c", "n", F.transform("cells", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("cells", F.lit(1), length.cast("int")), lambda x: x["token"]).alias("prefix"), (F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.log2(x["df"])) / F.col("n")).alias("centre")),
         "matrix",
     )
-    rare = stored(matrix.select("c", "n", "centre", F.explode("prefix").alias("token")), "prefixes")
+    rare = stored(matrix.select("c", "n", "centre", F.size("tokens").alias("m"), F.posexplode("prefix").alias("place", "token")), "prefixes")
     leaders = stored(rare.groupBy("token").agg(F.max_by("c", F.struct("centre", -F.col("c"))).alias("l1"), F.min("c").alias("l2"), F.count("*").alias("k")).where("k > 1"), "leaders")
     first = rare.select("token", "c").join(leaders, "token").select(F.col("c"), F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l")).where("c != l")
     pairs = stored(first.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct(), "pairs")
@@ -190,16 +190,25 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     # what the leaders left apart: rows of the smaller component against the whole of the other, where both share a rare column
     most = F.floor((100 + percent) * F.size("tokens") / percent).cast("long") - F.col("n")  # shingles of the largest partner that a row's shared columns allow
     member = stored(matrix.select("c", "n", most.alias("most")).join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", "n", "most", F.coalesce("root", "c").alias("root")), "members")
-    bins = stored(rare.select("token", "c").join(member.select("c", "root"), "c").groupBy("token", "root").agg(F.count("*").alias("k")), "bins")
+    # of the first rare column that two rows share, neither shares one before it, which bounds the overlap there
+    beyond = F.floor((100 + percent) * (F.col("m") - F.col("place")) / percent).cast("long") - F.col("n")
+    bounds = (F.min("n").alias("least"), F.max("n").alias("largest"), F.max("beyond").alias("most"))
+    bins = stored(rare.select("token", "c", "n", beyond.alias("beyond")).join(member.select("c", "root"), "c").groupBy("token", "root").agg(*bounds), "bins")
     apart = bins.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
-    sizes = stored(member.groupBy("root").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("most")), "sizes")
-    some = stored(bins.join(apart, "token", "left_semi").select("token", "root").join(sizes, "root"), "apart")
-    other = some.select("token", *(F.col(c).alias(f"o_{c}") for c in ("root", "size", "least", "largest", "most")))
+    sizes = stored(member.groupBy("root").agg(F.count("*").alias("size"), F.min("n").alias("r_least"), F.max("n").alias("r_largest"), F.max("most").alias("r_most")), "sizes")
+    some = stored(bins.join(apart, "token", "left_semi").join(sizes, "root"), "apart")
+    other = some.select("token", *(F.col(c).alias(f"o_{c}") for c in ("root", "size", "least", "largest", "most", "r_least", "r_largest", "r_most")))
     order = F.struct("size", "root") < F.struct("o_size", "o_root")
     fits = (F.col("least") <= F.col("o_most")) & (F.col("o_least") <= F.col("most")) & (percent * F.col("least") <= 100 * F.col("o_largest")) & (percent * F.col("o_least") <= 100 * F.col("largest"))
-    couples = some.join(other, "token").where(order & fits).select("root", F.col("o_root").alias("other"), "o_least", "o_largest", "o_most").distinct()
+    couples = some.join(other, "token").where(order & fits).select("root", F.col("o_root").alias("other"), *(F.col(f"o_r_{c}").alias(f"o_{c}") for c in ("least", "largest", "most"))).distinct()
     more = stored(block_products(stored(couples, "couples"), member, sizes, matrix, percent), "links")
-    roots = components(links.unionByName(more))
+    if more.isEmpty():
+        roots = joined
+    else:  # only roots are linked anew
+        top = member.select("c", "root")
+        ends = more.join(top.withColumnRenamed("c", "a"), "a").select("b", F.col("root").alias("ra")).join(top.withColumnRenamed("c", "b"), "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
+        upper = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = top.join(upper, "root", "left").select(F.col("c").alias("node"), F.coalesce("top", "root").alias("root"))
     return rows, classes, roots
 
 
