@@ -234,6 +234,15 @@ def test_clean_ledger_passes(spark):
     assert checks.report(checks.union(parts)).where("not passed").count() == 0
 
 
+def test_check_that_did_not_run_is_no_pass(spark):
+    accepted = ledger(spark)[4]
+    report = checks.report(checks.manifest(accepted, 1), ["manifest"])
+    assert {r.check: (r.violations, r.passed) for r in report.collect()} == {c: (0, True) if c == "manifest" else (None, None) for c in checks.CHECKS}
+    verdict = evidence.passes(report).first()
+    assert not verdict.passed and verdict.reasons == ",".join(sorted(set(checks.CHECKS) - {"manifest"}))
+    assert evidence.passes(checks.report(checks.manifest(accepted, 1), checks.CHECKS)).first().passed
+
+
 def test_lost_completion_is_found(spark):
     jobs, _, done, _, accepted, _ = ledger(spark, done=False)
     assert found(checks.completions(accepted, jobs, done)) == {("canonical_ledger", "no canonical completion"), ("canonical_ledger", "terminal job without completion")}

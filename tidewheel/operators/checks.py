@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,11 +197,12 @@ def foreign_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str,
 CHECKS = ("manifest", "canonical_ledger", "materialized_jobs", "idempotency", "attempts", "event_log", "dag", "slot_accounting", "schema_migrations", "foreign_keys")
 
 
-def report(violations: DataFrame) -> DataFrame:
-    """REC13: every check with its number of violations, and whether it passed."""
-    names = violations.sparkSession.createDataFrame([(c,) for c in CHECKS], "check string")
+def report(violations: DataFrame, ran: Iterable[str] = ()) -> DataFrame:
+    """REC13: every check with its number of violations, and whether it passed; both are null for a check that found nothing and isn't among those that `ran`."""
+    names = violations.sparkSession.createDataFrame([(c, c in set(ran)) for c in CHECKS], "check string, ran boolean")
     n = violations.groupBy("check").agg(F.count("*").alias("n"))
-    return names.join(n, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("violations"), F.coalesce(F.col("n") == 0, F.lit(True)).alias("passed"))
+    found = F.coalesce("n", F.when(F.col("ran"), F.lit(0).cast("long")))
+    return names.join(n, "check", "left").select("check", found.alias("violations"), (found == 0).alias("passed"))
 
 
 def details(violations: DataFrame, most: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import ledger as fn
+from tidewheel.functions.ledger import ACTIVE
 from tidewheel.operators import checks, evidence, graph, reads, scheduling, slo, timing, transitions
 from tidewheel.sources.derive import Ledger, duckdb_ctes
 from tidewheel.streaming import cron
@@ -143,15 +144,30 @@ query("AG19_rates", "SELECT worker_id, CASE WHEN count(*) >= 2 AND max(leased_at
 
 
 def drained(x: Ledger, corrupt: bool) -> dict[str, DataFrame]:
-    """The SUCCEEDED jobs as a ledger of their own; `corrupt` drops, doubles and bends some rows."""
-    kept = x.jobs.where("state = 'SUCCEEDED'").select("id")
-    by = lambda df, c: df.join(kept.withColumnRenamed("id", c), c, "left_semi")
+    """The ledger without the jobs that haven't SUCCEEDED, and without what those hold; `corrupt` drops, doubles and bends some rows.
+
+    Rows of jobs that don't exist stay, so that checks find them. Events stay whole, as their sequence is.
+    """
+    out_of_it = x.jobs.where("NOT state <=> 'SUCCEEDED'").select("id", "tenant_id", "queue_name", F.when(F.col("state").isin(*ACTIVE), F.col("slot_cost")).otherwise(0).alias("held"))
+    by = lambda df, c: df.join(out_of_it.select(F.col("id").alias(c)), c, "left_anti")
+
+    def less(df: DataFrame, *names: str) -> DataFrame:
+        held = out_of_it.groupBy(*names).agg(F.sum("held").cast("long").alias("held"))
+        return df.join(held, [*names], "left").withColumn("active_slots", F.col("active_slots") - F.coalesce("held", F.lit(0))).drop("held")
+
     out = {"jobs": by(x.jobs, "id"), "attempts": by(x.attempts, "job_id"), "done": by(x.job_completions, "job_id"), "manifest": x.manifest, "requests": by(x.idempotency_requests, "job_id")}
+    out |= {"events": x.ledger_events, "edges": by(by(x.job_dependencies, "job_id"), "depends_on_id"), "queues": less(x.queue_state, "tenant_id", "queue_name"), "tenants": less(x.tenant_limits, "tenant_id"), "counters": x.counters, "migrations": x.schema_migrations}
     if corrupt:
         out["done"] = out["done"].where("k % 97 <> 0").unionByName(out["done"].where("k % 101 = 0"))
         out["attempts"] = out["attempts"].withColumn("lease_generation", F.when(F.col("k") % 103 == 0, 1).otherwise(F.col("lease_generation")).cast("long"))
         out["jobs"] = out["jobs"].withColumn("state_version", F.when(F.col("k") % 107 == 0, F.col("state_version") + 1).otherwise(F.col("state_version")))
         out["manifest"] = out["manifest"].where("k % 109 <> 0")
+        out["events"] = out["events"].where("event_seq % 127 <> 0")
+        out["edges"] = out["edges"].withColumn("depends_on_id", F.when(F.col("job_id").startswith("0"), "gone").otherwise(F.col("depends_on_id")))
+        out["queues"] = out["queues"].withColumn("active_slots", F.col("active_slots") + (F.col("weight") == 2).cast("long"))
+        out["tenants"] = out["tenants"].withColumn("active_slots", F.col("active_slots") + (F.length("tenant_id") == 8).cast("long"))
+        out["counters"] = out["counters"].withColumn("value", F.lit(100).cast("long"))
+        out["migrations"] = out["migrations"].where("version <> 2").withColumn("checksum", F.when(F.col("version") == 4, "bent").otherwise(F.col("checksum")))
     return out
 
 
@@ -206,13 +222,65 @@ query(
 )(lambda x: names(checks.dependencies(x.job_dependencies, x.jobs, x.ledger_events)))
 
 
-def all_violations(x: Ledger, corrupt: bool) -> DataFrame:
+def all_checks(x: Ledger, corrupt: bool) -> dict[str, list[DataFrame]]:
+    """The violations by check of CHECKS; ready sequences are counted over all jobs, as their counter is."""
     d = drained(x, corrupt)
-    return checks.union([checks.manifest(d["manifest"]), checks.ledger_jobs(d["manifest"], d["jobs"]), checks.completions(d["manifest"], d["jobs"], d["done"]), checks.idempotency(d["manifest"], d["requests"]), checks.attempt_rows(d["attempts"], d["jobs"]), checks.attempt_chain(d["attempts"], d["jobs"]), checks.materialized(d["jobs"])])
-
-
-query("REC13_clean_report", "SELECT unnest(['manifest','canonical_ledger','materialized_jobs','idempotency','attempts','event_log','dag','slot_accounting','schema_migrations','foreign_keys']) AS \"check\", CAST(0 AS BIGINT) AS violations, true AS passed")(lambda x: checks.report(all_violations(x, False)))
-query("EV5_verdict", "SELECT '' AS reasons, CAST(0 AS BIGINT) AS violations, true AS passed")(lambda x: evidence.passes(checks.report(all_violations(x, False))))
+    value = d["counters"].where("name = 'ready_seq'").agg(F.coalesce(F.max("value"), F.lit(0))).first()[0]
+    links = [("attempts", "job_id", "attempt without job"), ("done", "job_id", "completion without job"), ("requests", "job_id", "request without job"), ("edges", "job_id", "dependency without job"), ("edges", "depends_on_id", "dependency without parent")]
+    whole = [(x.ledger_events, "event without job"), (x.dead_letters, "dead letter without job"), (x.dag_jobs, "node without job")]
+    return {
+        "manifest": [checks.manifest(d["manifest"])],
+        "canonical_ledger": [checks.ledger_jobs(d["manifest"], d["jobs"]), checks.completions(d["manifest"], d["jobs"], d["done"])],
+        "materialized_jobs": [checks.materialized(d["jobs"]), checks.counters(x.jobs, value)],
+        "idempotency": [checks.idempotency(d["manifest"], d["requests"])],
+        "attempts": [checks.attempt_rows(d["attempts"], d["jobs"]), checks.attempt_chain(d["attempts"], d["jobs"])],
+        "event_log": [checks.event_log(d["events"], d["jobs"])],
+        "dag": [checks.dependencies(d["edges"], d["jobs"], d["events"])],
+        "slot_accounting": [checks.slots(d["jobs"], d["queues"], d["tenants"])],
+        "schema_migrations": [checks.schema_versions(d["migrations"])],
+        "foreign_keys": [checks.foreign_keys(d[t], c, d["jobs"], "id", name) for t, c, name in links] + [checks.foreign_keys(t, "job_id", x.jobs, "id", name) for t, name in whole] + [checks.foreign_keys(x.jobs, "tenant_id", x.tenant_limits, "tenant_id", "job without tenant")],
+    }
+
+
+def report_of(x: Ledger, corrupt: bool) -> DataFrame:
+    parts = all_checks(x, corrupt)
+    return checks.report(checks.union([df for found in parts.values() for df in found]), parts)
+
+
+_moves = " OR ".join(f"previous {'IS NULL' if old is None else f'= {chr(39)}{old}{chr(39)}'} AND state IN ({', '.join(f'{chr(39)}{s}{chr(39)}' for s in new)})" for old, new in checks.MOVES.items())
+#: Violations of the corrupt ledger, a row each.
+FAULTS_SQL = f"""{DRAINED}, d_ev AS (SELECT *, row_number() OVER w AS r, lag(state) OVER w AS previous FROM ledger_events WHERE event_seq % 127 <> 0 WINDOW w AS (PARTITION BY job_id ORDER BY event_seq)),
+    d_fold AS (SELECT job_id, arg_max(state, event_seq) AS state, arg_max(state_version, event_seq) AS v FROM d_ev GROUP BY job_id),
+    d_edge AS (SELECT d.job_id, CASE WHEN d.job_id LIKE '0%' THEN 'gone' ELSE depends_on_id END AS parent FROM job_dependencies d WHERE d.job_id IN (SELECT id FROM kept) AND depends_on_id IN (SELECT id FROM kept)),
+    held AS (SELECT tenant_id, queue_name, CAST(sum(slot_cost) AS BIGINT) AS n FROM jobs WHERE state IN ('SCHEDULED', 'RUNNING') GROUP BY ALL), d_mig AS (SELECT version, CASE WHEN version = 4 THEN 'bent' ELSE checksum END AS checksum FROM schema_migrations WHERE version <> 2),
+    a AS (SELECT *, lag(lease_generation) OVER (PARTITION BY job_id ORDER BY attempt_no) AS g FROM d_att), l AS (SELECT job_id, arg_max(lease_generation, attempt_no) AS g FROM d_att GROUP BY job_id),
+    f AS (SELECT 'manifest' AS "check" FROM d_man HAVING count(*) <> max(sequence) OR min(sequence) <> 1
+    UNION ALL SELECT 'canonical_ledger' FROM d_jobs WHERE id NOT IN (SELECT job_id FROM d_man)
+    UNION ALL SELECT 'canonical_ledger' FROM d_done GROUP BY job_id HAVING count(*) > 1
+    UNION ALL SELECT 'canonical_ledger' FROM d_done c JOIN d_jobs j ON j.id = c.job_id WHERE c.state <> j.state OR c.state_version <> j.state_version OR c.attempt_no <> j.attempt_no
+    UNION ALL SELECT 'canonical_ledger' FROM d_man WHERE job_id NOT IN (SELECT job_id FROM d_done)
+    UNION ALL SELECT 'canonical_ledger' FROM d_jobs WHERE id NOT IN (SELECT job_id FROM d_done)
+    UNION ALL SELECT 'materialized_jobs' FROM jobs WHERE ready_seq > 100
+    UNION ALL SELECT 'materialized_jobs' FROM jobs WHERE ready_seq > 0 GROUP BY ready_seq HAVING count(*) > 1
+    UNION ALL SELECT 'idempotency' FROM idempotency_requests q JOIN kept ON kept.id = q.job_id WHERE q.job_id NOT IN (SELECT job_id FROM d_man)
+    UNION ALL SELECT 'attempts' FROM a WHERE lease_generation <= g
+    UNION ALL SELECT 'attempts' FROM d_jobs j JOIN l ON l.job_id = j.id WHERE l.g <> j.lease_generation
+    UNION ALL SELECT 'event_log' FROM d_ev WHERE (r = 1) <> (event_type = 'job_admitted')
+    UNION ALL SELECT 'event_log' FROM d_ev WHERE state_version <> r
+    UNION ALL SELECT 'event_log' FROM d_ev WHERE NOT coalesce({_moves}, false)
+    UNION ALL SELECT 'event_log' FROM d_ev HAVING count(*) <> max(event_seq) OR min(event_seq) <> 1
+    UNION ALL SELECT 'event_log' FROM d_jobs j LEFT JOIN d_fold e ON e.job_id = j.id WHERE e.job_id IS NULL OR e.state <> j.state OR e.v <> j.state_version
+    UNION ALL SELECT 'dag' FROM d_edge WHERE parent NOT IN (SELECT id FROM kept)
+    UNION ALL SELECT 'dag' FROM d_edge d JOIN kept c ON c.id = d.job_id JOIN kept p ON p.id = d.parent WHERE c.tenant_id <> p.tenant_id
+    UNION ALL SELECT 'slot_accounting' FROM queue_state q LEFT JOIN held h ON h.tenant_id = q.tenant_id AND h.queue_name = q.queue_name WHERE q.active_slots - coalesce(h.n, 0) + CASE WHEN weight = 2 THEN 1 ELSE 0 END <> 0
+    UNION ALL SELECT 'slot_accounting' FROM tenant_limits t LEFT JOIN (SELECT tenant_id, sum(n) AS n FROM held GROUP BY tenant_id) h ON h.tenant_id = t.tenant_id WHERE t.active_slots - coalesce(h.n, 0) + CASE WHEN length(t.tenant_id) = 8 THEN 1 ELSE 0 END <> 0
+    UNION ALL SELECT 'schema_migrations' FROM d_mig HAVING count(*) <> max(version) OR min(version) <> 1
+    UNION ALL SELECT 'schema_migrations' FROM d_mig WHERE NOT regexp_full_match(checksum, '[0-9a-f]{{64}}')
+    UNION ALL SELECT 'foreign_keys' FROM d_edge WHERE parent NOT IN (SELECT id FROM kept))"""
+query("REC13_clean_report", "SELECT unnest(['manifest','canonical_ledger','materialized_jobs','idempotency','attempts','event_log','dag','slot_accounting','schema_migrations','foreign_keys']) AS \"check\", CAST(0 AS BIGINT) AS violations, true AS passed")(lambda x: report_of(x, False))
+query("EV5_verdict", "SELECT '' AS reasons, CAST(0 AS BIGINT) AS violations, true AS passed")(lambda x: evidence.passes(report_of(x, False)))
+query("REC13_faulty_report", f"WITH {FAULTS_SQL} SELECT c.\"check\", count(f.\"check\") AS violations, count(f.\"check\") = 0 AS passed FROM (SELECT unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in checks.CHECKS)}]) AS \"check\") c LEFT JOIN f ON f.\"check\" = c.\"check\" GROUP BY c.\"check\"")(lambda x: report_of(x, True))
+query("EV5_faulty_verdict", f"WITH {FAULTS_SQL} SELECT string_agg(DISTINCT \"check\", ',' ORDER BY \"check\") AS reasons, count(*) AS violations, count(*) = 0 AS passed FROM f")(lambda x: evidence.passes(report_of(x, True)))
 
 # --- evidence
 

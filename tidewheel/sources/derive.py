@@ -65,6 +65,8 @@ TABLES: dict[str, str] = {
         CASE WHEN redriven_job_id IS NULL THEN 'inspect' ELSE 'redrive' END AS action, job_id AS target, created_at + 1000000000 AS occurred_at FROM dead_letters""",
     "stream_events": """SELECT event_id AS event_seq, CAST(user_id AS STRING) AS job_id, CASE event_type WHEN 'signup' THEN 'job_admitted' WHEN 'view' THEN 'job_promoted' WHEN 'click' THEN 'lease_acquired'
         WHEN 'purchase' THEN 'job_completed' ELSE 'lease_reaped' END AS event_type, {us_ts} * 1000 AS occurred_at, value FROM {raw}""",
+    "counters": "SELECT 'ready_seq' AS name, max(k) + 1 AS value FROM job0",
+    "schema_migrations": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS version, {sha_migration} AS checksum FROM {region}",
 }
 #: Tables with a dense number over all rows, and its order: DuckDB numbers them by a window, Spark range by range.
 NUMBERED = {"ledger_events": ("event_seq", ["occurred_at", "job_id", "ord", "no"]), "manifest": ("sequence", ["accepted_at", "job_id"])}
@@ -80,7 +82,7 @@ FUNCTIONS = {
 def _render(engine: str, names: dict[str, str]) -> dict[str, str]:
     f = FUNCTIONS[engine]
     fills = names | {"us_orderdate": f["us"].format("o_orderdate"), "us_ts": f["us"].format("ts")}
-    fills |= {f"sha_{k}": f["sha"].format(v) for k, v in {"token": "concat(id, ':', CAST(no AS STRING))", "exec": "concat('exec:', j.id)", "out": "concat('out:', id)", "req": "concat('req:', id)"}.items()}
+    fills |= {f"sha_{k}": f["sha"].format(v) for k, v in {"token": "concat(id, ':', CAST(no AS STRING))", "exec": "concat('exec:', j.id)", "out": "concat('out:', id)", "req": "concat('req:', id)", "migration": "concat('migration:', CAST(r_regionkey AS STRING))"}.items()}
     for name, (column, order) in NUMBERED.items():
         order = ["created_at", "id"] if name == "manifest" else order
         fills[column] = "CAST(0 AS BIGINT)" if engine == "spark" else f"CAST(row_number() OVER (ORDER BY {', '.join(order)}) AS BIGINT)"
