@@ -392,6 +392,29 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(got[20 + i] == "" for i in range(5))
 
 
+def found_ids(spark, seeds, unseen):
+    """The text of each found span, for the texts of `unseen`."""
+    rows = list(enumerate(seeds + unseen))
+    got = {r.doc_id: r.spans for r in private.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = lambda t, s: t[int(s.split(":")[1]) : int(s.split(":")[2])]
+    return [[cut(t, s) for s in got[i].split(",") if s.startswith("id:")] for i, t in rows if t in unseen]
+
+
+def test_spans_of_several_words_seed_the_bootstrap(spark):
+    phones = [f"{prose(i, 6)} reach me at +1 (771) 555-16{i}5 any time {prose(i + 50, 5)}" for i in range(6)]
+    assert found_ids(spark, phones, [f"{prose(90, 6)} reach me at QX-44192 any time {prose(4, 4)}"]) == [["QX-44192"]]
+    cards = [f"{prose(i, 6)} charge it to {c} please {prose(i + 50, 5)}" for i, c in enumerate(("4111 1111 1111 1111", "5555 5555 5555 4444", "5105 1051 0510 5100", "4012 8888 8888 1881"))]
+    assert found_ids(spark, cards, [f"{prose(90, 6)} charge it to QX-44192 please {prose(4, 4)}"]) == [["QX-44192"]]
+
+
+def test_grouped_long_and_numbered_identifiers_are_found(spark):
+    seeds = [f"{prose(i, 6)} my badge number is user{i}@corp.example and {prose(i + 50, 5)}" for i in range(9)]
+    wanted = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "K9" + "a1b2c3d4" * 12, "123 45 6789"]
+    assert found_ids(spark, seeds, [f"{prose(i + 90, 6)} my badge number is {w} and {prose(i, 4)}" for i, w in enumerate(wanted)]) == [[w] for w in wanted]
+    seeds = [f"{prose(i, 6)} in room 12 user{i}@corp.example sits {prose(i + 50, 5)}" for i in range(6)]
+    assert found_ids(spark, seeds, [f"{prose(90, 6)} in room 12 QX-44192 sits {prose(4, 4)}"]) == [["QX-44192"]]
+
+
 # --- 9
 
 

@@ -1,14 +1,14 @@
 """Personal data: base spans, and bootstrapped contextual extraction. DataFrame operations alone.
 
-Base entities seed the bootstrap. Words around identifier-like tokens are patterns; a
-bipartite graph joins patterns with the values they extract. Each round scores patterns by
+Base entities seed the bootstrap. Words around whole base spans, identifier-like tokens and runs
+of such tokens are patterns; a bipartite graph joins patterns with the values they extract. Each round scores patterns by
 the share of their values that are believed, and values by the patterns that extract them;
 trusted patterns then mark identifiers that no base expression knows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import UPPER, prepare, stored
@@ -30,8 +30,10 @@ _SPACE = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 #: Rounds of the bootstrap; distinct believed values and share of them that a pattern needs; belief that a value needs.
 ROUNDS, SUPPORT, CONFIDENCE, BELIEF = 3, 3, 0.6, 0.8
-#: Digits that a value needs to be taken for an identifier.
-DIGITS = 4
+#: Digits that a value needs to be taken for an identifier; code points that a value outside of base spans needs, and those beyond which it is compared by its hash.
+DIGITS, LEAST, HASHED = 4, 5, 64
+#: What may part the tokens of a run (blanks, and one bank code), and how tokens end and begin where they go on.
+BETWEEN, ENDS, BEGINS = r"^[\x20\x09]+(?:[A-Z]{4}[\x20\x09]+)?$", r"^[^@]*[\p{L}0-9)-]$", r"^[\p{L}0-9(+][^@]*$"
 #: Elements summed in one step of a prefix sum, and code points of context kept on either side.
 CHUNK, CONTEXT = 64, 64
 
@@ -83,9 +85,23 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def kept(kind: str) -> Column:
-    """The spans of a kind that count, as (start, rank, end)."""
+    """The spans of a kind that count, as (start, rank, end, value)."""
     good = F.filter(f"{kind}_spans", lambda s: valid(kind, s["value"]))
-    return F.transform(good, lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("rank"), s["end"]))
+    return F.transform(good, lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("rank"), s["end"], s["value"]))
+
+
+def words_before(i: Column) -> Column:
+    """The text before token i, as far back as two words reach, be they tokens or not."""
+    gap = lambda k: F.element_at("before", i + 1 - k)
+    token = lambda k: F.right(F.element_at("token", i + 1 - k), F.lit(CONTEXT))
+    second = F.concat(F.when((i > 1) & (F.length(gap(1)) < CONTEXT), token(2)).otherwise(""), gap(1), token(1))
+    return F.right(F.concat(F.when((i > 0) & (F.length(gap(0)) < CONTEXT), second).otherwise(""), gap(0)), F.lit(CONTEXT))
+
+
+def words_after(i: Column) -> Column:
+    """The text after token i, as far as one word reaches."""
+    gap = F.element_at("after", i + 2)
+    return F.concat(gap, F.when((F.length(gap) < CONTEXT) & (i + 1 < F.size("token")), F.left(F.element_at("token", i + 2), F.lit(CONTEXT))).otherwise(""))
 
 
 def of_rank(rank: int) -> Column:
@@ -93,7 +109,7 @@ def of_rank(rank: int) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """Per row: rid, doc_id, base spans (start, end, kind rank) in order, and identifier-like tokens with their contexts."""
+    """Per row: rid, doc_id, base spans (start, kind rank, end), the same with their values, and identifier-like tokens with the gap before them and their contexts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # where two separators meet, a card ends: both are masked, so that a plain class matches what lies between
     masked = F.regexp_replace(text, r"[\x20-](?=[\x20-])|(?<=[\x20-])[\x20-]", "#")
@@ -113,41 +129,90 @@ def matches(docs: DataFrame) -> DataFrame:
     for name in (*KINDS, "token"):
         raw = located(raw, name)
     spans = [kept(k) for k in KINDS]
-    tokens = F.transform("token_spans", lambda s, i: F.struct(s["start"], s["end"], s["value"], F.element_at("before", i + 1).alias("before"), F.element_at("after", i + 2).alias("after")))
-    return stored(raw.select("rid", "doc_id", F.array_sort(F.concat(*spans)).alias("base"), tokens.alias("tokens")), "spans")
+    tokens = F.transform("token_spans", lambda s, i: F.struct(s["start"], s["end"], s["value"], F.element_at("before", i + 1).alias("gap"), words_before(i).alias("before"), words_after(i).alias("after")))
+    base = F.transform("entities", lambda s: F.struct(s["start"], s["rank"], s["end"]))
+    return stored(raw.select("rid", "doc_id", F.array_sort(F.concat(*spans)).alias("entities"), tokens.alias("tokens")).select("rid", "doc_id", base.alias("base"), "entities", "tokens"), "spans")
 
 
-def instances(rows: DataFrame) -> DataFrame:
-    """One row per identifier-like token and pattern: rid, start, end, value, seed (it lies under a base span), pattern.
+def compared(value: Column) -> Column:
+    return F.when(F.length(value) > HASHED, F.sha2(value.cast("binary"), 256)).otherwise(value)
+
+
+def seeds_of(rows: DataFrame) -> DataFrame:
+    """Each base span as one instance; its context is what stands around the words that it touches."""
+
+    def one(b: Column) -> Column:
+        first = F.size(F.filter("tokens", lambda t: t["end"] <= b["start"])) + 1
+        last = F.size(F.filter("tokens", lambda t: t["start"] < b["end"]))
+        return F.struct(b["start"], b["end"], b["value"], F.element_at("tokens", first)["before"].alias("before"), F.element_at("tokens", last)["after"].alias("after"))
+
+    return rows.where(F.size("entities") > 0).select("rid", F.inline(F.transform("entities", one))).withColumn("seed", F.lit(True)).withColumn("place", compared(F.col("value")))
 
-    Punctuation around a token isn't part of it. Patterns are the two words before the
-    token, and the word before with the word after; a token without a word before has none.
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Tokens clear of base spans, and runs of them: whole, and without the first or the last token, which may be a number of its own.
+
+    Candidates of one run share a `place`. Punctuation around a candidate isn't part of it.
     """
-    one = rows.select("rid", "base", F.explode("tokens").alias("t")).select("rid", "base", "t.*")
+    hit = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
+    marked = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t["start"], t["end"], t["value"], t["gap"], t["before"], t["after"], hit(t).alias("hit")))
+    free = rows.where(F.size("tokens") > 0).select("rid", F.inline(F.filter(marked, lambda t: ~t["hit"]))).drop("hit")
+    w = Window.partitionBy("rid").orderBy("i")
+    digit = F.col("value").rlike("[0-9]") & F.lag("value").over(w).rlike("[0-9]")
+    goes_on = (F.lag("i").over(w) == F.col("i") - 1) & digit & F.col("gap").rlike(BETWEEN) & F.lag("value").over(w).rlike(ENDS) & F.col("value").rlike(BEGINS)
+    free = free.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
+    free = free.withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
+    part = F.struct("i", "start", "end", "value", "gap", "before", "after")
+    runs = free.groupBy("rid", "run").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    n = F.size("parts")
+
+    def cut(first: int, length: Column) -> Column:
+        kept = F.slice("parts", first, length)
+        a, z = F.element_at(kept, 1), F.element_at(kept, -1)
+        text = F.array_join(F.transform(kept, lambda p, i: F.concat(F.when(i > 0, p["gap"]).otherwise(""), p["value"])), "")
+        return F.struct(a["start"].alias("start"), z["end"].alias("end"), text.alias("value"), a["before"].alias("before"), z["after"].alias("after"))
+
+    single = F.transform("parts", lambda p: F.struct(p["start"], p["end"], p["value"], p["before"], p["after"]))
+    none = F.slice(single, 1, 0)
+    all_ = F.concat(single, F.when(n > 1, F.array(cut(1, n))).otherwise(none), F.when(n > 2, F.array(cut(2, n - 1), cut(1, n - 1))).otherwise(none))
+    one = runs.withColumn("place", compared(cut(1, n)["value"])).select("rid", "place", F.inline(all_))
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}0-9+@]*+", 0))
     core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}0-9+@]++", ""), r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
     one = one.withColumn("start", F.col("start") + lead).withColumn("value", core).withColumn("end", F.col("start") + F.length("value"))
-    one = one.where(F.length("value").between(5, 64) & F.col("value").rlike("[0-9@]"))
-    one = one.withColumn("seed", F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("base")
+    return one.where((F.length("value") >= LEAST) & F.col("value").rlike("[0-9@]")).withColumn("seed", F.lit(False))
+
+
+def instances(rows: DataFrame) -> DataFrame:
+    """One row per base span or candidate and pattern: rid, start, end, value, place, digits (it has enough), seed (it is a base span), pattern.
+
+    Patterns are the two words before the instance, and the word before with the word after;
+    an instance without a word before has none. Words may hold digits. A long value is its hash.
+    """
+    one = seeds_of(rows).unionByName(candidates(rows))
     low = lambda c: F.translate(c, UPPER, UPPER.lower())
     left = F.regexp_extract(low(F.col("before")), rf"([^{_SPACE}]+[{_SPACE}]+[^{_SPACE}]+)[{_SPACE}]*$", 1)
     last = F.regexp_extract(low(F.col("before")), rf"([^{_SPACE}]+)[{_SPACE}]*$", 1)
     right = F.regexp_extract(low(F.col("after")), rf"^[{_SPACE}]*([^{_SPACE}]+)", 1)
     patterns = F.array(F.when(left != "", F.concat(F.lit("L "), F.regexp_replace(left, rf"[{_SPACE}]+", " "))), F.when((last != "") & (right != ""), F.concat_ws(" ", F.lit("M"), last, F.lit("_"), right)))
-    return one.select("rid", "start", "end", "value", "seed", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
+    digits = F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS
+    return one.select("rid", "start", "end", compared(F.col("value")).alias("value"), "place", digits.alias("digits"), "seed", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Values with their belief (1 for seeds), after scoring the pattern-instance graph `rounds` times."""
-    edges = stored(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    """Values with their belief (1 for seeds), after scoring the pattern-instance graph `rounds` times.
+
+    Candidates of one place count once for a pattern, by the one believed most.
+    """
+    edges = stored(found.groupBy("pattern", "place", "value").agg(F.max("seed").alias("seed")), "edges")
     seeds = edges.where("seed").select("value").distinct().withColumn("belief", F.lit(1.0))
     belief = seeds
     for _ in range(rounds):
         known = edges.join(belief, "value", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
-        scored = known.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("belief").alias("s"), F.count_if(F.col("belief") >= BELIEF).alias("k"))
+        places = known.groupBy("pattern", "place").agg(F.max("belief").alias("belief"), F.max_by("value", "belief").alias("value"))
+        scored = places.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("belief").alias("s"), F.countDistinct(F.when(F.col("belief") >= BELIEF, F.col("value"))).alias("k"))
         trusted = scored.where((F.col("k") >= support) & (F.col("s") >= confidence * F.col("n"))).select("pattern", (F.col("s") / (F.col("n") + 0.5)).alias("c"))
         trusted = stored(trusted, "trusted")  # so that a hot pattern's join can be split
-        doubt = edges.join(trusted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("belief"))
+        doubt = edges.select("pattern", "value").distinct().join(trusted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("belief"))
         belief = stored(doubt.join(seeds.select("value"), "value", "left_anti").unionByName(seeds), "belief")
     return belief
 
@@ -162,7 +227,11 @@ def find_private(docs: DataFrame) -> DataFrame:
     rows = matches(docs)
     found = stored(instances(rows), "instances")
     belief = bootstrap(found).where(F.col("belief") >= BELIEF).select("value")
-    new = found.where(~F.col("seed") & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS)).select("rid", "start", "end", "value").distinct().join(belief, "value").groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")).alias("new"))
+    new = found.where(~F.col("seed") & F.col("digits")).select("rid", "start", "end", "value").distinct().join(belief, "value")
+    # the longest of nested finds stays
+    before = F.max("end").over(Window.partitionBy("rid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    new = new.withColumn("reached", before).where(F.col("reached").isNull() | (F.col("end") > F.col("reached")))
+    new = new.groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")).alias("new"))
     return rows.select("rid", "doc_id", "base").join(new, "rid", "left").select("doc_id", "base", F.array_sort(F.coalesce("new", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"))).alias("found"))
 
 
