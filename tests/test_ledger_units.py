@@ -163,6 +163,44 @@ def test_descendants_of_a_diamond(spark):
     assert graph.descendants(edges, start.where("false")).count() == 0
 
 
+def test_chains_beyond_a_thousand(spark):
+    n = 1500
+    nodes = spark.range(n).select(F.lit("d").alias("dag_id"), F.format_string("n%05d", "id").alias("id"))
+    edges = spark.range(1, n).select(F.lit("d").alias("dag_id"), F.format_string("n%05d", "id").alias("id"), F.format_string("n%05d", F.col("id") - 1).alias("parent"))
+    want = [(f"n{i:05}", i) for i in range(n)]
+    assert [(r.id, r.level) for r in graph.levels(nodes, edges).orderBy("id").collect()] == want
+    assert [(r.id, r.position - 1) for r in graph.lexical_order(nodes, edges).orderBy("id").collect()] == want
+    below = graph.descendants(edges.select(F.col("id").alias("job_id"), F.col("parent").alias("depends_on_id")), spark.createDataFrame([("n00002",), ("n00900",)], "id string"))
+    assert sorted(r.id for r in below.collect()) == [i for i, _ in want[3:]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_and_descendants_against_brute_force(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    parents = {(d, i): {j for j in range(14) if r.random() < (0.08 if d else 0.05) and (d or j < i)} | ({i - 1} if i % 7 and r.random() < 0.8 else set()) for d in range(4) for i in range(14)}
+    parents |= {(9, 0): {2}, (9, 1): {0}, (9, 2): {1}, (9, 3): set(), (9, 4): {4}}
+    nodes = spark.createDataFrame([(str(d), f"{i:02}") for d, i in parents], "dag_id string, id string")
+    edges = spark.createDataFrame([(str(d), f"{i:02}", f"{j:02}") for (d, i), ps in parents.items() for j in ps] + [("0", "00", "unknown")], "dag_id string, id string, parent string")
+    level, moved = {}, True
+    while moved:
+        ready = {(d, i): 1 + max((level[d, j] for j in ps), default=-1) for (d, i), ps in parents.items() if (d, i) not in level and all((d, j) in level for j in ps)}
+        level, moved = level | ready, bool(ready)
+    assert {(int(x.dag_id), int(x.id)): x.level for x in graph.levels(nodes, edges).collect()} == {k: level.get(k) for k in parents}
+    start = {(d, i) for d, i in parents if i % 6 == 0}
+    for open_ in (set(parents), {k for k in parents if r.random() < 0.8}):
+        below, todo = set(), list(start)
+        while todo:
+            d, j = todo.pop()
+            new = {(d, i) for (e, i), ps in parents.items() if e == d and j in ps and (e, i) in open_} - below
+            below, todo = below | new, todo + list(new)
+        name = F.concat_ws("/", "dag_id", "id")
+        ids = lambda keys: spark.createDataFrame([(f"{d}/{i:02}",) for d, i in keys], "id string")
+        got = graph.descendants(edges.select(name.alias("job_id"), F.concat_ws("/", "dag_id", "parent").alias("depends_on_id")), ids(start), ids(open_))
+        assert sorted(x.id for x in got.collect()) == sorted(f"{d}/{i:02}" for d, i in below)
+
+
 def test_workflow_validation(spark):
     nodes = spark.createDataFrame([("w", "a"), ("w", "a"), ("w", " ")], "dag_id string, id string")
     edges = spark.createDataFrame([("w", "a", "q"), ("w", "a", "a"), ("w", "a", "q")], "dag_id string, id string, parent string")

@@ -1,54 +1,119 @@
-"""Graphs of dependencies: closures by frontier, order and cycles by peeling, validation by joins."""
+"""Graphs of dependencies: unbranched chains by pointer doubling, closures by frontier, order and cycles by peeling, validation by joins."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.plans.storage import materialize
 
+#: Rounds after which what rounds left behind is written as one table, so that plans stay short.
+ROUNDS = 16
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gathered(parts: list[DataFrame], what: str) -> list[DataFrame]:
+    return [materialize(union(parts), what)] if len(parts) >= ROUNDS else parts
+
 
-def descendants(edges: DataFrame, start: DataFrame, open_only: DataFrame | None = None, depth: int = 1000) -> DataFrame:
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one parent whose one child they are, of distinct (from, id): (id, head, at) with the first node of their chain and the distance to it, and (id, least) of those on a cycle of its own.
+
+    Pointers double, so a chain of n takes log n rounds; no two open pointers meet, so no key is hot.
+    """
+    child = edges.groupBy("id").agg(F.count("*").alias("n"), F.first("from").alias("up")).where("n = 1").select("id", "up")
+    parent = edges.groupBy("from").agg(F.count("*").alias("n")).where("n = 1").select(F.col("from").alias("up"))
+    link = materialize(child.join(parent, "up").select("id", "up"), "links")
+    inner = link.select(F.col("id").alias("up"), F.lit(True).alias("open"))
+    first = materialize(link.join(inner, "up", "left").select("id", "up", F.lit(1).cast("long").alias("at"), F.least("id", "up").alias("least"), F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    done, left, reach, most = [first.where("NOT open")], first.where("open"), 1, first.count()
+    while reach <= most and not left.isEmpty():
+        ahead = union([*done, left]).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("at").alias("more"), F.col("least").alias("other"), F.col("open").alias("on"))
+        moved = left.drop("open").join(ahead, "up").select("id", F.col("next").alias("up"), (F.col("at") + F.col("more")).alias("at"), F.least("least", "other").alias("least"), F.col("on").alias("open"))
+        moved = materialize(moved, "chains")
+        done, left, reach = gathered([*done, moved.where("NOT open")], "chains"), moved.where("open"), 2 * reach
+    return union(done).select("id", F.col("up").alias("head"), "at"), left.select("id", "least")
+
+
+def descendants(edges: DataFrame, start: DataFrame, open_only: DataFrame | None = None) -> DataFrame:
     """GR1, SO3: (id) reachable from `start` (id) along (job_id depends_on depends_on_id), the start itself left out unless on a cycle.
 
-    A frontier moves one edge a round and drops what was seen, so diamonds don't multiply;
-    `open_only` (id) bounds it to some jobs.
+    A frontier moves one chain a round until nothing is found, and drops what was seen, so
+    diamonds don't multiply; `open_only` (id) bounds it to some jobs.
     """
     step = edges.select(F.col("depends_on_id").alias("from"), F.col("job_id").alias("id")).distinct()
     if open_only is not None:
-        step = step.join(open_only.select("id"), "id", "left_semi")
+        step = step.join(open_only.select("id").distinct(), "id", "left_semi")
     step = materialize(step, "edges")
-    frontier, seen = start.select("id").distinct(), None
-    for _ in range(depth):
-        found = step.join(frontier.withColumnRenamed("id", "from"), "from").select("id").distinct()
-        frontier = materialize(found if seen is None else found.join(seen, "id", "left_anti"), "frontier")
+    inside, ring = chains(step)
+    of = lambda df, c: df.join(inside.withColumnRenamed("id", c), c, "left").withColumn("head", F.coalesce("head", c)).withColumn("at", F.coalesce("at", F.lit(0)))
+    rings = ring.withColumnRenamed("id", "_ring")
+    outer = step.join(inside.select("id").unionByName(ring.select("id")), "id", "left_anti")
+    hop = materialize(of(outer, "from").select(F.col("head").alias("from"), "id").distinct(), "hops")
+    begun = materialize(of(start.select("id").distinct(), "id").groupBy("head").agg(F.min("at").alias("first")), "starts")
+    frontier, seen = begun.select(F.col("head").alias("id")), []
+    while True:
+        found = hop.join(frontier.withColumnRenamed("id", "from"), "from").select("id").distinct()
+        frontier = materialize(found if not seen else found.join(union(seen), "id", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = frontier if seen is None else seen.unionByName(frontier)
-    return frontier if seen is None else seen
-
-
-def levels(nodes: DataFrame, edges: DataFrame, depth: int = 1000) -> DataFrame:
+        seen = gathered([*seen, frontier], "seen")
+    # later nodes of the chains of starts, whole chains that were reached, and cycles with a start
+    out = [inside.join(begun, "head").where("at > first").select("id")]
+    if seen:
+        whole = union(seen)
+        out += [whole, inside.join(whole.withColumnRenamed("id", "head"), "head", "left_semi").select("id")]
+    met = rings.join(start.select(F.col("id").alias("_ring")), "_ring", "left_semi").select("least").distinct()
+    out.append(ring.join(met, "least", "left_semi").select("id"))
+    return union(out).distinct()
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR2, GR3: (dag_id, id, level): the longest path from a root, nodes on or below a cycle with null.
 
-    All DAGs peel together: each round takes the nodes whose parents are all taken.
+    Unbranched chains count as one node; all DAGs peel together until nothing is free: each
+    round takes the chains whose parents are all taken.
     """
-    edges = materialize(edges.select("dag_id", "id", "parent").distinct(), "edges")
-    left = materialize(nodes.select("dag_id", "id").distinct(), "nodes")
-    done = None
-    for level in range(depth):
-        waiting = edges.join(left.withColumnRenamed("id", "parent"), ["dag_id", "parent"], "left_semi").select("dag_id", "id").distinct()
-        free = materialize(left.join(waiting, ["dag_id", "id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
+    own = materialize(nodes.select(F.struct("dag_id", "id").alias("id")).distinct(), "nodes")
+    step = edges.select(F.struct(F.col("dag_id"), F.col("parent").alias("id")).alias("from"), F.struct("dag_id", "id").alias("id")).distinct()
+    step = materialize(step.join(own, "id", "left_semi").join(own.withColumnRenamed("id", "from"), "from", "left_semi"), "edges")
+    inside, ring = chains(step)
+    inside = materialize(inside, "inside")
+    linked = inside.select("id").unionByName(ring.select("id"))
+    hop = step.join(linked, "id", "left_anti").join(inside.withColumnRenamed("id", "from"), "from", "left")
+    hop = materialize(hop.select(F.coalesce("head", "from").alias("from"), "id", (F.coalesce("at", F.lit(0)) + 1).cast("long").alias("w")), "hops")
+    left = materialize(own.join(linked, "id", "left_anti").withColumn("level", F.lit(0).cast("long")), "left")
+    taken = []
+    while True:
+        waiting = hop.join(left.select(F.col("id").alias("from")), "from", "left_semi").select("id").distinct()
+        free = materialize(left.join(waiting, "id", "left_anti"), "level")
         if free.isEmpty():
             break
-        left = materialize(left.join(free, ["dag_id", "id"], "left_anti"), "left")
-        done = free if done is None else done.unionByName(free)
-    stuck = left.withColumn("level", F.lit(None).cast("long"))
-    return stuck if done is None else done.unionByName(stuck)
+        taken = gathered([*taken, free], "levels")
+        below = hop.join(free.select(F.col("id").alias("from"), "level"), "from").groupBy("id").agg(F.max(F.col("level") + F.col("w")).alias("below"))
+        left = materialize(left.join(free.select("id"), "id", "left_anti").join(below, "id", "left").select("id", F.greatest("level", "below").alias("level")), "left")
+    heads = union([*taken, left.withColumn("level", F.lit(None).cast("long"))])
+    rest = inside.join(heads.withColumnRenamed("id", "head"), "head").select("id", (F.col("level") + F.col("at")).alias("level"))
+    alone = ring.select("id", F.lit(None).cast("long").alias("level"))
+    return union([heads, rest, alone]).select("id.dag_id", "id.id", "level")
 
 
 def lexical_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GR2: (dag_id, id, position) in lexical topological order: the least ready key comes next. One task per DAG, whose size the ledger bounds; a DAG with a cycle has no rows."""
+    """GR2: (dag_id, id, position) in lexical topological order: the least ready key comes next; a DAG with a cycle has no rows.
+
+    A DAG with one node a level has no choice and is in order of its levels, whatever its size.
+    Others are sorted in a task each.
+    """
+    found = materialize(levels(nodes, edges), "levels")
+    forced = found.groupBy("dag_id").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max("level").alias("last"))
+    forced = materialize(forced.where("k = n AND last + 1 = n").select("dag_id"), "forced")
+    straight = found.join(forced, "dag_id", "left_semi").select("dag_id", "id", (F.col("level") + 1).alias("position"))
+    nodes, edges = nodes.join(forced, "dag_id", "left_anti"), edges.join(forced, "dag_id", "left_anti")
 
     def order(key: tuple, left, right):
         import heapq
@@ -78,7 +143,7 @@ def lexical_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"dag_id": pd.Series([key[0]] * len(out), dtype=object), "id": pd.Series(out, dtype=object), "position": pd.Series(range(1, len(out) + 1), dtype="int64")})
 
     left, right = nodes.select(F.col("dag_id").alias("own"), "id"), edges.select(F.col("dag_id").alias("dag"), "id", "parent")
-    return left.groupBy("own").cogroup(right.groupBy("dag")).applyInPandas(order, "dag_id string, id string, position long")
+    return straight.unionByName(left.groupBy("own").cogroup(right.groupBy("dag")).applyInPandas(order, "dag_id string, id string, position long"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
