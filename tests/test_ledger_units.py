@@ -281,6 +281,13 @@ def test_check_that_did_not_run_is_no_pass(spark):
     assert evidence.passes(checks.report(checks.manifest(accepted, 1), checks.CHECKS)).first().passed
 
 
+def test_cycle_of_dependencies_is_found(spark):
+    jobs = spark.createDataFrame([(i, "t", "SUCCEEDED", 0) for i in "abc"], "id string, tenant_id string, state string, ready_seq long")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "job_id string, depends_on_id string")
+    got = checks.dependencies(edges, jobs, ledger(spark)[3])
+    assert sorted((r.job_id, r.message) for r in got.collect()) == [("a", "on or below a cycle"), ("b", "on or below a cycle")]
+
+
 def test_lost_completion_is_found(spark):
     jobs, _, done, _, accepted, _ = ledger(spark, done=False)
     assert found(checks.completions(accepted, jobs, done)) == {("canonical_ledger", "no canonical completion"), ("canonical_ledger", "terminal job without completion")}

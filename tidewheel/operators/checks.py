@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.ledger import ACTIVE, TERMINAL, is_digest, is_id
+from tidewheel.operators.graph import levels
 
 #: Moves that an event may make, from state to state; None is before the first event.
 MOVES = {
@@ -148,7 +149,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def dependencies(edges: DataFrame, jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """REC9, GR5, AG13: edges with both ends in one tenant, released jobs with all parents succeeded, one release at most."""
+    """REC9, GR5, AG13: edges with both ends in one tenant, no cycles, released jobs with all parents succeeded, one release at most."""
     c = F.col
     end = lambda p: jobs.select(c("id").alias(f"{p}_id"), c("tenant_id").alias(f"{p}_tenant"), c("state").alias(f"{p}_state"), c("ready_seq").alias(f"{p}_ready"))
     both = edges.join(end("child"), c("job_id") == c("child_id"), "left").join(end("parent"), c("depends_on_id") == c("parent_id"), "left")
@@ -159,7 +160,9 @@ def dependencies(edges: DataFrame, jobs: DataFrame, events: DataFrame) -> DataFr
         (c("parent_state").isin("FAILED", "DEAD_LETTER") & ~c("child_state").isin(*TERMINAL), "open below a failed job"),
     ]
     releases = events.where(c("event_type") == "dependency_released").groupBy("job_id").count()
-    return union([violation(both, "dag", rules), violation(releases, "dag", [(c("count") > 1, "released more than once")])])
+    ends = edges.select(F.lit("").alias("dag_id"), c("job_id").alias("id"), c("depends_on_id").alias("parent"))
+    bent = levels(jobs.select(F.lit("").alias("dag_id"), "id"), ends).withColumnRenamed("id", "job_id")
+    return union([violation(both, "dag", rules), violation(releases, "dag", [(c("count") > 1, "released more than once")]), violation(bent, "dag", [(c("level").isNull(), "on or below a cycle")])])
 
 
 def slots(jobs: DataFrame, queues: DataFrame, tenants: DataFrame) -> DataFrame:
