@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import ledger as fn
 from tidewheel.functions.ledger import ACTIVE
 from tidewheel.operators import checks, evidence, graph, reads, scheduling, slo, timing, transitions
+from tidewheel.plans.storage import materialize
 from tidewheel.sources.derive import Ledger, duckdb_ctes
 from tidewheel.streaming import cron
 from tidewheel.streaming import ledger as streams
@@ -148,7 +149,7 @@ def drained(x: Ledger, corrupt: bool) -> dict[str, DataFrame]:
 
     Rows of jobs that don't exist stay, so that checks find them. Events stay whole, as their sequence is.
     """
-    out_of_it = x.jobs.where("NOT state <=> 'SUCCEEDED'").select("id", "tenant_id", "queue_name", F.when(F.col("state").isin(*ACTIVE), F.col("slot_cost")).otherwise(0).alias("held"))
+    out_of_it = materialize(x.jobs.where("NOT state <=> 'SUCCEEDED'").select("id", "tenant_id", "queue_name", F.when(F.col("state").isin(*ACTIVE), F.col("slot_cost")).otherwise(0).alias("held")), "left")
     by = lambda df, c: df.join(out_of_it.select(F.col("id").alias(c)), c, "left_anti")
 
     def less(df: DataFrame, *names: str) -> DataFrame:
@@ -243,8 +244,9 @@ def all_checks(x: Ledger, corrupt: bool) -> dict[str, list[DataFrame]]:
 
 
 def report_of(x: Ledger, corrupt: bool) -> DataFrame:
+    """Each check's violations are written first, so that the driver doesn't plan them all as one."""
     parts = all_checks(x, corrupt)
-    return checks.report(checks.union([df for found in parts.values() for df in found]), parts)
+    return checks.report(checks.union([materialize(checks.union(found), "violations") for found in parts.values()]), parts)
 
 
 _moves = " OR ".join(f"previous {'IS NULL' if old is None else f'= {chr(39)}{old}{chr(39)}'} AND state IN ({', '.join(f'{chr(39)}{s}{chr(39)}' for s in new)})" for old, new in checks.MOVES.items())
