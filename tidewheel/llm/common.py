@@ -28,9 +28,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; only where none is set (as in tests), a local one."""
+    """The folder all machines share. Where none is set, a local one in local mode, as in tests; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -54,11 +56,11 @@ def with_fields(schema: T.StructType, *added: T.StructField) -> T.StructType:
 
 
 def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters in all; a longer text stands alone, whole."""
+    """Ranges of at most BATCH_ROWS texts of about `most` characters in all; a longer text stands alone, whole."""
     start = size = 0
     for i, x in enumerate(texts):
         n = len(x) if x else 0
-        if size and size + n > most:
+        if size and size + n > most or i - start == BATCH_ROWS:
             yield start, i
             start, size = i, 0
         size += n

@@ -20,13 +20,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.unionByName(own).where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node reachable. Self links and repeated links do no harm; no links, no rows.
 
-    Each round halves the distance to the root at least; it ends when nothing changes.
+    Each round halves the distance to the root at least; rounds go on until only stars are left.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         # stars alone: every node that points somewhere points at a node that points nowhere, and at one only
         shape = edges.groupBy("a").count().agg(F.max("count").alias("most")).first().most
         if shape is None or shape == 1 and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0:

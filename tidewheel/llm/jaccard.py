@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a blocked sparse matrix product of documents by word shingles.
 
 Columns that only one document has can't add to an overlap, and a document needs at least
-the threshold's share of its shingles in shared columns; both bounds leave a small matrix.
+the threshold's share of its shingles in shared columns; both bounds leave a small matrix,
+whose columns were counted shard by shard (`incidence`).
 Its rare columns propose pairs, whose overlap counts are accumulated block of columns by
 block, and a pair goes as soon as what is left can't reach the bound its sizes set. Equal
 sets are one row. Links to the most central rows come first; only rows that these don't
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.blocks import Words, mix
-from tidewheel.llm.common import groups, prepare, stored, tidy
+from tidewheel.llm.common import prepare, stored, tidy
 from tidewheel.llm.components import components
-from tidewheel.llm.lines import Filter, filter_of
+from tidewheel.llm.incidence import shared_columns
 
 #: Words of a shingle and least similarity in percent; blocks of columns of one product.
 WORDS, PERCENT, BLOCKS = 5, 80, 4
@@ -50,29 +51,18 @@ def hash_of(words: np.ndarray) -> int:
     return x
 
 
-def sets(docs: DataFrame, repeated: Filter, percent: int, k: int) -> DataFrame:
-    """rid, doc_id, n (shingles), s1, s2 (sums that tell sets apart), and, where enough of them may be shared, those shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast(repeated)
+def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """rid, doc_id, n (shingles), s1, s2 (sums that tell sets apart), and, where enough of them occur elsewhere too, those shingles as `tokens`, rarest first, and how `often`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in groups(texts):
-                doc, h = shingle_sets(texts[a:b], k)
-                m = b - a
-                n = np.bincount(doc, minlength=m)
-                cut = np.searchsorted(doc, np.arange(m + 1))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
-                mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
-                shared = sent.value.test(h)
-                lists = [None] * m
-                for i in np.flatnonzero((n > 0) & (100 * np.bincount(doc[shared], minlength=m) >= percent * n)).tolist():
-                    lists[i] = h[cut[i] : cut[i + 1]][shared[cut[i] : cut[i + 1]]].view(np.int64)
-                sums = ((x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in (total, mixed))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, m), pa.array(n, pa.int64()), *map(pa.array, sums), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "tokens"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, s1 long, s2 long, tokens array<long>").withColumn("rid", F.monotonically_increasing_id())
+    def columns(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        doc, h = shingle_sets(texts, k)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        total, mixed = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (h, mix(h)))
+        return doc, h, np.diff(cut), *((x[cut[1:]] - x[cut[:-1]]).view(np.int64) for x in (total, mixed))
+
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = shared_columns(docs.select(F.col("doc_id").alias("id"), "text"), columns, ["n", "s1", "s2"], size / 6, percent)
+    return stored(found.withColumnRenamed("id", "doc_id").withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
 def products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -90,7 +80,7 @@ def products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                 sizes = np.diff(column.offsets.to_numpy())
                 left.append((np.repeat(np.arange(len(na)), sizes), column.flatten().to_numpy().view(np.uint64)))
             rest = np.minimum(*(np.bincount(p, minlength=len(na)) for p, _ in left))
-            block = [t >> np.uint64(64 - (BLOCKS - 1).bit_length()) for _, t in left]
+            block = [t % np.uint64(BLOCKS) for _, t in left]
             overlap, alive = np.zeros(len(na), np.int64), rest >= need
             seen = [np.zeros(len(na), np.int64) for _ in left]
             sizes = [np.bincount(p, minlength=len(na)) for p, _ in left]
@@ -168,19 +158,14 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     """(rows, classes, roots): rows of `sets`; classes of equal sets (s1, s2, n, c, low); (node, root) for classes that links join."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    repeated = filter_of(docs.select("text"), lambda texts: shingle_sets(texts, k)[1], docs.agg(F.sum(F.length("text"))).first()[0] or 0)
-    rows = stored(sets(docs, repeated, percent, k), "sets")
+    rows = sets(docs, percent, k)
     near = rows.where(F.col("tokens").isNotNull())
     classes = stored(near.groupBy("s1", "s2", "n").agg(F.min("rid").alias("c"), F.min("doc_id").alias("low")), "classes")
-    reps = near.select("rid", "n", "tokens").join(classes.select(F.col("c").alias("rid")), "rid", "left_semi")
-    cells = stored(reps.select(F.col("rid").alias("c"), "n", F.explode("tokens").alias("token")), "cells")
-    often = stored(cells.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "columns")
-    own = cells.join(often, "token").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("cells")).where(100 * F.size("cells") >= percent * F.col("n"))
-    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.size("cells"))
-    matrix = stored(
-        own.select("c", "n", F.transform("cells", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("cells", F.lit(1), length.cast("int")), lambda x: x["token"]).alias("prefix"), (F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.log2(x["df"])) / F.col("n")).alias("centre")),
-        "matrix",
-    )
+    reps = near.select(F.col("rid").alias("c"), "n", "tokens", "often").join(classes.select("c"), "c", "left_semi")
+    m = F.size("tokens")
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - m)
+    centre = F.aggregate("often", F.lit(0).cast("long"), lambda s, x: s + x) / F.col("n")
+    matrix = stored(reps.select("c", "n", "tokens", F.slice("tokens", F.lit(1), length.cast("int")).alias("prefix"), centre.alias("centre")), "matrix")
     rare = stored(matrix.select("c", "n", "centre", F.size("tokens").alias("m"), F.posexplode("prefix").alias("place", "token")), "prefixes")
     leaders = stored(rare.groupBy("token").agg(F.max_by("c", F.struct("centre", -F.col("c"))).alias("l1"), F.min("c").alias("l2"), F.count("*").alias("k")).where("k > 1"), "leaders")
     first = rare.select("token", "c").join(leaders, "token").select(F.col("c"), F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l")).where("c != l")

@@ -1,13 +1,15 @@
 """Line deduplication with two Bloom filters.
 
 Hashes of line keys go to shards; each shard keeps a filter of keys seen once and one of
-keys seen twice. Lines whose key is in the second filter are suspected repeats, and only
-those shuffle with their text, to be counted exactly and to find the copy that stays.
+keys seen twice, sized by the keys it got. Occurrences whose key is in the second filter
+are suspected repeats, and only those shuffle by key, to be counted exactly and to find the
+copy that stays. A key that a task has met twice is suspected there and then, and told to
+its shard once, so that a hot line sends one row per task to its shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,14 @@ from pyspark.sql import types as T
 from tidewheel.llm.blocks import mix
 from tidewheel.llm.common import UPPER, groups, prepare, stored, tidy
 
-SHARDS, PROBES = 1024, 4
-#: Bits of a filter, by the amount of text; the largest is 64 MB, and beyond it more lines are confirmed exactly.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Keys a shard should see, least number of shards, keys that a task's filters take at a time.
+SHARD, LEAST_SHARDS, TOGETHER = 1 << 17, 1 << 10, 1 << 19
+#: Probes and least bits per key of a filter; what collides is merely suspected.
+PROBES, BITS = 4, 16
+#: Keys that a task gathers before it tells its shards.
+GATHERED = 1 << 18
 STRIP = b" \t\n\v\f\r"
+U = np.uint64
 
 
 def key_of(line: bytes) -> bytes:
@@ -38,140 +44,129 @@ def text_keys(text: str | None, chars: int) -> set[bytes]:
     return {k for k in map(key_of, (text or "").encode().split(b"\n")) if long_enough(k, chars)}
 
 
-def hashes(keys: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+def digests(keys: list[bytes]) -> np.ndarray:
+    """128 bits of each key as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), "<u8").astype(U).reshape(-1, 2)
 
 
-def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of each hash, and the 32 bits by which the shard tells hashes apart; what collides is merely suspected."""
-    return (h % np.uint64(SHARDS)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+class TwoFilters:
+    """A filter of keys seen once and one of keys seen twice, for about `n` keys."""
 
+    def __init__(self, n: int):
+        self.bits = max(1 << 10, 1 << (BITS * n - 1).bit_length()) if n else 1 << 10
+        self.once, self.twice = np.zeros(self.bits, bool), np.zeros(self.bits, bool)
 
-def probes(low: np.ndarray, bits: int) -> np.ndarray:
-    """Places of each hash in a shard's filter: PROBES rows."""
-    h = mix(low.astype(np.uint64) + np.uint64(1))
-    step = mix(h) | np.uint64(1)
-    return np.stack([((h + np.uint64(j) * step) >> np.uint64(17)) % np.uint64(bits) for j in range(PROBES)]).astype(np.int64)
+    def _probes(self, h: np.ndarray) -> np.ndarray:
+        h = mix(h + U(1))
+        step = mix(h) | U(1)
+        return np.stack([((h + U(j) * step) >> U(17)) % U(self.bits) for j in range(PROBES)]).astype(np.int64)
 
+    def add(self, h: np.ndarray, again: np.ndarray) -> None:
+        """Hashes of one more batch; `again` marks those that stand for two occurrences."""
+        h, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        probes = self._probes(h)
+        seen = self.once[probes].all(axis=0) | (n > 1) | (np.bincount(at, again, len(h)) > 0)
+        self.twice[probes[:, seen].ravel()] = True
+        self.once[probes.ravel()] = True
 
-class Filter:
-    """Bits of all shards; `data` has them one shard after another."""
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        return self.twice[self._probes(h)].all(axis=0)
 
-    def __init__(self, data: np.ndarray, bits: int):
-        self.data, self.bits = data, bits
 
-    def test(self, h: np.ndarray) -> np.ndarray:
-        shard, low = places(h)
-        hit = np.ones(len(h), bool)
-        for p in probes(low, self.bits):
-            at = shard * self.bits + p
-            hit &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return hit
-
-
-def filter_of(texts: DataFrame, keys: Callable[[list], np.ndarray], size: int) -> Filter:
-    """The filter of hashes seen twice or more, over all rows of a column of texts.
-
-    `keys(texts)` gives the hashes of a batch, each once per text; `size` (characters in
-    all) sets the number of bits.
-    """
-    total = min(MOST_BITS, max(LEAST_BITS, 1 << (size // 4).bit_length()))
-    bits = total // SHARDS
+def suspects(docs: DataFrame, chars: int, size: int) -> DataFrame:
+    """(doc_id, k1, k2) of lines of `docs` (doc_id, text) whose key may occur twice, each key once per text; `size`, the characters in all, sets the number of shards."""
+    shards = max(LEAST_SHARDS, 1 << (size // 64 // SHARD).bit_length())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["place", "doc_id", "k1", "k2", "told"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes by shard, twice where two texts of this task hold one; never more often."""
-
-        def out(h: np.ndarray) -> pa.RecordBatch:
-            shard, low = places(h)
-            own = shard << 32 | low
-            own.sort()
-            third = np.zeros(len(own), bool)
-            third[2:] = own[2:] == own[:-2]
-            own = own[~third]
-            cut = np.searchsorted(own, np.arange(SHARDS + 1) << 32)
-            low = own.astype(np.uint32)
-            rows = [(s, low[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["shard", "hashes"])
-
-        parts, n = [], 0
+        def out(ids: list[pa.Array], keys: list[bytes]) -> pa.RecordBatch:
+            k = digests(keys)
+            _, first, at, n = np.unique(k[:, 0], return_index=True, return_inverse=True, return_counts=True)
+            place = (k[:, 0] % U(shards)).astype(np.int64)
+            often = np.flatnonzero(n > 1)
+            place[n[at] > 1] = -1 - np.arange(np.count_nonzero(n[at] > 1)) % shards  # known here; its shard is told once
+            rows = np.concatenate([np.arange(len(k)), first[often]])
+            place = np.concatenate([place, (k[first[often], 0] % U(shards)).astype(np.int64)])
+            told = np.arange(len(rows)) >= len(k)
+            id_ = pa.concat_arrays(ids).take(pa.array(rows, mask=told))
+            k = k[rows].view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(place), id_, pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(told)], names)
+
+        ids: list[pa.Array] = []
+        keys: list[bytes] = []
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            for a, b in groups(own):
-                parts.append(keys(own[a:b]))
-                n += len(parts[-1])
-            if n > 2_000_000:
-                yield out(np.concatenate(parts))
-                parts, n = [], 0
-        if n:
-            yield out(np.concatenate(parts))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per shard: a hash whose places are all set in `once` is set in `twice`."""
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+            texts = batch.column("text").to_pylist()
+            for a, z in groups(texts):
+                own = [text_keys(x, chars) for x in texts[a:z]]
+                ids.append(batch.column("doc_id").slice(a, z - a).take(pa.array(np.repeat(np.arange(z - a), [len(x) for x in own]))))
+                keys += [k for x in own for k in x]
+                if len(keys) > GATHERED:
+                    yield out(ids, keys)
+                    ids, keys = [], []
+        if keys:
+            yield out(ids, keys)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by place, so all of a shard's stand together; some whole shards are filtered at a time."""
+
+        def out(rows: pa.Table) -> pa.Table:
+            k, told = rows["k1"].to_numpy().view(U), rows["told"].to_numpy()
+            pair = TwoFilters(len(k))
+            for i in range(0, len(k), 1 << 16):
+                pair.add(k[i : i + (1 << 16)], told[i : i + (1 << 16)])
+            return rows.filter(pa.array(pair.repeated(k) & ~told)).select(["doc_id", "k1", "k2"])
+
+        parts: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a = once.setdefault(shard, np.zeros(bits, bool))
-                b = twice.setdefault(shard, np.zeros(bits, bool))
-                h, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
-                at = probes(h, bits)
-                seen = a[at].all(axis=0) | (n > 1)
-                b[at[:, seen].ravel()] = True
-                a[at.ravel()] = True
-        for shard, x in twice.items():
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
-
-    sent = texts.mapInArrow(tidy(emit), "shard int, hashes binary").repartition("shard")
-    data = np.zeros(total // 8, np.uint8)
-    for r in sent.mapInArrow(tidy(build), "shard int, bits binary").collect():  # at most MOST_BITS in all
-        data[r.shard * bits // 8 : (r.shard + 1) * bits // 8] = np.frombuffer(r.bits, np.uint8)
-    return Filter(data, bits)
-
-
-def repeat_filter(docs: DataFrame, text: str, chars: int) -> Filter:
-    """The filter of line keys that two texts or more hold."""
-    keys = lambda texts: hashes([k for x in texts for k in text_keys(x, chars)])
-    return filter_of(docs.select(text), keys, docs.agg(F.sum(F.length(text))).first()[0] or 0)
+            place = batch["place"].to_numpy()
+            past = int(np.searchsorted(place, 0))
+            if past:
+                yield batch.slice(0, past).select(["doc_id", "k1", "k2"])
+            batch, place = batch.slice(past), place[past:]
+            if not len(place):
+                continue
+            if n > TOGETHER:  # up to the end of a shard
+                last = parts[-1]["place"][-1].as_py()
+                end = int(np.searchsorted(place, last, "right"))
+                if end < len(place):
+                    yield from out(pa.Table.from_batches([*parts, batch.slice(0, end)])).to_batches()
+                    parts, n, batch = [], 0, batch.slice(end)
+            parts.append(batch)
+            n += len(batch)
+        if parts:
+            yield from out(pa.Table.from_batches(parts)).to_batches()
+
+    sent = docs.mapInArrow(tidy(emit), f"place long, doc_id {kind}, k1 long, k2 long, told boolean")
+    return sent.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(judge), f"doc_id {kind}, k1 long, k2 long")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chars: int = 20, least: int = 3) -> DataFrame:
-    """Keys of at least `chars` code points held by at least `least` documents: (doc_id, key_hash) of the documents that lose them.
+    """Keys of at least `chars` code points held by at least `least` documents: (doc_id, k1, k2) of the documents that lose them; k1 and k2 are 128 bits of the key.
 
     A document is a doc_id (repeated rows are one); the largest doc_id keeps its lines.
     A null doc_id counts for no key, and loses lines that enough others hold.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = spark.sparkContext.broadcast(repeat_filter(docs, "text", chars))
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, keys = [], []
-            for i, x in enumerate(batch.column("text").to_pylist()):
-                own = text_keys(x, chars)
-                at += [i] * len(own)
-                keys += own
-            h = hashes(keys)
-            hit = np.flatnonzero(found.value.test(h))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.array(at, np.int64)[hit])), pa.array(h[hit].view(np.int64)), pa.array([keys[j].decode() for j in hit], pa.string())], ["doc_id", "key_hash", "key"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = stored(docs.mapInArrow(tidy(suspects), f"doc_id {kind}, key_hash long, key string"), "suspects")
-    repeated = held.groupBy("key_hash", "key").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= least).select("key_hash", "key", "last")
+    held = stored(suspects(docs, chars, docs.agg(F.sum(F.length("text"))).first()[0] or 0), "suspects")
+    repeated = held.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= least).select("k1", "k2", "last")
     repeated = stored(repeated, "repeated")  # so that both sides of the join are dealt out anew, and a hot line can be split
-    return held.join(repeated, ["key_hash", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "key_hash")
+    return held.join(repeated, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "k1", "k2")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chars: int = 20, least: int = 3) -> DataFrame:
     """Rewrite `text` without repeated lines and add n_lines (before) and n_dropped.
 
     All rows and columns stay (columns named n_lines or n_dropped are replaced). A null or
-    empty text is one empty line and becomes an empty text. Lines with short keys stay.
+    empty text is one empty line and becomes an empty text. Lines with short keys stay. A long
+    text is one row like any other, and is split into lines whole. Of equal doc_ids all rows
+    keep the lines or none.
     """
     clash = {"n_lines", "n_dropped", "__drop"}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in clash))
-    lost = repeated_lines(docs, text, doc_id, chars, least).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key_hash").alias("__drop"))
+    lost = repeated_lines(docs, text, doc_id, chars, least).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
     both = docs.join(lost, docs[doc_id].eqNullSafe(lost["__id"]), "left").drop("__id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = schema.names
@@ -183,8 +178,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cha
                 lines = (x or "").encode().split(b"\n")
                 n_lines.append(len(lines))
                 if drop:
-                    gone = {d & 0xFFFFFFFFFFFFFFFF for d in drop}
-                    lines = [y for y in lines if not (long_enough(k := key_of(y), chars) and xxhash.xxh3_64_intdigest(k) in gone)]
+                    gone = {d["k1"].to_bytes(8, "little", signed=True) + d["k2"].to_bytes(8, "little", signed=True) for d in drop}
+                    lines = [y for y in lines if not (long_enough(k := key_of(y), chars) and xxhash.xxh3_128_digest(k) in gone)]
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append(b"\n".join(lines).decode() if drop else x or "")
             columns = {text: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}

@@ -1,52 +1,63 @@
 """Suffix-array dedup: byte strings that repeat anywhere, from merged shard Burrows-Wheeler orders.
 
 A window of LENGTH bytes owns one anchor, the GRAM-byte string of least hash in it, so equal
-windows have equal anchors at equal offsets. Tasks sort the suffixes at their anchors, with
-the bytes before them (a sampled Burrows-Wheeler transform of the shard). Shards meet by
-anchor; their orders are interleaved by refining intervals byte by byte, which leaves
-settled suffixes alone and gives the common prefixes; a window repeats where an interval as
-deep as its right part holds two suffixes with the same bytes on the left.
+windows have equal anchors at equal offsets. Anchors that two places hold (`incidence`) are
+suspected. A shard, here a batch of texts, sorts the suffixes at its suspected anchors and
+keeps the bytes before them: a Burrows-Wheeler transform sampled at the anchors. Shards meet
+by anchor; their orders are interleaved by refining intervals byte by byte, where a stable
+sort merges runs that are in order already and settled suffixes are left alone. The depth at
+which neighbours part is their common prefix; a window repeats where an interval as deep as
+its right part holds two suffixes with the same bytes on the left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import _upto, mix
 from tidewheel.llm.common import groups, prepare, stored, tidy
-from tidewheel.llm.lines import Filter, filter_of
+from tidewheel.llm.incidence import often, shared_columns, token_bits, tokens_of
 
 LENGTH, GRAM = 200, 64
 #: Grams in a window: the windows that one anchor can own.
 SPAN = LENGTH - GRAM + 1
-#: Low bits of a packed value that hold a place in a batch of texts; a single text may have 2**28 bytes.
-PLACE = np.uint64(28)
-#: Contexts of one anchor up to which one task interleaves them; windows of more frequent anchors are counted by hash.
+#: Low bits of a packed value that hold a place in a piece of text, and windows of a piece: a longer text is cut into pieces that overlap by a window.
+PLACE, PIECE = np.uint64(24), 4 << 20
+#: Contexts of one anchor up to which one task interleaves them; windows of more frequent anchors are counted by hash, as no task may hold them all.
 TOGETHER = 20_000
 U = np.uint64
 
 
 def anchors(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of all windows of all texts: buffer, start of each text in it, and per anchor its text, place, first and last window start, hash."""
+    """Of all windows of all texts: buffer, start of each text in it, and per anchor its text, place, first and last window start, hash. A window's anchor depends on its bytes alone, so long texts go piece by piece."""
     parts = [(x or "").encode() for x in texts]
     begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     raw = np.frombuffer(b"".join(parts), np.uint8)
+    found = [_piece(raw[a : a + PIECE + LENGTH - 1], begin - a) for a in range(0, max(1, len(raw) - LENGTH + 1), PIECE)]
+    shift = np.repeat(np.arange(len(found)) * PIECE, [len(x[0]) for x in found])
+    doc, at, first, last, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    return raw, begin, doc, at + shift, first + shift, last + shift, h
+
+
+def _piece(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, place, first and last window start and hash of the anchors of a stretch of the buffer; `begin` as seen from its start."""
     n = len(raw) - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return raw, begin, none, none, none, none, none.astype(U)
-    assert len(raw) < 1 << 28, "a text of 256 MB or more must be cut first"
+        return none, none, none, none, none.astype(U)
     up, down = _upto(len(raw) + 1)
     total = np.zeros(len(raw) + 1, U)
     np.cumsum((raw.astype(U) + U(1)) * up[:-1], out=total[1:])
     h = mix((total[GRAM:] - total[:-GRAM]) * down[:n])
-    v = (h & ~((U(1) << PLACE) - U(1))) | np.arange(n, dtype=U)
+    low = (U(1) << PLACE) - U(1)
+    v = (h & ~low) | np.arange(n, dtype=U)
     size = 1
     while 2 * size <= SPAN:
         v = np.minimum(v[:-size], v[size:])
@@ -56,42 +67,73 @@ def anchors(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     doc = np.searchsorted(begin, start, "right") - 1
     inside = start + LENGTH <= begin[doc + 1]
     start, doc = start[inside], doc[inside]
-    at = (v[inside] & ((U(1) << PLACE) - U(1))).astype(np.int64)
+    at = (v[inside] & low).astype(np.int64)
     if not len(at):
-        return raw, begin, none, none, none, none, none.astype(U)
+        return none, none, none, none, none.astype(U)
     edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]), [True]]))
-    first, last = start[edge[:-1]], start[edge[1:] - 1]
-    return raw, begin, doc[edge[:-1]], at[edge[:-1]], first, last, h[at[edge[:-1]]]
+    return doc[edge[:-1]], at[edge[:-1]], start[edge[:-1]], start[edge[1:] - 1], h[at[edge[:-1]]]
 
 
-CONTEXT = "uid long, key long, place long, low int, high int, bytes binary"
+UID = "u1 long, u2 long"
+CONTEXT = f"{UID}, key long, shard long, rank long, place long, low int, high int, bytes binary"
 
 
-def contexts(docs: DataFrame, suspected: Filter) -> DataFrame:
-    """Anchors that may repeat, with the bytes of all their windows: place in the text, least and largest distance of a window start before it. In suffix order within a batch."""
-    sent = docs.sparkSession.sparkContext.broadcast(suspected)
+def _suspected(docs: DataFrame, bits: int, wanted: Callable[[np.ndarray], np.ndarray], make: Callable, schema: str) -> DataFrame:
+    """`make` of the suspected anchors of each batch of `docs` (u1, u2, text, tokens, often): uids, hash, place, least and largest distance of a window start before it, bytes of all its windows, number of the batch. `wanted` picks by how often anchors occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            uid = batch.column("uid").to_numpy()
+            uid = [batch.column(c).to_numpy() for c in ("u1", "u2")]
+            tokens, told = batch.column("tokens").to_pylist(), batch.column("often").to_pylist()
             for a, b in groups(texts):
+                shard += 1
                 raw, begin, doc, at, first, last, h = anchors(texts[a:b])
-                keep = np.flatnonzero(sent.value.test(h))
-                keep = keep[np.argsort(h[keep], kind="stable")]
+                token = tokens_of(h, bits).view(np.int64)
+                keep = np.zeros(len(h), bool)
+                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+                    own = np.array(tokens[a + i], np.int64)
+                    keep[x:y] = np.isin(token[x:y], own[wanted(np.array(told[a + i]))])
                 doc, at, first, last, h = (x[keep] for x in (doc, at, first, last, h))
                 whole = raw.tobytes()
                 own = [whole[x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[a:b][doc]), pa.array(h.view(np.int64)), pa.array(at - begin[doc]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(own, pa.binary())], ["uid", "key", "place", "low", "high", "bytes"])
+                yield make([u[a:b][doc] for u in uid], h, at - begin[doc], at - last, at - first, own, shard)
+
+    return docs.mapInArrow(tidy(run), schema)
 
-    return docs.mapInArrow(tidy(run), CONTEXT)
+
+def _transform(uid: list[np.ndarray], h: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, own: list[bytes], shard: int) -> pa.RecordBatch:
+    """A shard's sampled transform: by anchor, suffixes in order, with the bytes before them."""
+    order = np.argsort(h, kind="stable")
+    same = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+    met = np.flatnonzero(same[1:] | same[:-1])  # the others are alone with their anchor here
+    if len(met):
+        suffix = np.array([own[i][int(high[i]) :] for i in order[met]], f"S{LENGTH}")
+        inner = np.argsort(suffix, kind="stable")
+        order[met] = order[met][inner][np.argsort(h[order[met]][inner], kind="stable")]
+    columns = [uid[0][order], uid[1][order], h[order].view(np.int64), np.full(len(h), shard), np.arange(len(h)), place[order], low[order].astype(np.int32), high[order].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([own[i] for i in order], pa.binary())], ["u1", "u2", "key", "shard", "rank", "place", "low", "high", "bytes"])
+
+
+def _window_hashes(uid: list[np.ndarray], h: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, own: list[bytes], shard: int) -> pa.RecordBatch:
+    """Every window of very frequent anchors as a 128-bit hash."""
+    import xxhash
+
+    size = high - low + 1
+    found = [xxhash.xxh3_128_digest(x[i : i + LENGTH]) for x, n in zip(own, size.tolist(), strict=True) for i in range(n)]
+    row = np.repeat(np.arange(len(h)), size)
+    begin = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(place - high, size)
+    return pa.RecordBatch.from_arrays([pa.array(uid[0][row]), pa.array(uid[1][row]), pa.array(begin), pa.array(found, pa.binary())], ["u1", "u2", "begin", "hash"])
 
 
 def interleave(key: np.ndarray, right: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Interval of every suffix at depths GRAM to LENGTH, one column each: refined byte by byte from the order by anchor.
+    """Interval of every suffix at depths GRAM to LENGTH, one column each: the shards' orders, one after another by anchor, are interleaved byte by byte.
 
-    Rows of equal key come together; a suffix that is alone in its interval, or shorter than
-    the depth, is settled and gets an interval of its own (a negative number).
+    Within an interval each shard's suffixes are in order already, so the stable sort of a
+    step merges runs. A suffix that is alone in its interval, or shorter than the depth, is
+    settled and gets an interval of its own (a negative number).
     """
     n = len(key)
     out = np.empty((n, LENGTH - GRAM + 1), np.int64)
@@ -144,34 +186,32 @@ def repeated(key: np.ndarray, low: np.ndarray, high: np.ndarray, whole: list[byt
     return flags
 
 
-def _spans(uid: np.ndarray, place: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+SPAN_SCHEMA = f"{UID}, begin long, end long"
+
+
+def _spans(u1: np.ndarray, u2: np.ndarray, place: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
     """Covered stretches (uid, begin, end) of runs of repeated windows."""
     padded = np.zeros((len(flags), SPAN + 2), np.int8)
     padded[:, 1:-1] = flags
     step = np.diff(padded, axis=1)
     row, near = np.nonzero(step == 1)
     _, far = np.nonzero(step == -1)  # runs near..far-1 of distances, in the same order
-    return pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(place[row] - (far - 1)), pa.array(place[row] - near + LENGTH)], ["uid", "begin", "end"])
-
-
-SPAN_SCHEMA = "uid long, begin long, end long"
+    return pa.RecordBatch.from_arrays([pa.array(u1[row]), pa.array(u2[row]), pa.array(place[row] - (far - 1)), pa.array(place[row] - near + LENGTH)], ["u1", "u2", "begin", "end"])
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Interleave the shards that met in this task, some whole anchors at a time; rows come sorted by key."""
+    """Interleave the shards that met in this task, some whole anchors at a time; rows come by key, shard and rank."""
     rest: list[tuple] = []
-    size = 0
 
     def run(rows: list[tuple]) -> pa.RecordBatch:
-        uid, key, place, low, high = (np.array([r[i] for r in rows], np.int64) for i in range(5))
-        return _spans(uid, place, repeated(key, low, high, [r[5] for r in rows]))
+        u1, u2, key, place, low, high = (np.array([r[i] for r in rows], np.int64) for i in range(6))
+        return _spans(u1, u2, place, repeated(key, low, high, [r[6] for r in rows]))
 
     for batch in batches:
-        rest += zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)
-        size = len(rest)
-        if size > TOGETHER:
-            last = rest[-1][1]
-            done = next((i for i in range(size - 1, -1, -1) if rest[i][1] != last), -1) + 1
+        rest += zip(*(batch.column(c).to_pylist() for c in ("u1", "u2", "key", "place", "low", "high", "bytes")), strict=True)
+        if len(rest) > TOGETHER:
+            last = rest[-1][2]
+            done = next((i for i in range(len(rest) - 1, -1, -1) if rest[i][2] != last), -1) + 1
             if done:
                 yield run(rest[:done])
                 rest = rest[done:]
@@ -179,47 +219,53 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(rest)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of very frequent anchors as a 128-bit hash."""
-    import xxhash
-
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)
-        found = [(u, p - h + i, xxhash.xxh3_128_digest(x[i : i + LENGTH])) for u, _, p, lo, h, x in rows for i in range(h - lo + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], ["uid", "begin", "hash"])
-
-
 def repeat_spans(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """(uid, begin, end): stretches of bytes under windows that repeat; they may overlap. `docs` has uid and text."""
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    suspected = filter_of(docs.select("text"), lambda texts: anchors(texts)[-1], size)
-    found = stored(contexts(docs, suspected), "contexts", codec="zstd")
-    hot = stored(found.groupBy("key").count().where(F.col("count") > together).select("key"), "hot")
-    near = found.join(hot, "key", "left_anti") if hot.limit(1).count() else found
-    spans = near.select("uid", "key", "place", "low", "high", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_together), SPAN_SCHEMA)
-    if hot.limit(1).count():
-        windows = stored(found.join(hot, "key", "left_semi").select("uid", "key", "place", "low", "high", "bytes").mapInArrow(tidy(_windows), "uid long, begin long, hash binary"), "windows")
+    """(u1, u2, begin, end): stretches of bytes under windows that repeat; they may overlap. `docs` has u1, u2 and text."""
+    expected = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 64
+    bits, hot = token_bits(expected), often(together)
+
+    def columns(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        _, _, doc, *_, h = anchors(texts)
+        return doc, h
+
+    known = shared_columns(docs.select(F.struct("u1", "u2").alias("id"), "text"), columns, [], expected).where(F.col("tokens").isNotNull())
+    known = stored(known.select("id.u1", "id.u2", "tokens", "often").dropDuplicates(["u1", "u2"]), "suspected")
+    both = docs.join(known, ["u1", "u2"]).select("u1", "u2", "text", "tokens", "often")
+    near = _suspected(both, bits, lambda n: n <= hot, _transform, CONTEXT)
+    spans = near.repartition("key").sortWithinPartitions("key", "shard", "rank").mapInArrow(tidy(_together), SPAN_SCHEMA)
+    frequent = known.where(F.exists("often", lambda n: n > hot))
+    if frequent.limit(1).count():
+        both = docs.join(frequent, ["u1", "u2"]).select("u1", "u2", "text", "tokens", "often")
+        windows = stored(_suspected(both, bits, lambda n: n > hot, _window_hashes, f"{UID}, begin long, hash binary"), "windows")
         twice = stored(windows.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "twice")
-        spans = spans.unionByName(windows.join(twice, "hash", "left_semi").select("uid", "begin", (F.col("begin") + LENGTH).alias("end")))
+        spans = spans.unionByName(windows.join(twice, "hash", "left_semi").select("u1", "u2", "begin", (F.col("begin") + LENGTH).alias("end")))
     return spans
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType)) and (not isinstance(kind, T.ArrayType) or _hashable(kind.elementType))
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", together: int = TOGETHER) -> DataFrame:
     """Replace `text` by `kept` (the bytes that no repeated window of LENGTH bytes covers) and add n_bytes, n_removed and spans (begin, end in bytes).
 
     Every copy goes, the first too; windows are judged on the input and never cross texts.
-    Null and empty texts keep nothing and lose nothing. Repeated rows repeat each other's
-    bytes. Columns named as an added one are replaced, all others stay.
+    Null and empty texts keep nothing and lose nothing; texts of any length are judged whole.
+    Repeated rows repeat each other's bytes. Columns named as an added one are replaced, all
+    others stay, whatever their type. A row is known again by 128 bits of its columns.
     """
     prepare(docs.sparkSession)
     added = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))]
-    clash = {f.name for f in added} | {"__uid", "__cut"}
+    clash = {f.name for f in added} | {"__u1", "__u2", "__cut"}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in clash and c != text))
-    docs = docs.withColumn("__uid", F.xxhash64(*(c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType))))
-    spans = repeat_spans(docs.select(F.col("__uid").alias("uid"), F.col(text).alias("text")), together)
-    cuts = spans.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("__cut"))
-    both = docs.join(cuts, "__uid", "left").drop("__uid")
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in (text, "__uid")), *added])
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]
+    docs = docs.withColumns({"__u1": F.xxhash64(*own), "__u2": F.xxhash64(F.lit("second"), *own)})
+    spans = repeat_spans(docs.select(F.col("__u1").alias("u1"), F.col("__u2").alias("u2"), F.col(text).alias("text")), together)
+    cuts = spans.groupBy(F.col("u1").alias("__u1"), F.col("u2").alias("__u2")).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("__cut"))
+    both = docs.join(cuts, ["__u1", "__u2"], "left").drop("__u1", "__u2")
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in (text, "__u1", "__u2")), *added])
     kept = schema.names[: -len(added)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
