@@ -201,6 +201,84 @@ def test_levels_and_descendants_against_brute_force(spark, seed):
         assert sorted(x.id for x in got.collect()) == sorted(f"{d}/{i:02}" for d, i in below)
 
 
+def test_open_jobs_below_a_terminal_one_are_found(spark):
+    jobs = spark.createDataFrame([("a", "DEAD_LETTER"), ("b", "FAILED"), ("c", "PENDING"), ("d", "SUCCEEDED")], "id string, state string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "job_id string, depends_on_id string")
+    assert [r.id for r in graph.open_descendants(jobs.where("id = 'a'").select("id"), jobs, edges).collect()] == ["c"]
+    full = jobs.select("id", F.lit("t").alias("tenant_id"), "state", F.lit(0).alias("ready_seq"))
+    assert ("dag", "open below a failed job") in found(checks.dependencies(edges, full, ledger(spark)[3]))
+
+
+@pytest.mark.parametrize(
+    "old,new,kind,good",
+    [("RETRYING", "SCHEDULED", "x", True), ("RETRYING", "FAILED", "x", False), ("PENDING", "PENDING", "x", False), ("PENDING", "PENDING", "job_promoted", True), ("SUCCEEDED", "PENDING", "x", False), ("RUNNING", "RUNNING", "x", False), ("SCHEDULED", "RUNNING", "x", True)],
+)
+def test_moves_of_events(spark, old, new, kind, good):
+    assert spark.range(1).select(checks.allowed(F.lit(old), F.lit(new), F.lit(kind)).alias("x")).first().x == good
+
+
+def test_events_need_a_job(spark):
+    jobs, _, _, events, _, _ = ledger(spark)
+    assert ("event_log", "events without job") in found(checks.event_log(events, jobs.where("false")))
+
+
+def test_counters(spark):
+    jobs = spark.createDataFrame([("a", 3), ("b", 3), ("c", 0)], "id string, ready_seq long")
+    of = lambda rows: {m for _, m in found(checks.counters(jobs, spark.createDataFrame(rows, "name string, value long")))}
+    assert of([("ready_seq", 3)]) == {"ready sequence repeated"}
+    assert of([]) == {"ready sequence repeated", "counter missing"}
+    assert of([("ready_seq", 2), ("ready_seq", 1)]) == {"ready sequence repeated", "duplicate counter", "counter behind ready sequence"}
+
+
+def test_lease_that_ends_in_the_uncertain_boundary_fails(spark):
+    df = spark.createDataFrame([("FAILED", 0)], "state string, completed_at long")
+    with pytest.raises(Exception, match="uncertain"):
+        evidence.decided(df, -5, 5).collect()
+    assert evidence.decided(df, 5, 9).first().affected is False
+
+
+def test_grants_by_windows_equal_the_rounds(spark):
+    """Where slots suffice, the windows give what turn by turn rounds do."""
+    import random
+
+    for seed in range(6):
+        r = random.Random(seed)
+        queues = [("t", f"q{i}", r.randint(1, 3)) for i in range(4)]
+        rows = [(f"{q}-{k:02}", t, q, k + 1, r.randint(1, 4), w, 0) for t, q, w in queues for k in range(r.randint(0, 6))]
+        df = spark.createDataFrame(rows, "id string, tenant_id string, queue_name string, rank long, slot_cost long, weight long, deficit long")
+        own = [{"tenant_id": t, "name": q, "weight": w, "deficit": 0, "candidates": [{"job_id": i, "tenant_id": t, "queue": q, "priority": 0, "ready_seq": k, "slot_cost": c, "recovery": False} for i, _, n, k, c, *_ in rows if n == q]} for t, q, w in queues]
+        own = [q for q in own if q["candidates"]]
+        cursor = seed % max(1, len(own))
+        want = scheduling.decide({"sequence": 1, "worker_slots": 1000, "batch_limit": 15, "cursor": cursor, "queues": own})["grants"]
+        got = scheduling.grant_order(df, cursor, 15, 1000).orderBy("used").collect()
+        assert [g.id for g in got] == [g["job_id"] for g in want]
+
+
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_ranks_of_groups_beyond_one_task(spark, monkeypatch, by):
+    import random
+
+    r = random.Random(3)
+    rows = [(i % 2, int(r.paretovariate(0.7) * 10)) for i in range(4000)] + [(2, 5)] * 7
+    df = spark.createDataFrame(rows, "g int, v long")
+    want = sorted(map(tuple, timing.distribution(df, "v", by).collect()))
+    monkeypatch.setattr(timing, "RANKED", 20)
+    monkeypatch.setattr(timing, "PARTS", 8)
+    assert sorted(map(tuple, timing.distribution(df, "v", by).collect())) == want
+
+
+def test_json_fields_and_strings(spark):
+    df = spark.createDataFrame([('{"a":1,"b":"x,y"}',), ("{}",)], "j string")
+    assert [r[0] for r in df.select(fn.json_set(F.col("j"), "b", F.lit('"$z"'))).collect()] == ['{"a":1,"b":"$z"}', '{"b":"$z"}']
+    assert df.limit(1).select(fn.json_text(F.lit('a"<\\\u2028'))).first()[0] == '"a\\"\\u003c\\\\\\u2028"'
+
+
+def test_durations_of_schedules():
+    assert [cron.duration(x) for x in ("1h30m", "90s", "1.5h", "10ms")] == [5400, 90, 5400, 1]
+    with pytest.raises(ValueError):
+        cron.duration("5 minutes")
+
+
 def test_workflow_validation(spark):
     nodes = spark.createDataFrame([("w", "a"), ("w", "a"), ("w", " ")], "dag_id string, id string")
     edges = spark.createDataFrame([("w", "a", "q"), ("w", "a", "a"), ("w", "a", "q")], "dag_id string, id string, parent string")
@@ -310,7 +388,7 @@ def test_event_rules(spark, column, value, message):
 @pytest.mark.parametrize("column,value,message", [("token_hash", "'x'", "invalid worker or token"), ("heartbeat_at", "9", "times out of order"), ("started_at", "1", "started before lease"), ("completed_at", "cast(null as long)", "completion time disagrees with state"), ("job_id", "'other'", "attempt without job")])
 def test_attempt_rules(spark, column, value, message):
     jobs, attempts, *_ = ledger(spark)
-    assert ("attempts", message) in found(checks.attempt_rows(attempts.withColumn(column, F.expr(value)), jobs))
+    assert ("attempts_and_leases", message) in found(checks.attempt_rows(attempts.withColumn(column, F.expr(value)), jobs))
 
 
 def test_schema_versions(spark):

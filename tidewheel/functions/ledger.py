@@ -115,3 +115,34 @@ def stable_key(domain: str, prefix: str, run: Column, seed: Column, index: Colum
     """SC11, AG23: key of a benchmark submission: `prefix` and the first 24 bytes of a hash over domain, run, seed and index."""
     h = sha_hex(F.lit(domain), zero(), run, zero(), seed.cast("string"), zero(), index.cast("string"))
     return F.concat(F.lit(prefix), F.substring(h, 1, 48))
+
+
+#: What the ledger's JSON escapes by number, besides control characters: HTML and line separators.
+ESCAPED = "<>&\u2028\u2029"
+
+
+def json_text(x: Column) -> Column:
+    """SC15: a JSON string with the ledger's escapes."""
+    out = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c, e in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"), *((c, f"\\u{ord(c):04x}") for c in ESCAPED)):
+        out = F.replace(out, F.lit(c), F.lit(e))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def json_object(**fields: Column) -> Column:
+    """SC15: a JSON object of fields that are JSON already, in the order given."""
+    parts = [F.concat(F.lit(f'"{name}":'), x) for name, x in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def request_digest(**fields: Column) -> Column:
+    """SC6: digest of a request: SHA-256 of its canonical JSON."""
+    return F.sha2(json_object(**fields).cast("binary"), 256)
+
+
+def json_set(x: Column, name: str, value: Column) -> Column:
+    """SC2: a flat JSON object with a field set to a value that is JSON already."""
+    there = F.get_json_object(x, f"$.{name}").isNotNull()
+    field = F.concat(F.lit(f'"{name}":'), value)
+    changed = F.regexp_replace(x, F.lit(rf'"{name}":("(\\.|[^"\\])*"|[^,}}]*)'), F.regexp_replace(field, r"([\\$])", r"\\$1"))
+    return F.when(there, changed).when(F.trim(x) == "{}", F.concat(F.lit("{"), field, F.lit("}"))).otherwise(F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.lit(","), field, F.lit("}")))

@@ -67,11 +67,19 @@ def recoveries(kills: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def affected(leases: DataFrame, lower: int, upper: int) -> DataFrame:
-    """JN18: whether a kill between two instants hit each lease: no if it ended before, yes if it ended after unless it succeeded or still runs, null (undecidable) between."""
+    """JN18: whether a kill between two instants hit each lease: no if it ended before, yes if it ended after unless it succeeded or still runs, null (undecidable) between; `decided` fails on these."""
     end = F.col("completed_at")
     return leases.withColumn("affected", F.when(end.isNull(), True).when(end < lower, False).when(end > upper, F.lit(True) & (F.col("state") != "SUCCEEDED")))
 
 
+def decided(leases: DataFrame, lower: int, upper: int) -> DataFrame:
+    """JN18: `affected`, where a lease that ended between the instants, has no state that fits its end or isn't there fails the evaluation."""
+    own = affected(leases, lower, upper)
+    fits = F.when(F.col("completed_at").isNull(), F.col("state").isin("LEASED", "RUNNING")).otherwise(F.col("state").isin("SUCCEEDED", "FAILED", "EXPIRED"))
+    good = F.col("affected").isNotNull() & F.coalesce(fits, F.lit(False))
+    return own.withColumn("affected", F.when(good, F.col("affected")).otherwise(F.raise_error(F.lit("a lease ended within the uncertain boundary, or its state doesn't fit its end")).cast("boolean")))
+
+
 def campaign(samples: DataFrame, target_ms: int) -> DataFrame:
     """EV8, EV13: pooled p99 of recovery, passed strictly below the target."""
     return nearest_rank(samples, "recovery_ms", [99]).withColumn("passed", F.col("p99") < target_ms)
@@ -150,3 +158,79 @@ def report_accounting(report: DataFrame, required: list[str], total: int, detail
 def contained(actions: DataFrame, start: int, end: int) -> DataFrame:
     """EV10b: actions whose calibrated time lies outside of the campaign."""
     return actions.where(~F.col("calibrated_ns").between(start, end)).select("sequence", F.lit("outside of the campaign").alias("message"))
+
+
+def benchmark_run(runs: DataFrame, jobs: int, workers: int, slots: int) -> DataFrame:
+    """EV10a: (run, message) where a run's manifest or summary isn't what a qualifying run has.
+
+    `runs` has run, summary_run, phase, summary_phase, scored, status, valid, qualification,
+    job_count, worker_count, worker_slots, canonical_jobs, lease_grants, repeats, digest and
+    recorded_digest.
+    """
+    c = F.col
+    rules = [
+        (~c("recorded_digest").rlike("^[0-9a-fA-F]{64}$") | (c("digest") != F.lower("recorded_digest")), "digest of the summary differs"),
+        ((c("status") != "valid") | (c("phase") != "warmup") & (c("phase") != "measured"), "invalid status or phase"),
+        (c("scored") != (c("phase") == "measured"), "scored disagrees with the phase"),
+        (~c("qualification") | (c("job_count") != jobs) | (c("worker_count") != workers) | (c("worker_slots") != slots), "not the qualifying workload"),
+        ((c("summary_run") != c("run")) | (c("summary_phase") != c("phase")) | ~c("valid"), "summary of another run or invalid"),
+        ((c("canonical_jobs") != jobs) | (c("lease_grants") != jobs) | (c("repeats") != 0), "counts differ from the workload"),
+    ]
+    broken = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(m)) for bad, m in rules)), lambda m: m.isNotNull())
+    twice = runs.groupBy("run").count().where("count > 1").select("run", F.lit("run id repeated").alias("message"))
+    return runs.select("run", F.explode(broken).alias("message")).unionByName(twice)
+
+
+def report_faults(reports: DataFrame, required: list[str], jobs: int) -> DataFrame:
+    """EV10c: (report, message) where a report of checks contradicts itself.
+
+    `reports` has report, expected, checks (array of name, violations, passed), total,
+    details, truncated, passed, states (array of state, n), job_count, accepted,
+    completions, active_jobs, active_attempts and reservations.
+    """
+    c = F.col
+    sum_ = lambda a, f: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x[f])
+    names = F.array_sort(F.transform("checks", lambda k: k["name"]))
+    only = F.filter("states", lambda s: s["n"] != 0)
+    whole_ = (c("accepted") == jobs) & (c("job_count") == jobs) & (c("completions") == jobs) & (c("active_jobs") == 0) & (c("active_attempts") == 0) & (c("reservations") == 0) & (F.size(only) == 1) & F.exists("states", lambda s: (s["state"] == "SUCCEEDED") & (s["n"] == jobs))
+    rules = [
+        (c("expected") != jobs, "other number of jobs expected"),
+        ((c("total") < 0) | (c("details") > c("total")) | (c("truncated") != (c("details") < c("total"))), "details disagree with the total"),
+        (F.exists("checks", lambda k: (k["name"] == "") | (k["violations"] < 0) | (k["passed"] != (k["violations"] == 0))), "check disagrees with its count"),
+        (F.size(F.array_distinct(names)) != F.size(names), "check repeated"),
+        (F.array_distinct(names) != F.array(*map(F.lit, sorted(required))), "checks missing or unknown"),
+        ((sum_("checks", "violations") != c("total")) | (c("passed") != (c("total") == 0)), "status disagrees with the checks"),
+        ((sum_("states", "n") != c("job_count")) | F.exists("states", lambda s: (s["state"] == "") | (s["n"] < 0)), "states disagree with the jobs"),
+        (c("passed") & ~whole_, "passed with loss or residue"),
+    ]
+    broken = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(m)) for bad, m in rules)), lambda m: m.isNotNull())
+    return reports.select("report", F.explode(broken).alias("message"))
+
+
+def replay_faults(runs: DataFrame, decisions: int, processes: int) -> DataFrame:
+    """EV10d: (kind, message) of replay evidence (kind, process, decisions, matched, digest): exact decisions, all matched, one digest, the exact number of processes."""
+    c = F.col
+    own = runs.groupBy("kind").agg(F.countDistinct("process").alias("n"), F.count_if(c("decisions") != decisions).alias("short"), F.count_if(c("matched") != c("decisions")).alias("off"), F.countDistinct("digest").alias("digests"), F.count_if(~c("digest").rlike("^[0-9a-f]{64}$")).alias("bad"))
+    rules = [(c("n") != processes, "other number of processes"), (c("short") > 0, "other number of decisions"), (c("off") > 0, "decisions that don't match"), ((c("digests") != 1) | (c("bad") > 0), "digests differ or are invalid")]
+    broken = F.filter(F.array(*(F.when(bad, F.lit(m)) for bad, m in rules)), lambda m: m.isNotNull())
+    return own.select("kind", F.explode(broken).alias("message"))
+
+
+def kill_faults(events: DataFrame) -> DataFrame:
+    """EV11: (message, n) over kills (sequence, kill_sequence, observed_ns, offset_ns, calibrated_ns, before: fences at the kill, affected: fences that it hit)."""
+    c = F.col
+    n = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("message"), "n").where("n > 0")
+    hit = events.select("kill_sequence", "before", F.explode("affected").alias("fence"))
+    dense = events.agg(F.countDistinct("kill_sequence").alias("d"), F.max("kill_sequence").alias("m")).where((c("d") != c("m")) & c("m").isNotNull())
+    parts = [
+        n(events.where("calibrated_ns <> observed_ns + offset_ns"), "clock differs"),
+        n(events.groupBy("kill_sequence").count().where("count > 1"), "kill repeated"),
+        n(dense, "kill missing"),
+        n(events.where(F.size(F.array_distinct("before")) != F.size("before")), "lease repeated before the kill"),
+        n(hit.where(~F.array_contains(c("before"), c("fence"))), "hit lease wasn't there before"),
+        n(hit.groupBy("kill_sequence", "fence").count().where("count > 1"), "hit lease repeated"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

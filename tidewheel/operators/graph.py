@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.ledger import TERMINAL
 from tidewheel.plans.storage import materialize
 
 #: Rounds after which what rounds left behind is written as one table, so that plans stay short.
@@ -73,6 +74,11 @@ def descendants(edges: DataFrame, start: DataFrame, open_only: DataFrame | None
     return union(out).distinct()
 
 
+def open_descendants(failed: DataFrame, jobs: DataFrame, edges: DataFrame) -> DataFrame:
+    """GR1, DM12: (id) of open jobs anywhere below the failed ones (id), also where terminal jobs stand between."""
+    return jobs.where(~F.col("state").isin(*TERMINAL)).join(descendants(edges, failed), "id", "left_semi").select("id").distinct()
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR2, GR3: (dag_id, id, level): the longest path from a root, nodes on or below a cycle with null.
 

@@ -69,6 +69,25 @@ def worker_health(workers: DataFrame, attempts: DataFrame, jobs: DataFrame, now_
     )
 
 
+def fenced_leases(attempts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """FLT4, JN4: live attempts that their jobs hold a lease for."""
+    live = attempts.where(F.col("state").isin("LEASED", "RUNNING")).select("job_id", "attempt_no", "lease_generation", "worker_id", "leased_at", "expires_at")
+    held = jobs.where(F.col("state").isin(*ACTIVE)).select(F.col("id").alias("job_id"), "attempt_no", "lease_generation", "tenant_id", "slot_cost")
+    return live.join(held, ["job_id", "attempt_no", "lease_generation"])
+
+
+def lease_states(attempts: DataFrame, leases: DataFrame) -> DataFrame:
+    """JN17, FLT7: state and end (0 if open) of the attempts of a list of fences (job_id, attempt_no, lease_generation); one that is gone has a null state."""
+    fence = ["job_id", "attempt_no", "lease_generation"]
+    return leases.select(*fence).distinct().join(attempts.select(*fence, "state", F.coalesce("completed_at", F.lit(0)).alias("completed_at")), fence, "left")
+
+
+def attempts_of(attempts: DataFrame, done: DataFrame, ids: DataFrame) -> DataFrame:
+    """FLT8: attempts of a list of jobs (job_id) with the job's commit time, 0 without."""
+    own = attempts.join(ids.select("job_id").distinct(), "job_id", "left_semi")
+    return own.join(done.select("job_id", "committed_at"), "job_id", "left").select("job_id", "attempt_no", "lease_generation", "leased_at", F.coalesce("committed_at", F.lit(0)).alias("committed_at"))
+
+
 def open_depth(jobs: DataFrame) -> DataFrame:
     """AG4."""
     return jobs.where(~F.col("state").isin(*TERMINAL)).groupBy("tenant_id", "queue_name", "state").agg(F.count("*").alias("n"))
@@ -206,3 +225,21 @@ def dashboard_totals(depths: DataFrame, workers: DataFrame) -> DataFrame:
     q = depths.agg(total(F.lit(True), F.col("active")).alias("depth"), total(F.lit(True), F.col("running")).alias("running"))
     w = workers.agg(F.count_if(F.col("status") == "healthy").alias("healthy"), F.count("*").alias("workers"))
     return one_row(q, w)
+
+
+def children(parents: DataFrame, dependencies: DataFrame, jobs: DataFrame) -> DataFrame:
+    """JN20: (id, open_parents) of the children of some jobs (id), with how many of all their parents haven't succeeded."""
+    own = dependencies.join(parents.select(F.col("id").alias("depends_on_id")), "depends_on_id", "left_semi").select("job_id").distinct()
+    state = jobs.select(F.col("id").alias("depends_on_id"), F.col("state").alias("parent_state"))
+    all_ = dependencies.join(own, "job_id", "left_semi").join(state, "depends_on_id")
+    return all_.groupBy(F.col("job_id").alias("id")).agg(F.count_if(F.col("parent_state") != "SUCCEEDED").alias("open_parents"))
+
+
+def heads(records: DataFrame, by: list[str]) -> DataFrame:
+    """TK7: sequence and hash of the last record of each chain."""
+    return records.groupBy(*by).agg(F.max("sequence").alias("sequence"), F.max_by("hash", "sequence").alias("hash"))
+
+
+def from_text(spark, sql: str, **tables: DataFrame) -> DataFrame:
+    """SRC5: rows of a query given as text over named tables ({name})."""
+    return spark.sql(sql, **tables)

@@ -108,6 +108,14 @@ def snapshots(candidates: DataFrame, queues: DataFrame, now_ns: int, slots: int,
     return one.where(left > 0).select(F.lit(sequence).cast("long").alias("sequence"), F.to_json(s).alias("snapshot"))
 
 
+def queue_snapshots(candidates: DataFrame, slots: int) -> DataFrame:
+    """SCH1 by queue: its weight, its candidates in order, and the slots that are left where no recovered job waits anywhere and the reserve is held back."""
+    waiting = candidates.agg(F.coalesce(F.bool_or("recovery_pending"), F.lit(False)).alias("waiting"))
+    per = candidates.groupBy("tenant_id", "queue_name").agg(F.first("weight").alias("weight"), F.count("*").alias("candidates"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda c: c["id"]), ",").alias("ids"))
+    left = F.lit(slots).cast("long") - F.when(F.col("waiting"), 0).otherwise(F.least(F.lit(slots).cast("long"), recovery_reserve(F.lit(slots))))
+    return per.join(F.broadcast(waiting), F.lit(True)).select("tenant_id", "queue_name", "weight", "candidates", "ids", left.alias("slots"))  # one row
+
+
 def unit_cost_order(candidates: DataFrame, cursor: int, take: int) -> DataFrame:
     """SCH2 where all costs are 1 and no deficit is left over, in closed form: by round, then turn, then rank."""
     w = Window.orderBy("tenant_id", "queue_name")
@@ -118,6 +126,49 @@ def unit_cost_order(candidates: DataFrame, cursor: int, take: int) -> DataFrame:
     return both.select("id", "tenant_id", "queue_name", round_.alias("round"), turn.cast("long").alias("turn"), "rank").orderBy("round", "turn", "rank").limit(take)
 
 
+def grant_order(candidates: DataFrame, cursor: int, take: int, slots: int) -> DataFrame:
+    """SCH2 by windows: the first grants (id, round, turn, cost so far) while slots last.
+
+    A job is granted in the round in which its queue's weights and old deficit reach the
+    cost of it and all before it; rounds and turns order the grants. A full cycle of queues
+    without a grant ends the decision. What follows the first job that the slots don't
+    cover isn't in the result, as smaller jobs of other queues may then come first.
+    """
+    queue = Window.partitionBy("tenant_id", "queue_name").orderBy("rank")
+    turns = Window.orderBy("tenant_id", "queue_name")
+    queues = candidates.select("tenant_id", "queue_name").distinct().withColumn("qi", F.row_number().over(turns) - 1).withColumn("nq", F.count("*").over(Window.partitionBy()))  # a row per queue
+    both = candidates.withColumn("reach", F.sum("slot_cost").over(queue)).join(queues, ["tenant_id", "queue_name"])
+    weight = F.greatest("weight", F.lit(1))
+    round_ = F.greatest(F.lit(1), F.ceil((F.col("reach") - F.col("deficit")) / weight)).cast("long")
+    turn = F.pmod(F.col("qi") - cursor, F.col("nq")).cast("long")
+    some = both.select("id", "tenant_id", "queue_name", "slot_cost", "rank", "nq", round_.alias("round"), turn.alias("turn")).orderBy("round", "turn", "rank").limit(take)
+    order = Window.orderBy("round", "turn", "rank")  # of at most `take` rows
+    at = (F.col("round") - 1) * F.col("nq") + F.col("turn")
+    some = some.withColumn("gap", at - F.coalesce(F.lag(at).over(order), F.lit(-1))).withColumn("used", F.sum("slot_cost").over(order))
+    ended = F.max((F.col("gap") > F.col("nq")).cast("int")).over(order)
+    return some.withColumn("ended", ended).where((F.col("ended") == 0) & (F.col("used") <= slots)).select("id", "tenant_id", "queue_name", "round", "turn", F.col("used").cast("long").alias("used"))
+
+
+def range_digests(lines: DataFrame, size: int = 1000) -> DataFrame:
+    """SNK1: (first, n, sha256) of each `size` lines in order of sequence, hashed where they are; equal logs have equal ranges, and a range that differs says where."""
+    own = lines.groupBy((F.call_function("div", F.col("sequence") - 1, F.lit(size)) * size + 1).alias("first")).agg(F.sort_array(F.collect_list(F.struct("sequence", "line"))).alias("rows"))  # at most `size` lines
+    text = F.array_join(F.transform("rows", lambda r: F.concat(r["line"], F.lit("\n"))), "")
+    return own.select("first", F.size("rows").cast("long").alias("n"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+
+
+def chained(records: DataFrame, by: list[str]) -> DataFrame:
+    """SCH5, RPL5: records (sequence, body: JSON fields) of many short chains with previous_hash, material and hash: SHA-256 over sequence, previous hash and body."""
+    rows = records.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("sequence", "body"))).alias("rows"))
+    start = F.struct(F.lit("").alias("hash"), F.array().cast("array<struct<sequence:bigint,previous_hash:string,material:string,hash:string>>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        material = F.concat(F.lit('{"schema_version":1,"sequence":'), r["sequence"].cast("string"), F.lit(',"previous_hash":"'), acc["hash"], F.lit('",'), r["body"], F.lit("}"))
+        own = F.sha2(material.cast("binary"), 256)
+        return F.struct(own.alias("hash"), F.concat(acc["out"], F.array(F.struct(r["sequence"].cast("long").alias("sequence"), acc["hash"].alias("previous_hash"), material.alias("material"), own.alias("hash")))).alias("out"))
+
+    return rows.select(*by, F.inline(F.aggregate("rows", start, step)["out"])).withColumn("schema_version", F.lit(1))
+
+
 def synthetic(spark, n: int) -> DataFrame:
     """RPL4: n snapshots of one job of one slot each."""
     job = F.lower(F.lpad(F.hex("sequence"), 32, "0"))
@@ -140,18 +191,20 @@ def divergences(log: DataFrame) -> DataFrame:
     return log.select("sequence", F.col("line").alias("actual")).join(made, "sequence").where("expected <> actual").orderBy("sequence").limit(1)
 
 
-def chain_faults(records: DataFrame, boundary: int = 1) -> DataFrame:
+def chain_faults(records: DataFrame, boundary: int = 1, by: list[str] | None = None) -> DataFrame:
     """RPL2, WN7, SRC7: (sequence, message) of breaks: gaps, wrong previous hashes, wrong versions, wrong own hashes.
 
     `records` has schema_version, sequence, previous_hash, hash and material (the JSON that
-    was hashed). The previous record is found by a join on sequence - 1, so no task sorts all.
+    was hashed), of one chain or of one for each `by`. The previous record is found by a
+    join on sequence - 1, so no task sorts all.
     """
-    before = records.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("wanted"))
-    both = records.join(before, "sequence", "left")
+    by = by or []
+    before = records.select(*by, (F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("wanted"))
+    both = records.join(before, [*by, "sequence"], "left")
     first = F.col("sequence") == boundary
     rules = [(F.col("schema_version") != SCHEMA_VERSION, "unsupported schema"), (~first & F.col("wanted").isNull(), "sequence not contiguous"), (F.col("previous_hash") != F.when(first, "").otherwise(F.col("wanted")), "previous hash differs"), (F.sha2(F.col("material").cast("binary"), 256) != F.col("hash"), "hash differs")]
     broken = F.filter(F.array(*(F.when(bad, F.lit(m)) for bad, m in rules)), lambda m: m.isNotNull())
-    return both.select("sequence", F.explode(broken).alias("message"))
+    return both.select(*by, "sequence", F.explode(broken).alias("message"))
 
 
 def append(previous: str, snapshot: dict, decision: dict) -> dict:

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from tidewheel.functions.ledger import whole
 
 MINUTE = 60_000_000_000
-BOUNDS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
+#: Upper bounds of the histograms in seconds.
+JOB_LATENCY = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
+LEASE_RECOVERY = (0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 7.5, 10.0, 15.0, 30.0)
+STORE_CALL = (0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+#: What the alerts ask for.
+RATIO, OBSERVATIONS, RATIO_MINUTES, DEPTH, DEPTH_MINUTES = 0.99, 20, 5, 10, 10
 
 
-def buckets(observations: DataFrame, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+def buckets(observations: DataFrame, bounds: tuple[float, ...] = JOB_LATENCY) -> DataFrame:
     """TS1: cumulative counts (stage, le, n) of (stage, ns); infinity is the last bucket. One row per stage and bound leaves a task."""
     seconds = F.col("ns") / 1e9
     counts = observations.groupBy("stage").agg(*(F.count_if(seconds <= b).alias(f"b{i}") for i, b in enumerate(bounds)), F.count("*").alias(f"b{len(bounds)}"))
@@ -75,3 +80,17 @@ def gauges(samples: DataFrame, labels: list[str]) -> DataFrame:
 def zero_filled(counts: DataFrame, dimension: DataFrame, label: str, n: str = "n") -> DataFrame:
     """TS10, TS11: every label of a bounded set with its count, 0 where there is none."""
     return dimension.join(counts, label, "left").select(label, F.coalesce(n, F.lit(0)).alias(n))
+
+
+def or_zero(sums: DataFrame, minutes: DataFrame, columns: list[str]) -> DataFrame:
+    """TS2, TS3: sums (stage, minute, ...) at every minute of `minutes` (minute) for every stage, 0 where there was nothing."""
+    grid = sums.select("stage").distinct().join(minutes.select("minute").distinct(), F.lit(True))  # stages are a bounded set of labels
+    return grid.join(sums, ["stage", "minute"], "left").select("stage", "minute", *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
+
+
+def exposition(metrics: DataFrame) -> DataFrame:
+    """SNK4: (metric, line) in text form from (metric, labels: a map, value); labels by name, values escaped."""
+    quoted = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), quoted(e["value"]), F.lit('"')))
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    return metrics.select("metric", F.concat("metric", labels, F.lit(" "), F.col("value").cast("string")).alias("line"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.ledger import ACTIVE, TERMINAL, audit_id, dag_id, retry_delay_ns, sha_hex
 from tidewheel.operators import graph, reads
-from tidewheel.operators.graph import descendants
 from tidewheel.plans.storage import numbered
 
 
@@ -35,7 +34,13 @@ def submit(requests: DataFrame, known: DataFrame, jobs: DataFrame, tenants: Data
     replay = F.when(seen.isNotNull(), F.when(seen == c("digest"), "replayed").otherwise("conflict"))
     invalid = F.when(c("parent").isNotNull() & (c("parent_state").isNull() | (c("parent_tenant") != c("tenant_id"))), "invalid")
     own = own.withColumn("kind", F.coalesce(replay, invalid, F.lit("new")))
-    new = own.where(c("kind") == "new").groupBy("tenant_id", "max_depth", "active").agg(F.array_sort(F.collect_list(F.struct("request", "nodes"))).alias("asked"))
+    new = own.where(c("kind") == "new")
+    if not new.where("nodes <> 1").limit(1).count():  # single jobs: the first of a tenant, as many as there is room for
+        taken = F.row_number().over(Window.partitionBy("tenant_id").orderBy("request"))
+        room = F.when(F.coalesce("max_depth", F.lit(0)) > 0, c("max_depth") - F.coalesce("active", F.lit(0)))
+        admitted = new.withColumn("taken", taken).where(room.isNull() | (c("taken") <= room)).select("request").withColumn("admitted", F.lit(True))
+        return _outcomes(own.join(admitted, "request", "left"), counter, now_ns)
+    new = new.groupBy("tenant_id", "max_depth", "active").agg(F.array_sort(F.collect_list(F.struct("request", "nodes"))).alias("asked"))
     empty = F.struct(F.coalesce("active", F.lit(0)).cast("long").alias("used"), F.array().cast(f"array<{requests.schema['request'].dataType.simpleString()}>").alias("taken"))
 
     def admit(acc: Column, x: Column) -> Column:
@@ -43,7 +48,12 @@ def submit(requests: DataFrame, known: DataFrame, jobs: DataFrame, tenants: Data
         return F.struct((acc["used"] + F.when(fits, x["nodes"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.array_append(acc["taken"], x["request"])).otherwise(acc["taken"]).alias("taken"))
 
     admitted = new.select(F.explode(F.aggregate("asked", empty, admit)["taken"]).alias("request")).withColumn("admitted", F.lit(True))
-    own = own.join(admitted, "request", "left")
+    return _outcomes(own.join(admitted, "request", "left"), counter, now_ns)
+
+
+def _outcomes(own: DataFrame, counter: int, now_ns: int) -> DataFrame:
+    """The last part of `submit`: outcome, state and ready number of each request."""
+    c = F.col
     full = c("admitted").isNull()
     state = F.when(c("parent_state").isin("FAILED", "DEAD_LETTER"), "DEAD_LETTER").otherwise("PENDING")
     own = own.withColumn("outcome", F.when((c("kind") == "new") & full, "rejected").when(c("kind") == "new", "accepted").otherwise(c("kind")))
@@ -105,8 +115,8 @@ def activate(parents: DataFrame, jobs: DataFrame, dependencies: DataFrame, count
 
 
 def fail_descendants(failed: DataFrame, jobs: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """DM12: (id) of open jobs below the failed ones, which become dead letters."""
-    return descendants(dependencies, failed, jobs.where(~F.col("state").isin(*TERMINAL)))
+    """DM12: (id) of open jobs anywhere below the failed ones, which become dead letters."""
+    return graph.open_descendants(failed, jobs, dependencies)
 
 
 def force(commands: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -160,6 +170,13 @@ def acquire(grants: DataFrame, jobs: DataFrame, tenants: DataFrame, worker: str,
     )
 
 
+def reserved(grants: DataFrame, tenants: DataFrame) -> DataFrame:
+    """DM8: slots that grants ask of each tenant, and whether its cap lets it have them all."""
+    asked = grants.groupBy("tenant_id").agg(F.sum("slot_cost").cast("long").alias("asked"))
+    both = tenants.select("tenant_id", "max_slots", "active_slots").join(asked, "tenant_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
+    return both.withColumn("fits", (F.col("max_slots") == 0) | (F.col("active_slots") + F.col("asked") <= F.col("max_slots")))
+
+
 def record_actions(actions: DataFrame, known: DataFrame, now_ns: int) -> DataFrame:
     """DM16: audit events of operator actions (tenant_id, action, idempotency_key, actor, target_type, target_id, digest); a known scope with another digest conflicts."""
     old = known.select("tenant_id", "action", "idempotency_key", F.col("digest").alias("old"))

@@ -8,40 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import ledger as fn
-from tidewheel.functions.ledger import ACTIVE
 from tidewheel.operators import checks, evidence, graph, reads, scheduling, slo, timing, transitions
-from tidewheel.plans.storage import materialize
+from tidewheel.registry import NOW, QUERIES, SQL, TENANT, key, now_of, query
 from tidewheel.sources.derive import Ledger, duckdb_ctes
-from tidewheel.streaming import cron
 from tidewheel.streaming import ledger as streams
 
-TENANT = "nation-7"
-QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {}
-SQL: dict[str, str] = {}
-NOW = "(SELECT max(occurred_at) FROM ev0)"
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-def now_of(ledger: Ledger) -> int:
-    return ledger.ledger_events.agg(F.max("occurred_at")).first()[0] or 0
-
-
-def key(table: DataFrame, k: int, column: str = "id") -> str:
-    """The id of order k's job."""
-    import hashlib
-
-    return hashlib.md5(f"job:{k}".encode()).hexdigest()
-
-
 # --- reads
 
 query("SRC1_job", "SELECT id, tenant_id, state, attempt_no, slot_cost, max_attempts FROM jobs WHERE id = md5('job:7')")(lambda x: reads.job(x.jobs, key(x.jobs, 7)).select("id", "tenant_id", "state", "attempt_no", "slot_cost", F.get_json_object("retry_json", "$.max_attempts").cast("long").alias("max_attempts")))
@@ -141,149 +112,6 @@ query("AG16_price_percentiles", "SELECT l_returnflag, quantile_disc(l_extendedpr
 query("AG18_median", "SELECT round(median(o_totalprice), 6) AS median FROM orders")(lambda x: timing.median(x.spark.read.parquet(f"{x.sf_dir}/orders.parquet"), "o_totalprice").select(F.round("median", 6).alias("median")))
 query("AG19_rates", "SELECT worker_id, CASE WHEN count(*) >= 2 AND max(leased_at) > min(leased_at) THEN round(count(*) * 60e9 / (max(leased_at) - min(leased_at)), 9) END AS per_minute FROM attempts GROUP BY worker_id")(lambda x: timing.rate_per_minute(x.attempts, "leased_at", ["worker_id"]).select("worker_id", F.round("per_minute", 9).alias("per_minute")))
 
-# --- reconciliation: the clean ledger of succeeded jobs, and one with planted faults
-
-
-def drained(x: Ledger, corrupt: bool) -> dict[str, DataFrame]:
-    """The ledger without the jobs that haven't SUCCEEDED, and without what those hold; `corrupt` drops, doubles and bends some rows.
-
-    Rows of jobs that don't exist stay, so that checks find them. Events stay whole, as their sequence is.
-    """
-    out_of_it = materialize(x.jobs.where("NOT state <=> 'SUCCEEDED'").select("id", "tenant_id", "queue_name", F.when(F.col("state").isin(*ACTIVE), F.col("slot_cost")).otherwise(0).alias("held")), "left")
-    by = lambda df, c: df.join(out_of_it.select(F.col("id").alias(c)), c, "left_anti")
-
-    def less(df: DataFrame, *names: str) -> DataFrame:
-        held = out_of_it.groupBy(*names).agg(F.sum("held").cast("long").alias("held"))
-        return df.join(held, [*names], "left").withColumn("active_slots", F.col("active_slots") - F.coalesce("held", F.lit(0))).drop("held")
-
-    out = {"jobs": by(x.jobs, "id"), "attempts": by(x.attempts, "job_id"), "done": by(x.job_completions, "job_id"), "manifest": x.manifest, "requests": by(x.idempotency_requests, "job_id")}
-    out |= {"events": x.ledger_events, "edges": by(by(x.job_dependencies, "job_id"), "depends_on_id"), "queues": less(x.queue_state, "tenant_id", "queue_name"), "tenants": less(x.tenant_limits, "tenant_id"), "counters": x.counters, "migrations": x.schema_migrations}
-    if corrupt:
-        out["done"] = out["done"].where("k % 97 <> 0").unionByName(out["done"].where("k % 101 = 0"))
-        out["attempts"] = out["attempts"].withColumn("lease_generation", F.when(F.col("k") % 103 == 0, 1).otherwise(F.col("lease_generation")).cast("long"))
-        out["jobs"] = out["jobs"].withColumn("state_version", F.when(F.col("k") % 107 == 0, F.col("state_version") + 1).otherwise(F.col("state_version")))
-        out["manifest"] = out["manifest"].where("k % 109 <> 0")
-        out["events"] = out["events"].where("event_seq % 127 <> 0")
-        out["edges"] = out["edges"].withColumn("depends_on_id", F.when(F.col("job_id").startswith("0"), "gone").otherwise(F.col("depends_on_id")))
-        out["queues"] = out["queues"].withColumn("active_slots", F.col("active_slots") + (F.col("weight") == 2).cast("long"))
-        out["tenants"] = out["tenants"].withColumn("active_slots", F.col("active_slots") + (F.length("tenant_id") == 8).cast("long"))
-        out["counters"] = out["counters"].withColumn("value", F.lit(100).cast("long"))
-        out["migrations"] = out["migrations"].where("version <> 2").withColumn("checksum", F.when(F.col("version") == 4, "bent").otherwise(F.col("checksum")))
-    return out
-
-
-DRAINED = """kept AS (SELECT * FROM jobs WHERE state = 'SUCCEEDED'), d_jobs AS (SELECT * REPLACE (CASE WHEN k % 107 = 0 THEN state_version + 1 ELSE state_version END AS state_version) FROM kept),
-    d_att AS (SELECT a.* REPLACE (CASE WHEN a.k % 103 = 0 THEN 1 ELSE a.lease_generation END AS lease_generation) FROM attempts a JOIN kept ON kept.id = a.job_id),
-    d_done0 AS (SELECT c.* FROM job_completions c JOIN kept ON kept.id = c.job_id), d_done AS (SELECT * FROM d_done0 WHERE k % 97 <> 0 UNION ALL SELECT * FROM d_done0 WHERE k % 101 = 0),
-    d_man AS (SELECT * FROM manifest WHERE k % 109 <> 0)"""
-
-
-def names(df: DataFrame) -> DataFrame:
-    return df.groupBy("check", "message").agg(F.count("*").alias("n"))
-
-
-def corrupted(f):
-    return lambda x: names(f(x, drained(x, True)))
-
-
-query("REC2_ledger_jobs", f"WITH {DRAINED} SELECT 'canonical_ledger' AS \"check\", 'job absent from manifest' AS message, count(*) AS n FROM d_jobs WHERE id NOT IN (SELECT job_id FROM d_man) HAVING count(*) > 0")(corrupted(lambda x, d: checks.ledger_jobs(d["manifest"], d["jobs"])))
-query("REC1_manifest", f"WITH {DRAINED} SELECT 'manifest' AS \"check\", 'sequence not contiguous' AS message, CAST(1 AS BIGINT) AS n FROM d_man HAVING count(*) <> max(sequence) OR min(sequence) <> 1")(corrupted(lambda x, d: checks.manifest(d["manifest"])))
-query(
-    "REC4_completions",
-    f"""WITH {DRAINED}, v AS (SELECT 'duplicate completion' AS message FROM d_done GROUP BY job_id HAVING count(*) > 1
-    UNION ALL SELECT 'completion disagrees with job' FROM d_done c JOIN d_jobs j ON j.id = c.job_id WHERE c.state <> j.state OR c.state_version <> j.state_version OR c.attempt_no <> j.attempt_no
-    UNION ALL SELECT 'no canonical completion' FROM d_man WHERE job_id NOT IN (SELECT job_id FROM d_done) UNION ALL SELECT 'terminal job without completion' FROM d_jobs WHERE id NOT IN (SELECT job_id FROM d_done))
-    SELECT 'canonical_ledger' AS "check", message, count(*) AS n FROM v GROUP BY message""",
-)(corrupted(lambda x, d: checks.completions(d["manifest"], d["jobs"], d["done"])))
-query(
-    "REC7_attempt_chain",
-    f"""WITH {DRAINED}, a AS (SELECT *, lag(lease_generation) OVER (PARTITION BY job_id ORDER BY attempt_no) AS g FROM d_att), l AS (SELECT job_id, arg_max(lease_generation, attempt_no) AS g FROM d_att GROUP BY job_id),
-    v AS (SELECT 'generation not increasing' AS message FROM a WHERE lease_generation <= g UNION ALL SELECT 'fence differs from last attempt' FROM d_jobs j JOIN l ON l.job_id = j.id WHERE l.g <> j.lease_generation)
-    SELECT 'attempts' AS "check", message, count(*) AS n FROM v GROUP BY message""",
-)(corrupted(lambda x, d: checks.attempt_chain(d["attempts"], d["jobs"])))
-query("REC5_idempotency", f"WITH {DRAINED} SELECT 'idempotency' AS \"check\", 'request absent from manifest' AS message, count(*) AS n FROM kept WHERE k % 109 = 0 HAVING count(*) > 0")(corrupted(lambda x, d: checks.idempotency(d["manifest"], d["requests"])))
-query("REC8_event_log", f"WITH {DRAINED} SELECT 'event_log' AS \"check\", 'fold differs from job' AS message, count(*) AS n FROM kept WHERE k % 107 = 0 HAVING count(*) > 0")(corrupted(lambda x, d: checks.event_log(x.ledger_events, d["jobs"])))
-query("REC17_contract", f"WITH {DRAINED}, v AS (SELECT 'duplicate completion' AS message, sum(n - 1) AS n FROM (SELECT count(*) AS n FROM d_done GROUP BY job_id HAVING count(*) > 1) UNION ALL SELECT 'duplicate generation', sum(n - 1) FROM (SELECT count(*) AS n FROM d_att GROUP BY job_id, lease_generation HAVING count(*) > 1)) SELECT 'contract' AS \"check\", message, CAST(n AS BIGINT) AS n FROM v WHERE n > 0")(
-    corrupted(lambda x, d: checks.narrow(d["jobs"], d["manifest"], d["done"], d["attempts"], succeeded=True, quiescent=True))
-)
-EMPTY_SQL = "SELECT 'x' AS \"check\", 'x' AS message, CAST(0 AS BIGINT) AS n WHERE false"
-query("REC3_materialized", EMPTY_SQL)(lambda x: names(checks.materialized(x.jobs)))
-query("REC6_attempt_rows", EMPTY_SQL)(lambda x: names(checks.attempt_rows(x.attempts, x.jobs)))
-query("REC10_slots", EMPTY_SQL)(lambda x: names(checks.slots(x.jobs, x.queue_state, x.tenant_limits)))
-query("REC11_counters", "SELECT 'materialized_jobs' AS \"check\", 'counter behind ready sequence' AS message, count(*) AS n FROM jobs WHERE ready_seq > 100 HAVING count(*) > 0")(lambda x: names(checks.counters(x.jobs, 100)))
-query("REC15_foreign_keys", "SELECT 'foreign_keys' AS \"check\", 'line without part' AS message, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) HAVING count(*) > 0")(
-    lambda x: names(checks.foreign_keys(x.spark.read.parquet(f"{x.sf_dir}/lineitem.parquet"), "l_partkey", x.spark.read.parquet(f"{x.sf_dir}/part.parquet").where("p_partkey % 2 = 0"), "p_partkey", "line without part"))
-)
-query(
-    "REC9_dag",
-    """WITH b AS (SELECT c.state AS cs, c.ready_seq AS cr, c.tenant_id AS ct, p.state AS ps, p.tenant_id AS pt FROM job_dependencies d JOIN jobs c ON c.id = d.job_id JOIN jobs p ON p.id = d.depends_on_id),
-    v AS (SELECT 'released before parents succeeded' AS message FROM b WHERE (cr > 0 OR cs IN ('SCHEDULED', 'RUNNING', 'SUCCEEDED')) AND ps <> 'SUCCEEDED'
-    UNION ALL SELECT 'open below a failed job' FROM b WHERE ps IN ('FAILED', 'DEAD_LETTER') AND cs NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER') UNION ALL SELECT 'edge crosses tenants' FROM b WHERE ct <> pt)
-    SELECT 'dag' AS "check", message, count(*) AS n FROM v GROUP BY message""",
-)(lambda x: names(checks.dependencies(x.job_dependencies, x.jobs, x.ledger_events)))
-
-
-def all_checks(x: Ledger, corrupt: bool) -> dict[str, list[DataFrame]]:
-    """The violations by check of CHECKS; ready sequences are counted over all jobs, as their counter is."""
-    d = drained(x, corrupt)
-    value = d["counters"].where("name = 'ready_seq'").agg(F.coalesce(F.max("value"), F.lit(0))).first()[0]
-    links = [("attempts", "job_id", "attempt without job"), ("done", "job_id", "completion without job"), ("requests", "job_id", "request without job"), ("edges", "job_id", "dependency without job"), ("edges", "depends_on_id", "dependency without parent")]
-    whole = [(x.ledger_events, "event without job"), (x.dead_letters, "dead letter without job"), (x.dag_jobs, "node without job")]
-    return {
-        "manifest": [checks.manifest(d["manifest"])],
-        "canonical_ledger": [checks.ledger_jobs(d["manifest"], d["jobs"]), checks.completions(d["manifest"], d["jobs"], d["done"])],
-        "materialized_jobs": [checks.materialized(d["jobs"]), checks.counters(x.jobs, value)],
-        "idempotency": [checks.idempotency(d["manifest"], d["requests"])],
-        "attempts": [checks.attempt_rows(d["attempts"], d["jobs"]), checks.attempt_chain(d["attempts"], d["jobs"])],
-        "event_log": [checks.event_log(d["events"], d["jobs"])],
-        "dag": [checks.dependencies(d["edges"], d["jobs"], d["events"])],
-        "slot_accounting": [checks.slots(d["jobs"], d["queues"], d["tenants"])],
-        "schema_migrations": [checks.schema_versions(d["migrations"])],
-        "foreign_keys": [checks.foreign_keys(d[t], c, d["jobs"], "id", name) for t, c, name in links] + [checks.foreign_keys(t, "job_id", x.jobs, "id", name) for t, name in whole] + [checks.foreign_keys(x.jobs, "tenant_id", x.tenant_limits, "tenant_id", "job without tenant")],
-    }
-
-
-def report_of(x: Ledger, corrupt: bool) -> DataFrame:
-    """Each check's violations are written first, so that the driver doesn't plan them all as one."""
-    parts = all_checks(x, corrupt)
-    return checks.report(checks.union([materialize(checks.union(found), "violations") for found in parts.values()]), parts)
-
-
-_moves = " OR ".join(f"previous {'IS NULL' if old is None else f'= {chr(39)}{old}{chr(39)}'} AND state IN ({', '.join(f'{chr(39)}{s}{chr(39)}' for s in new)})" for old, new in checks.MOVES.items())
-#: Violations of the corrupt ledger, a row each.
-FAULTS_SQL = f"""{DRAINED}, d_ev AS (SELECT *, row_number() OVER w AS r, lag(state) OVER w AS previous FROM ledger_events WHERE event_seq % 127 <> 0 WINDOW w AS (PARTITION BY job_id ORDER BY event_seq)),
-    d_fold AS (SELECT job_id, arg_max(state, event_seq) AS state, arg_max(state_version, event_seq) AS v FROM d_ev GROUP BY job_id),
-    d_edge AS (SELECT d.job_id, CASE WHEN d.job_id LIKE '0%' THEN 'gone' ELSE depends_on_id END AS parent FROM job_dependencies d WHERE d.job_id IN (SELECT id FROM kept) AND depends_on_id IN (SELECT id FROM kept)),
-    held AS (SELECT tenant_id, queue_name, CAST(sum(slot_cost) AS BIGINT) AS n FROM jobs WHERE state IN ('SCHEDULED', 'RUNNING') GROUP BY ALL), d_mig AS (SELECT version, CASE WHEN version = 4 THEN 'bent' ELSE checksum END AS checksum FROM schema_migrations WHERE version <> 2),
-    a AS (SELECT *, lag(lease_generation) OVER (PARTITION BY job_id ORDER BY attempt_no) AS g FROM d_att), l AS (SELECT job_id, arg_max(lease_generation, attempt_no) AS g FROM d_att GROUP BY job_id),
-    f AS (SELECT 'manifest' AS "check" FROM d_man HAVING count(*) <> max(sequence) OR min(sequence) <> 1
-    UNION ALL SELECT 'canonical_ledger' FROM d_jobs WHERE id NOT IN (SELECT job_id FROM d_man)
-    UNION ALL SELECT 'canonical_ledger' FROM d_done GROUP BY job_id HAVING count(*) > 1
-    UNION ALL SELECT 'canonical_ledger' FROM d_done c JOIN d_jobs j ON j.id = c.job_id WHERE c.state <> j.state OR c.state_version <> j.state_version OR c.attempt_no <> j.attempt_no
-    UNION ALL SELECT 'canonical_ledger' FROM d_man WHERE job_id NOT IN (SELECT job_id FROM d_done)
-    UNION ALL SELECT 'canonical_ledger' FROM d_jobs WHERE id NOT IN (SELECT job_id FROM d_done)
-    UNION ALL SELECT 'materialized_jobs' FROM jobs WHERE ready_seq > 100
-    UNION ALL SELECT 'materialized_jobs' FROM jobs WHERE ready_seq > 0 GROUP BY ready_seq HAVING count(*) > 1
-    UNION ALL SELECT 'idempotency' FROM idempotency_requests q JOIN kept ON kept.id = q.job_id WHERE q.job_id NOT IN (SELECT job_id FROM d_man)
-    UNION ALL SELECT 'attempts' FROM a WHERE lease_generation <= g
-    UNION ALL SELECT 'attempts' FROM d_jobs j JOIN l ON l.job_id = j.id WHERE l.g <> j.lease_generation
-    UNION ALL SELECT 'event_log' FROM d_ev WHERE (r = 1) <> (event_type = 'job_admitted')
-    UNION ALL SELECT 'event_log' FROM d_ev WHERE state_version <> r
-    UNION ALL SELECT 'event_log' FROM d_ev WHERE NOT coalesce({_moves}, false)
-    UNION ALL SELECT 'event_log' FROM d_ev HAVING count(*) <> max(event_seq) OR min(event_seq) <> 1
-    UNION ALL SELECT 'event_log' FROM d_jobs j LEFT JOIN d_fold e ON e.job_id = j.id WHERE e.job_id IS NULL OR e.state <> j.state OR e.v <> j.state_version
-    UNION ALL SELECT 'dag' FROM d_edge WHERE parent NOT IN (SELECT id FROM kept)
-    UNION ALL SELECT 'dag' FROM d_edge d JOIN kept c ON c.id = d.job_id JOIN kept p ON p.id = d.parent WHERE c.tenant_id <> p.tenant_id
-    UNION ALL SELECT 'slot_accounting' FROM queue_state q LEFT JOIN held h ON h.tenant_id = q.tenant_id AND h.queue_name = q.queue_name WHERE q.active_slots - coalesce(h.n, 0) + CASE WHEN weight = 2 THEN 1 ELSE 0 END <> 0
-    UNION ALL SELECT 'slot_accounting' FROM tenant_limits t LEFT JOIN (SELECT tenant_id, sum(n) AS n FROM held GROUP BY tenant_id) h ON h.tenant_id = t.tenant_id WHERE t.active_slots - coalesce(h.n, 0) + CASE WHEN length(t.tenant_id) = 8 THEN 1 ELSE 0 END <> 0
-    UNION ALL SELECT 'schema_migrations' FROM d_mig HAVING count(*) <> max(version) OR min(version) <> 1
-    UNION ALL SELECT 'schema_migrations' FROM d_mig WHERE NOT regexp_full_match(checksum, '[0-9a-f]{{64}}')
-    UNION ALL SELECT 'foreign_keys' FROM d_edge WHERE parent NOT IN (SELECT id FROM kept))"""
-query("REC13_clean_report", "SELECT unnest(['manifest','canonical_ledger','materialized_jobs','idempotency','attempts','event_log','dag','slot_accounting','schema_migrations','foreign_keys']) AS \"check\", CAST(0 AS BIGINT) AS violations, true AS passed")(lambda x: report_of(x, False))
-query("EV5_verdict", "SELECT '' AS reasons, CAST(0 AS BIGINT) AS violations, true AS passed")(lambda x: evidence.passes(report_of(x, False)))
-query("REC13_faulty_report", f"WITH {FAULTS_SQL} SELECT c.\"check\", count(f.\"check\") AS violations, count(f.\"check\") = 0 AS passed FROM (SELECT unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in checks.CHECKS)}]) AS \"check\") c LEFT JOIN f ON f.\"check\" = c.\"check\" GROUP BY c.\"check\"")(lambda x: report_of(x, True))
-query("EV5_faulty_verdict", f"WITH {FAULTS_SQL} SELECT string_agg(DISTINCT \"check\", ',' ORDER BY \"check\") AS reasons, count(*) AS violations, count(*) = 0 AS passed FROM f")(lambda x: evidence.passes(report_of(x, True)))
-
 # --- evidence
 
 SAMPLES_SQL = """SELECT m.job_id, j.created_at AS admitted, min(a.leased_at) AS first_lease, max(a.leased_at) AS final_lease, c.committed_at AS completed,
@@ -309,7 +137,8 @@ query("EV8_recovery_p99", f"SELECT quantile_disc(recovery_ms, 0.99) AS p99, quan
 
 # --- graph
 
-CLOSURE = "WITH RECURSIVE c AS (SELECT d.job_id AS id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id JOIN jobs j ON j.id = d.job_id WHERE p.state = 'DEAD_LETTER' AND j.state NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER') UNION SELECT d.job_id FROM c JOIN job_dependencies d ON d.depends_on_id = c.id JOIN jobs j ON j.id = d.job_id WHERE j.state NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER')) SELECT id FROM c"
+#: All that lies below a dead letter, whatever stands between; then the open ones of it.
+CLOSURE = "WITH RECURSIVE c AS (SELECT d.job_id AS id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.state = 'DEAD_LETTER' UNION SELECT d.job_id FROM c JOIN job_dependencies d ON d.depends_on_id = c.id) SELECT id FROM jobs WHERE id IN (SELECT id FROM c) AND state NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER')"
 query("GR1_failed_descendants", CLOSURE)(lambda x: transitions.fail_descendants(x.jobs.where("state = 'DEAD_LETTER'").select("id"), x.jobs, x.job_dependencies))
 
 
@@ -350,13 +179,13 @@ def observed(x: Ledger) -> DataFrame:
 
 
 _o = f"o AS ({OBSERVED.format('stream_events')})"
-_bounds = ", ".join(f"({b})" for b in slo.BOUNDS) + ", ('inf')"
-query("TS1_buckets", f"WITH {_o}, b(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {', '.join(f'({chr(39)}{b}{chr(39)})' for b in (*slo.BOUNDS, 'inf'))}) v(le)) SELECT stage, le, count(*) FILTER (WHERE ns / 1e9 <= le) AS n FROM o, b GROUP BY stage, le")(lambda x: slo.buckets(observed(x)))
+_bounds = ", ".join(f"({b})" for b in slo.JOB_LATENCY) + ", ('inf')"
+query("TS1_buckets", f"WITH {_o}, b(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {', '.join(f'({chr(39)}{b}{chr(39)})' for b in (*slo.JOB_LATENCY, 'inf'))}) v(le)) SELECT stage, le, count(*) FILTER (WHERE ns / 1e9 <= le) AS n FROM o, b GROUP BY stage, le")(lambda x: slo.buckets(observed(x)))
 _m = f"{_o}, m AS (SELECT stage, at_ns // {slo.MINUTE} AS minute, count(*) FILTER (WHERE ns <= 5000000000) AS good, count(*) AS n FROM o GROUP BY ALL)"
 _s = f"{_m}, s AS (SELECT stage, minute, CAST(sum(good) OVER w AS BIGINT) AS good, CAST(sum(n) OVER w AS BIGINT) AS n FROM m WINDOW w AS (PARTITION BY stage ORDER BY minute RANGE BETWEEN 29 PRECEDING AND CURRENT ROW))"
 query("TS4_sliding_ratio", f"WITH {_s} SELECT stage, minute, good, n, good / n AS ratio FROM s")(lambda x: slo.sliding_ratio(slo.minute_counts(observed(x), 5.0)))
-query("TS5_slo_alert", f"WITH {_s}, c AS (SELECT stage AS series, minute, coalesce(good / n < 0.99 AND n >= 2, false) AS c FROM s), g AS (SELECT *, max(CASE WHEN NOT c THEN minute END) OVER (PARTITION BY series ORDER BY minute) AS off FROM c) SELECT series, minute, c AND minute - min(CASE WHEN c THEN minute END) OVER (PARTITION BY series, off ORDER BY minute ROWS UNBOUNDED PRECEDING) >= 5 AS firing FROM g")(
-    lambda x: slo.alerts(slo.sliding_ratio(slo.minute_counts(observed(x), 5.0)).withColumnRenamed("stage", "series"), (F.col("ratio") < 0.99) & (F.col("n") >= 2), 5)
+query("TS5_slo_alert", f"WITH {_s}, c AS (SELECT stage AS series, minute, coalesce(good / n < 0.99 AND n >= 20, false) AS c FROM s), g AS (SELECT *, max(CASE WHEN NOT c THEN minute END) OVER (PARTITION BY series ORDER BY minute) AS off FROM c) SELECT series, minute, c AND minute - min(CASE WHEN c THEN minute END) OVER (PARTITION BY series, off ORDER BY minute ROWS UNBOUNDED PRECEDING) >= 5 AS firing FROM g")(
+    lambda x: slo.alerts(slo.sliding_ratio(slo.minute_counts(observed(x), 5.0)).withColumnRenamed("stage", "series"), (F.col("ratio") < slo.RATIO) & (F.col("n") >= slo.OBSERVATIONS), slo.RATIO_MINUTES)
 )
 query("TS7_rates", "SELECT series, at_ns, round(step * 60e9 / gap, 6) AS per_minute FROM (SELECT event_type AS series, at_ns, CASE WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS step, at_ns - lag(at_ns) OVER w AS gap FROM (SELECT event_type, occurred_at AS at_ns, event_seq % 97 AS v FROM stream_events QUALIFY row_number() OVER (PARTITION BY event_type, occurred_at ORDER BY event_seq) = 1) WINDOW w AS (PARTITION BY event_type ORDER BY at_ns)) WHERE gap > 0")(
     lambda x: slo.rates(x.stream_events.groupBy(F.col("event_type").alias("series"), F.col("occurred_at").alias("at_ns")).agg((F.min("event_seq") % 97).alias("value"))).select("series", "at_ns", F.round("per_minute", 6).alias("per_minute"))
@@ -402,11 +231,11 @@ query("DM6_heartbeat", f"SELECT job_id, attempt_no, state IN ('LEASED', 'RUNNING
 )
 
 
-query("TS8_quantiles", f"WITH {_o}, b(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {', '.join(f'({chr(39)}{b}{chr(39)})' for b in (*slo.BOUNDS, 'inf'))}) v(le)), c AS (SELECT stage, le, count(*) FILTER (WHERE ns / 1e9 <= le) AS n FROM o, b GROUP BY stage, le), w AS (SELECT *, max(n) OVER (PARTITION BY stage) AS total, coalesce(lag(le) OVER (PARTITION BY stage ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY stage ORDER BY le), 0) AS before FROM c) SELECT stage, round(CASE WHEN le = 'inf' THEN low ELSE low + (le - low) * (0.95 * total - before) / (n - before) END, 6) AS value FROM w WHERE n >= 0.95 * total AND before < 0.95 * total")(
+query("TS8_quantiles", f"WITH {_o}, b(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {', '.join(f'({chr(39)}{b}{chr(39)})' for b in (*slo.JOB_LATENCY, 'inf'))}) v(le)), c AS (SELECT stage, le, count(*) FILTER (WHERE ns / 1e9 <= le) AS n FROM o, b GROUP BY stage, le), w AS (SELECT *, max(n) OVER (PARTITION BY stage) AS total, coalesce(lag(le) OVER (PARTITION BY stage ORDER BY le), 0) AS low, coalesce(lag(n) OVER (PARTITION BY stage ORDER BY le), 0) AS before FROM c) SELECT stage, round(CASE WHEN le = 'inf' THEN low ELSE low + (le - low) * (0.95 * total - before) / (n - before) END, 6) AS value FROM w WHERE n >= 0.95 * total AND before < 0.95 * total")(
     lambda x: slo.histogram_quantile(slo.buckets(observed(x)), 0.95).select("stage", F.round("value", 6).alias("value"))
 )
-query("TS6_depth_alert", "WITH d AS (SELECT event_type AS series, occurred_at // 60000000000 AS minute, count(*) AS n FROM stream_events GROUP BY ALL), g AS (SELECT *, max(CASE WHEN n < 2 THEN minute END) OVER (PARTITION BY series ORDER BY minute) AS off FROM d) SELECT series, minute, n >= 2 AND minute - min(CASE WHEN n >= 2 THEN minute END) OVER (PARTITION BY series, off ORDER BY minute ROWS UNBOUNDED PRECEDING) >= 10 AS firing FROM g")(
-    lambda x: slo.alerts(x.stream_events.groupBy(F.col("event_type").alias("series"), fn.whole(F.col("occurred_at"), slo.MINUTE).alias("minute")).agg(F.count("*").alias("n")), F.col("n") >= 2, 10)
+query("TS6_depth_alert", "WITH d AS (SELECT event_type AS series, occurred_at // 60000000000 AS minute, count(*) AS n FROM stream_events GROUP BY ALL), g AS (SELECT *, max(CASE WHEN n < 10 THEN minute END) OVER (PARTITION BY series ORDER BY minute) AS off FROM d) SELECT series, minute, n >= 10 AND minute - min(CASE WHEN n >= 10 THEN minute END) OVER (PARTITION BY series, off ORDER BY minute ROWS UNBOUNDED PRECEDING) >= 10 AS firing FROM g")(
+    lambda x: slo.alerts(x.stream_events.groupBy(F.col("event_type").alias("series"), fn.whole(F.col("occurred_at"), slo.MINUTE).alias("minute")).agg(F.count("*").alias("n")), F.col("n") >= slo.DEPTH, slo.DEPTH_MINUTES)
 )
 query("JN18_affected", f"SELECT job_id, attempt_no, CASE WHEN completed_at IS NULL THEN true WHEN completed_at < {NOW} - 20000000000000 THEN false WHEN completed_at > {NOW} - 10000000000000 THEN state <> 'SUCCEEDED' END AS affected FROM attempts")(
     lambda x: evidence.affected(x.attempts, now_of(x) - 20_000_000_000_000, now_of(x) - 10_000_000_000_000).select("job_id", "attempt_no", "affected")
@@ -432,18 +261,18 @@ query("STR2_first_response", "SELECT tenant_id, queue_name AS submission_key, ar
 )
 
 
-@query("STR3_due_triggers")
-def due_triggers(x: Ledger) -> DataFrame:
-    """Triggers of every queue, half of them due."""
-    t = x.queue_state.select(F.concat_ws("/", "tenant_id", "queue_name").alias("id"), F.when(F.col("weight") > 1, "@hourly").otherwise("*/5 * * * *").alias("schedule"), (F.lit(now_of(x)) + (F.col("weight") - 2) * 3_600_000_000_000).alias("next_fire_at"))
-    return cron.due(t, now_of(x), 1000)
+def _all() -> None:
+    """The other modules of queries, which build on this one."""
+    from tidewheel import queries_checks, queries_more  # noqa: F401
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return {name: (lambda spark, sf_dir, f=f: f(Ledger.of(spark, sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
+    _all()
     ctes = duckdb_ctes()
     out = {}
     for name, sql in SQL.items():

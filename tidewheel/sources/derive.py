@@ -28,7 +28,10 @@ TABLES: dict[str, str] = {
         created_at + no * 10000000000 + (k % 977) * 1000000 AS leased_at FROM att1""",
     "attempts": """SELECT id AS job_id, no AS attempt_no, concat('worker-', CAST(l_suppkey AS STRING)) AS worker_id, no AS lease_generation, {sha_token} AS token_hash, state, leased_at,
         leased_at + 1000000000 AS heartbeat_at, leased_at + 4500000000 AS expires_at, CASE WHEN state <> 'LEASED' THEN leased_at + 500000000 END AS started_at,
-        CASE WHEN state NOT IN ('LEASED', 'RUNNING') THEN leased_at + 2000000000 + (l_partkey % 1000) * 1000000 END AS completed_at, n, max_attempts, k FROM att2""",
+        CASE WHEN state NOT IN ('LEASED', 'RUNNING') THEN leased_at + 2000000000 + (l_partkey % 1000) * 1000000 END AS completed_at, n, max_attempts, k,
+        CASE WHEN state IN ('SUCCEEDED', 'FAILED') THEN {sha_receipt} END AS completion_request_digest, CASE WHEN state = 'SUCCEEDED' THEN 'SUCCEEDED' WHEN state = 'FAILED' AND no = max_attempts THEN 'DEAD_LETTER' WHEN state = 'FAILED' THEN 'RETRYING' END AS receipt_state,
+        CASE WHEN state IN ('SUCCEEDED', 'FAILED') THEN no END AS receipt_state_version, CASE WHEN state IN ('SUCCEEDED', 'FAILED') THEN leased_at + 2000000000 + (l_partkey % 1000) * 1000000 END AS receipt_committed_at,
+        CASE WHEN state = 'FAILED' THEN '{{"class":"retryable"}}' END AS failure_json FROM att2""",
     "ev0": """SELECT id AS job_id, 0 AS ord, CAST(0 AS BIGINT) AS no, 'job_admitted' AS event_type, 'PENDING' AS state, created_at AS occurred_at, CAST(0 AS BIGINT) AS attempt_no FROM job0
         UNION ALL SELECT job_id, 1, attempt_no, 'lease_acquired', 'SCHEDULED', leased_at, attempt_no FROM attempts
         UNION ALL SELECT job_id, 2, attempt_no, 'attempt_started', 'RUNNING', started_at, attempt_no FROM attempts WHERE started_at IS NOT NULL
@@ -47,9 +50,10 @@ TABLES: dict[str, str] = {
           WHEN j.k % 2 = 0 THEN 'SCHEDULED' ELSE 'RUNNING' END AS state,
         coalesce(a.n, 0) AS attempt_no, e.versions AS state_version, coalesce(a.n, 0) AS lease_generation, e.updated_at AS available_at,
         CASE WHEN a.n IS NULL THEN j.k + 1 ELSE 0 END AS ready_seq, a.n IS NULL AND j.k % 5 = 0 AS recovery_pending, {sha_exec} AS execution_key, j.created_at, e.updated_at,
-        CASE WHEN j.status = 'F' OR j.status = 'P' AND a.n = j.max_attempts THEN a.last END AS terminal_at, j.max_attempts, j.cust, j.k
+        CASE WHEN j.status = 'F' OR j.status = 'P' AND a.n = j.max_attempts THEN a.last END AS terminal_at, j.max_attempts, j.cust, j.k,
+        CASE WHEN j.status = 'P' THEN '{{"class":"retryable"}}' END AS failure_json
         FROM job0 j JOIN evagg e ON e.job_id = j.id LEFT JOIN attagg a ON a.k = j.k""",
-    "job_completions": """SELECT id AS job_id, state, state_version, attempt_no, {sha_out} AS output_digest, terminal_at AS committed_at, k FROM jobs WHERE terminal_at IS NOT NULL""",
+    "job_completions": """SELECT id AS job_id, state, state_version, attempt_no, {sha_out} AS output_digest, terminal_at AS committed_at, k, failure_json FROM jobs WHERE terminal_at IS NOT NULL""",
     "dead_letters": """SELECT id AS job_id, terminal_at AS created_at, 'attempts exhausted' AS reason, CASE WHEN k % 3 = 0 THEN md5(concat('redrive:', id)) END AS redriven_job_id FROM jobs WHERE state = 'DEAD_LETTER'""",
     "job_dependencies": """SELECT id AS job_id, previous AS depends_on_id FROM (SELECT id, lag(id) OVER (PARTITION BY cust ORDER BY created_at, id) AS previous FROM job0) x WHERE previous IS NOT NULL""",
     "queue_state": """SELECT tenant_id, queue_name, 1 + length(queue_name) % 3 AS weight, CAST(0 AS BIGINT) AS deficit,
@@ -58,7 +62,7 @@ TABLES: dict[str, str] = {
     "tenant_limits": """SELECT tenant_id, CASE WHEN length(tenant_id) % 2 = 0 THEN 0 ELSE 500 END AS max_depth, CASE WHEN length(tenant_id) % 2 = 0 THEN 0 ELSE CAST(sum(active_slots) AS BIGINT) + 3 END AS max_slots,
         CAST(sum(active_slots) AS BIGINT) AS active_slots FROM queue_state GROUP BY tenant_id""",
     "workers": """SELECT concat('worker-', CAST(s_suppkey AS STRING)) AS worker_id, 8 + s_suppkey % 9 AS capacity_slots, (SELECT max(occurred_at) FROM ev0) - s_suppkey * 4000000000 AS last_heartbeat_at FROM {supplier}""",
-    "idempotency_requests": """SELECT tenant_id, concat('submit-', CAST(k AS STRING)) AS submission_key, 'job' AS request_kind, {sha_req} AS request_digest, id AS job_id, created_at FROM job0""",
+    "idempotency_requests": """SELECT tenant_id, concat('submit-', CAST(k AS STRING)) AS submission_key, 'job' AS request_kind, {sha_req} AS request_digest, id AS job_id, created_at, concat('{{"id":"', id, '"}}') AS response_json, k FROM job0""",
     "manifest": """SELECT {sequence} AS sequence, concat('submit-', CAST(k AS STRING)) AS submission_key, id AS job_id, tenant_id, created_at AS accepted_at, false AS duplicate, k FROM jobs WHERE state = 'SUCCEEDED'""",
     "dag_jobs": """SELECT concat('dag-', CAST(cust AS STRING)) AS dag_id, id AS job_id, concat('node-', CAST(k AS STRING)) AS node_key FROM job0""",
     "audit_events": """SELECT md5(concat('audit:', job_id)) AS id, concat('actor-', CAST(length(reason) % 3 + CASE WHEN redriven_job_id IS NULL THEN 0 ELSE 1 END AS STRING)) AS actor,
@@ -66,7 +70,7 @@ TABLES: dict[str, str] = {
     "stream_events": """SELECT event_id AS event_seq, CAST(user_id AS STRING) AS job_id, CASE event_type WHEN 'signup' THEN 'job_admitted' WHEN 'view' THEN 'job_promoted' WHEN 'click' THEN 'lease_acquired'
         WHEN 'purchase' THEN 'job_completed' ELSE 'lease_reaped' END AS event_type, {us_ts} * 1000 AS occurred_at, value FROM {raw}""",
     "counters": "SELECT 'ready_seq' AS name, max(k) + 1 AS value FROM job0",
-    "schema_migrations": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS version, {sha_migration} AS checksum FROM {region}",
+    "schema_migrations": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS version, {sha_migration} AS checksum, lower(r_name) AS name, CAST(1000000000 + r_regionkey AS BIGINT) AS applied_at FROM {region}",
 }
 #: Tables with a dense number over all rows, and its order: DuckDB numbers them by a window, Spark range by range.
 NUMBERED = {"ledger_events": ("event_seq", ["occurred_at", "job_id", "ord", "no"]), "manifest": ("sequence", ["accepted_at", "job_id"])}
@@ -82,7 +86,7 @@ FUNCTIONS = {
 def _render(engine: str, names: dict[str, str]) -> dict[str, str]:
     f = FUNCTIONS[engine]
     fills = names | {"us_orderdate": f["us"].format("o_orderdate"), "us_ts": f["us"].format("ts")}
-    fills |= {f"sha_{k}": f["sha"].format(v) for k, v in {"token": "concat(id, ':', CAST(no AS STRING))", "exec": "concat('exec:', j.id)", "out": "concat('out:', id)", "req": "concat('req:', id)", "migration": "concat('migration:', CAST(r_regionkey AS STRING))"}.items()}
+    fills |= {f"sha_{k}": f["sha"].format(v) for k, v in {"token": "concat(id, ':', CAST(no AS STRING))", "receipt": "concat('receipt:', id, ':', CAST(no AS STRING))", "exec": "concat('exec:', j.id)", "out": "concat('out:', id)", "req": "concat('req:', id)", "migration": "concat('migration:', CAST(r_regionkey AS STRING))"}.items()}
     for name, (column, order) in NUMBERED.items():
         order = ["created_at", "id"] if name == "manifest" else order
         fills[column] = "CAST(0 AS BIGINT)" if engine == "spark" else f"CAST(row_number() OVER (ORDER BY {', '.join(order)}) AS BIGINT)"
@@ -98,15 +102,26 @@ def duckdb_ctes() -> str:
 class Ledger:
     """The derived tables as DataFrames, each materialised when first asked for."""
 
-    _known: dict[tuple[str, str], Ledger] = {}
+    _known: dict[tuple[str, str, str], Ledger] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._made: dict[str, object] = {}
+
+    def kept(self, name: str, make):
+        """What `make` gives, made once for this ledger."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Ledger:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """The ledger of a folder; made anew where a file of the folder has changed."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        state = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+        key = (spark.sparkContext.applicationId, sf_dir, str(state))
         return cls._known.setdefault(key, cls(spark, sf_dir))
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 #: Descriptors and their five fields, and names of months and days.
 DESCRIPTORS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
 NAMES = {n: i for names, start in (("jan feb mar apr may jun jul aug sep oct nov dec", 1), ("sun mon tue wed thu fri sat", 0)) for i, n in enumerate(names.split(), start)}
+UNITS = {"ns": 1e-9, "us": 1e-6, "\u00b5s": 1e-6, "\u03bcs": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600}
 RANGES = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))
 
 
@@ -32,6 +34,14 @@ def field(text: str, low: int, high: int) -> set[int]:
     return out
 
 
+def duration(text: str) -> int:
+    """Whole seconds, one at least, of a duration such as 1h30m or 1.5h."""
+    parts = re.findall(r"([0-9]*\.?[0-9]+|[0-9]+\.)(ns|us|\u00b5s|\u03bcs|ms|s|m|h)", text)
+    if not parts or "".join(a + b for a, b in parts) != text.removeprefix("+"):
+        raise ValueError(f"invalid duration {text!r}")
+    return max(1, int(sum(float(n) * UNITS[u] for n, u in parts)))
+
+
 def next_time(expression: str, after: datetime) -> datetime:
     """First time of the schedule strictly after an aware time, in UTC; CRON_TZ= names the zone that fields mean."""
     zone = ZoneInfo("UTC")
@@ -39,8 +49,7 @@ def next_time(expression: str, after: datetime) -> datetime:
         head, _, expression = expression.partition(" ")
         zone = ZoneInfo(head.partition("=")[2])
     if expression.startswith("@every "):
-        n, unit = int(expression[7:-1]), expression[-1]
-        return (after + timedelta(seconds=n * {"s": 1, "m": 60, "h": 3600}[unit])).astimezone(timezone.utc)
+        return (after.replace(microsecond=0) + timedelta(seconds=duration(expression[7:].strip()))).astimezone(timezone.utc)
     fields = DESCRIPTORS.get(expression, expression).split()
     if len(fields) != 5:
         raise ValueError("a schedule has five fields")

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FOLD = "job_id string, state string, state_version long, last_seq long"
 
@@ -23,7 +21,7 @@ def tail(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def ingest(deliveries: DataFrame, path: str, checkpoint: str):
-    """STR1, STR10, SRC9: deliveries (trigger, stream, message_id, digest) into `path`, each key once, whatever is delivered again.
+    """STR1, STR10, SRC9: deliveries (trigger, stream, message_id, digest, and offset, their order) into `path`, each key once, as first delivered, whatever is delivered again.
 
     A batch writes its own folder, so a batch that is run again replaces what it wrote.
     Another digest under a known key goes to `path`/conflicts.
@@ -32,7 +30,8 @@ def ingest(deliveries: DataFrame, path: str, checkpoint: str):
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        first = batch.groupBy(*keys).agg(F.min("digest").alias("digest"), F.count_distinct("digest").alias("digests"))
+        earliest = F.min_by("digest", "offset") if "offset" in batch.columns else F.min("digest")
+        first = batch.groupBy(*keys).agg(earliest.alias("digest"), F.count_distinct("digest").alias("digests"))
         schema = batch.select(*keys, "digest").schema
         try:
             old = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/accepted").where(F.input_file_name().rlike(f"batch={number}/") == F.lit(False))
@@ -57,30 +56,21 @@ def sliding(observations: DataFrame, limit_s: float = 5.0, minutes: int = 30, la
 
 
 def leases(events: DataFrame, ttl_ms: int = 2500) -> DataFrame:
-    """STR6: one row per lease that ran out: (job_id, expired_ms). `events` has job_id, kind (lease, heartbeat, complete), at (a timestamp with a watermark).
+    """STR6: one row per lease that ran out: (job_id, expired_ms). `events` has job_id, kind (lease, heartbeat, complete), at (a timestamp, with a watermark in a stream).
 
-    Heartbeats only ever extend a lease; event-time timers fire when the watermark passes.
+    A lease is a session: each event extends it to its own time and the lease's, and it is
+    over when the watermark passes its end. Sessions whose last event completed the job
+    didn't run out.
     """
+    session = F.session_window("at", f"{ttl_ms} milliseconds")
+    own = events.groupBy("job_id", session).agg(F.max_by("kind", "at").alias("last"))
+    return own.where(F.col("last") != "complete").select("job_id", F.unix_millis("session_window.end").alias("expired_ms"))
 
-    def step(key: tuple, parts, state: GroupState):
-        if state.hasTimedOut:
-            (until,) = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "expired_ms": [until]})
-            return
-        until = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values("at")
-        for kind, at in zip(rows["kind"], rows["at"], strict=True):
-            ms = int(at.timestamp() * 1000)
-            until = 0 if kind == "complete" else max(until, ms + ttl_ms)
-        if not until:
-            if state.exists:
-                state.remove()
-            return
-        state.update((until,))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, expired_ms long", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def backlog(query) -> dict[str, int]:
+    """SRC11: rows that a finished or running stream has read, and batches, from its own progress."""
+    progress = query.recentProgress
+    return {"consumed": sum(p["numInputRows"] for p in progress), "batches": len([p for p in progress if p["numInputRows"]])}
 
 
 def first_response(requests: DataFrame) -> DataFrame:
