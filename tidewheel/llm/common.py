@@ -45,6 +45,15 @@ def stored(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, what: str, *keys: str) -> DataFrame:
+    """As `stored`, in buckets by `keys`, so that later joins on them don't shuffle it again. The table's name stays in the session's catalog."""
+    spark = df.sparkSession
+    name = f"tidewheel_{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -55,6 +64,16 @@ def with_fields(schema: T.StructType, *added: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in schema.fields if f.name.lower() not in names), *added])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of at most BATCH_ROWS texts of about `most` characters in all; a longer text stands alone, whole."""
     start = size = 0

@@ -29,7 +29,7 @@ U = np.uint64
 
 
 def shard_bits(columns: float) -> int:
-    return max(6, min(30, (int(columns) // SHARD).bit_length()))
+    return max(8, min(30, (int(columns) // SHARD).bit_length()))
 
 
 def token_bits(columns: float) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import mix
-from tidewheel.llm.common import UPPER, groups, prepare, stored, tidy
+from tidewheel.llm.common import UPPER, fresh, groups, prepare, stored, tidy
 
 #: Keys a shard should see, least number of shards, keys that a task's filters take at a time.
 SHARD, LEAST_SHARDS, TOGETHER = 1 << 17, 1 << 10, 1 << 19
@@ -156,25 +156,25 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return held.join(repeated, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "k1", "k2")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chars: int = 20, least: int = 3) -> DataFrame:
-    """Rewrite `text` without repeated lines and add n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chars: int = 20, least: int = 3, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """Rewrite `text` without repeated lines and add the numbers of lines before and of dropped ones, named as in `added`.
 
-    All rows and columns stay (columns named n_lines or n_dropped are replaced). A null or
+    All rows and columns stay (columns named as an added one are replaced). A null or
     empty text is one empty line and becomes an empty text. Lines with short keys stay. A long
     text is one row like any other, and is split into lines whole. Of equal doc_ids all rows
     keep the lines or none.
     """
-    clash = {"n_lines", "n_dropped", "__drop"}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in clash))
-    lost = repeated_lines(docs, text, doc_id, chars, least).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
-    both = docs.join(lost, docs[doc_id].eqNullSafe(lost["__id"]), "left").drop("__id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {x.lower() for x in added}))
+    own, drop_ = fresh(docs, "__own", "__drop")
+    lost = repeated_lines(docs, text, doc_id, chars, least).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("k1", "k2")).alias(drop_))
+    both = docs.join(lost, docs[doc_id].eqNullSafe(lost[own]), "left").drop(own)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
     names = schema.names
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for x, drop in zip(batch.column(text).to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+            for x, drop in zip(batch.column(text).to_pylist(), batch.column(drop_).to_pylist(), strict=True):
                 lines = (x or "").encode().split(b"\n")
                 n_lines.append(len(lines))
                 if drop:
@@ -182,7 +182,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cha
                     lines = [y for y in lines if not (long_enough(k := key_of(y), chars) and xxhash.xxh3_128_digest(k) in gone)]
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append(b"\n".join(lines).decode() if drop else x or "")
-            columns = {text: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            columns = {text: pa.array(texts, pa.string()), added[0]: pa.array(n_lines, pa.int64()), added[1]: pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays([columns.get(c) if c in columns else batch.column(c) for c in names], names)
 
     return both.mapInArrow(tidy(rewrite), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import _upto, mix
-from tidewheel.llm.common import groups, prepare, stored, tidy
+from tidewheel.llm.common import dealt, fresh, groups, prepare, stored, tidy
 from tidewheel.llm.incidence import often, shared_columns, token_bits, tokens_of
 
 LENGTH, GRAM = 200, 64
@@ -219,24 +219,27 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(rest)
 
 
-def repeat_spans(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """(u1, u2, begin, end): stretches of bytes under windows that repeat; they may overlap. `docs` has u1, u2 and text."""
+def suspected(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(u1, u2, tokens, often) of the texts with anchors that two places hold, and the bits of these; `docs` has u1, u2 and text."""
     expected = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 64
-    bits, hot = token_bits(expected), often(together)
 
     def columns(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         _, _, doc, *_, h = anchors(texts)
         return doc, h
 
     known = shared_columns(docs.select(F.struct("u1", "u2").alias("id"), "text"), columns, [], expected).where(F.col("tokens").isNotNull())
-    known = stored(known.select("id.u1", "id.u2", "tokens", "often").dropDuplicates(["u1", "u2"]), "suspected")
-    both = docs.join(known, ["u1", "u2"]).select("u1", "u2", "text", "tokens", "often")
-    near = _suspected(both, bits, lambda n: n <= hot, _transform, CONTEXT)
+    return known.select("id.u1", "id.u2", "tokens", "often").dropDuplicates(["u1", "u2"]), token_bits(expected)
+
+
+def repeat_spans(docs: DataFrame, bits: int, together: int = TOGETHER) -> DataFrame:
+    """(u1, u2, begin, end): stretches of bytes under windows that repeat; they may overlap. `docs` has u1, u2, text, tokens and often (null where nothing is suspected)."""
+    hot = often(together)
+    some = docs.where(F.col("tokens").isNotNull())
+    near = _suspected(some, bits, lambda n: n <= hot, _transform, CONTEXT)
     spans = near.repartition("key").sortWithinPartitions("key", "shard", "rank").mapInArrow(tidy(_together), SPAN_SCHEMA)
-    frequent = known.where(F.exists("often", lambda n: n > hot))
+    frequent = some.where(F.exists("often", lambda n: n > hot))
     if frequent.limit(1).count():
-        both = docs.join(frequent, ["u1", "u2"]).select("u1", "u2", "text", "tokens", "often")
-        windows = stored(_suspected(both, bits, lambda n: n > hot, _window_hashes, f"{UID}, begin long, hash binary"), "windows")
+        windows = stored(_suspected(frequent, bits, lambda n: n > hot, _window_hashes, f"{UID}, begin long, hash binary"), "windows")
         twice = stored(windows.groupBy("hash").count().where(F.col("count") > 1).select("hash"), "twice")
         spans = spans.unionByName(windows.join(twice, "hash", "left_semi").select("u1", "u2", "begin", (F.col("begin") + LENGTH).alias("end")))
     return spans
@@ -258,20 +261,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", together: int = TOGETHER
     """
     prepare(docs.sparkSession)
     added = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))]
-    clash = {f.name for f in added} | {"__u1", "__u2", "__cut"}
+    clash = {f.name for f in added}
     docs = docs.drop(*(c for c in docs.columns if c.lower() in clash and c != text))
+    u1, u2, tokens, told, cut_ = fresh(docs, "__u1", "__u2", "__tokens", "__often", "__cut")
     own = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]
-    docs = docs.withColumns({"__u1": F.xxhash64(*own), "__u2": F.xxhash64(F.lit("second"), *own)})
-    spans = repeat_spans(docs.select(F.col("__u1").alias("u1"), F.col("__u2").alias("u2"), F.col(text).alias("text")), together)
-    cuts = spans.groupBy(F.col("u1").alias("__u1"), F.col("u2").alias("__u2")).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("__cut"))
-    both = docs.join(cuts, ["__u1", "__u2"], "left").drop("__u1", "__u2")
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in (text, "__u1", "__u2")), *added])
+    rows = docs.withColumns({u1: F.xxhash64(*own), u2: F.xxhash64(F.lit("second"), *own)})
+    known, bits = suspected(rows.select(F.col(u1).alias("u1"), F.col(u2).alias("u2"), F.col(text).alias("text")))
+    # texts are dealt out once, beside what is suspected of them; both later steps read them as they lie
+    lying = dealt(rows.join(known.select(F.col("u1").alias(u1), F.col("u2").alias(u2), F.col("tokens").alias(tokens), F.col("often").alias(told)), [u1, u2], "left"), "texts", u1, u2)
+    spans = repeat_spans(lying.select(F.col(u1).alias("u1"), F.col(u2).alias("u2"), F.col(text).alias("text"), F.col(tokens).alias("tokens"), F.col(told).alias("often")), bits, together)
+    cuts = spans.groupBy(F.col("u1").alias(u1), F.col("u2").alias(u2)).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias(cut_))
+    both = lying.drop(tokens, told).join(cuts, [u1, u2], "left").drop(u1, u2)
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != text), *added])
     kept = schema.names[: -len(added)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for x, cuts_ in zip(batch.column(text).to_pylist(), batch.column("__cut").to_pylist(), strict=True):
+            for x, cuts_ in zip(batch.column(text).to_pylist(), batch.column(cut_).to_pylist(), strict=True):
                 raw = (x or "").encode()
                 merged: list[list[int]] = []
                 for c in cuts_ or ():
@@ -294,3 +301,28 @@ def op2(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = remove_repeats(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows are cut out of hexadecimal text in two steps, as cutting from a long string reads all of it.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), k AS (
+  SELECT r, c, substr(h, c * 512 + 1, 910) AS s FROM (SELECT r, h, unnest(range(0, (length(h) // 2 - 200) // 256 + 1)) AS c FROM d WHERE length(h) >= 400)
+), w AS (
+  SELECT r, c * 256 + i AS b, md5(substr(s, 2 * i + 1, 400)) AS m FROM (SELECT r, c, s, unnest(range(0, least(256, length(s) // 2 - 199))) AS i FROM k)
+), g AS (
+  SELECT r, b FROM (SELECT r, b, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1
+), f AS (
+  SELECT r, b, CASE WHEN b > lag(b) OVER (PARTITION BY r ORDER BY b) + 200 THEN 1 ELSE 0 END AS f FROM g
+), s AS (
+  SELECT r, min(b) AS a, max(b) + 200 AS z FROM (SELECT r, b, sum(f) OVER (PARTITION BY r ORDER BY b) AS i FROM f) GROUP BY r, i
+), p AS (
+  SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS y FROM s
+), t AS (
+  SELECT d.r, sum(z - a) AS n, count(*) AS spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM p JOIN d ON d.r = p.r GROUP BY d.r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON t.r = d.r
+"""
