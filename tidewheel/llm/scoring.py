@@ -3,8 +3,8 @@
 A byte is eight binary decisions; each decision, in each context of 0 to DEPTH bytes, has
 a Krichevsky-Trofimov estimate from the training counts, and the weights of a context tree
 mix the depths. Byte grams (context and byte) are counted by Spark; shards of grams that
-share their two nearest context bytes hold whole subtrees, and the top of the tree is a
-table of fixed size.
+share their two nearest context bytes, or more where these are frequent, hold whole subtrees,
+and the top of the tree is a table of bounded size.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ DEPTH = 5
 HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 21
 #: Counts are weighed in 2**-BINS parts of an octave when the most frequent are chosen.
 BINS = 6
+#: Grams beyond which a context is split by one more byte, at least, and the most contexts of a depth that are; grams that a task handles at a time.
+LEAST_SHARD, SPLIT, TOGETHER = 1 << 13, 1 << 13, 1 << 18
 U = np.uint64
 
 
@@ -131,41 +133,85 @@ def log10_grams(gram: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
     return total
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    own = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not own:
-        return np.zeros(0, U), np.zeros(0)
-    gram, n = np.concatenate([x for x, _ in own]).astype(U), np.concatenate([x for _, x in own])
-    by = np.argsort(gram)
-    return gram[by], n[by]
+def dealt(grams: DataFrame) -> DataFrame:
+    """`grams` with the `shard` that holds a whole subtree: depth << 48 | context, of the two nearest bytes, or of more where so many grams share them.
+
+    A context of more than `most` grams is split by its next byte; at most 1 / SPLIT of all
+    contexts of a depth can be, which bounds what is sent to all tasks.
+    """
+    most = max(LEAST_SHARD, grams.count() // SPLIT)
+    out, shard = grams, None
+    for depth in range(2, DEPTH):
+        context = F.shiftright("gram", 8 * (DEPTH + 1 - depth))
+        hot = out.where(F.col(f"hot{depth - 1}")) if depth > 2 else out
+        hot = stored(hot.groupBy(context.alias(f"c{depth}")).count().where(F.col("count") > most).select(f"c{depth}", F.lit(True).alias(f"hot{depth}")), "hot")
+        out = out.join(F.broadcast(hot), context == F.col(f"c{depth}"), "left")  # at most SPLIT rows
+    for depth in range(DEPTH, 1, -1):
+        own = F.shiftright("gram", 8 * (DEPTH + 1 - depth)) + F.lit(depth << 48)
+        shard = own if shard is None else F.when(F.col(f"hot{depth}"), shard).otherwise(own)
+    return out.select("gram", "n", shard.alias("shard"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Depth, grams and counts of some whole shards of one depth at a time; rows come by shard."""
+
+    def out(parts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        shard, gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for depth in np.unique(shard >> 48).tolist():
+            own = shard >> 48 == depth
+            by = np.argsort(gram[own])
+            yield depth, gram[own][by].astype(U), n[own][by]
+
+    parts, size = [], 0
+    for b in batches:
+        part = [b.column(c).to_numpy() for c in ("shard", "gram", "n")]
+        if size > TOGETHER and b.num_rows:
+            end = int(np.searchsorted(part[0], parts[-1][0][-1], "right"))
+            if end < b.num_rows:
+                yield from out([*parts, [x[:end] for x in part]])
+                parts, size, part = [], 0, [x[end:] for x in part]
+        if len(part[0]):
+            parts.append(part)
+            size += len(part[0])
+    if parts:
+        yield from out(parts)
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    key, inverse = np.unique(key, return_inverse=True)
+    return key, *(np.bincount(inverse, v, len(key)) for v in values)
 
 
 def tree_scores(grams: DataFrame) -> DataFrame:
     """(gram, log10p) from (gram, n), n the training count, 0 where a gram stands in other texts alone."""
-    shard = F.shiftright("gram", 8 * (DEPTH - 1))  # the two nearest context bytes
+    grams = stored(dealt(grams), "dealt")
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = _table(batches)
-        level = levels(gram, n, 2)[2] if len(gram) else Level(*(np.zeros(0, U), *(np.zeros(0),) * 4))
-        up = parent(level.key, 2)
-        key, inverse = np.unique(up, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(np.bincount(inverse, v, len(key))) for v in (level.zeros, level.ones, level.weighted))], ["key", "a", "b", "w"])
-
-    rows = grams.repartition(shard).mapInArrow(tidy(below), "key long, a double, b double, w double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).collect()  # at most 2**16
-    rows.sort(key=lambda r: r.key)
-    key = np.array([r.key for r in rows], U)
-    a, b, w = (np.array([r[c] for r in rows], float) for c in "abw")
-    one = Level(key, a, b, log_kt(a, b), np.logaddexp(log_kt(a, b), w) - np.log(2))
-    root, inverse = np.unique(parent(key, 1), return_inverse=True)
-    a0, b0, w0 = (np.bincount(inverse, v, len(root)) for v in (a, b, one.weighted))
-    top = grams.sparkSession.sparkContext.broadcast({1: one, 0: Level(root, a0, b0, log_kt(a0, b0), np.logaddexp(log_kt(a0, b0), w0) - np.log(2))})
+        for depth, gram, n in _shards(batches):
+            level = levels(gram, n, depth)[depth]
+            key, *sums = _summed(parent(level.key, depth), level.zeros, level.ones, level.weighted)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), depth - 1)), pa.array(key.astype(np.int64)), *map(pa.array, sums)], ["depth", "key", "a", "b", "w"])
+
+    spread = grams.repartition("shard").sortWithinPartitions("shard")
+    rows = spread.mapInArrow(tidy(below), "depth long, key long, a double, b double, w double").groupBy("depth", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()  # 255 nodes of 2**8 contexts, and of those that were split
+    found = [rows.column(c).to_numpy() for c in ("depth", "key", "a", "b", "w")]
+    top: dict[int, Level] = {}
+    up = (np.zeros(0, U), *(np.zeros(0),) * 3)
+    for depth in range(DEPTH - 1, -1, -1):
+        own = found[0] == depth
+        key, a, b, w = _summed(np.concatenate([found[1][own].astype(U), up[0]]), *(np.concatenate([f[own], u]) for f, u in zip(found[2:], up[1:], strict=True)))
+        kt = log_kt(a, b)
+        top[depth] = Level(key, a, b, kt, np.logaddexp(kt, w) - np.log(2))
+        up = (parent(key, depth), a, b, top[depth].weighted) if depth else up
+    sent = grams.sparkSession.sparkContext.broadcast(top)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = _table(batches)
-        p = log10_grams(gram, levels(gram, n, 2) | top.value) if len(gram) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(p)], ["gram", "n", "log10p"])
+        for depth, gram, n in _shards(batches):
+            upper = {d: level for d, level in sent.value.items() if d < depth}
+            p = log10_grams(gram, levels(gram, n, depth) | upper)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(p)], ["gram", "n", "log10p"])
 
-    return grams.repartition(shard).mapInArrow(tidy(score), "gram long, n long, log10p double")
+    return spread.mapInArrow(tidy(score), "gram long, n long, log10p double")
 
 
 def _counted(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +332,8 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, head_words:
     The model learns from all whole texts that aren't held out (by default crc32 of doc_id
     modulo 10 is 0; a null doc_id isn't held out). Null and empty texts have one token, the
     end, and score 0. Without training texts every bit has probability 1/2. Repeated rows
-    each count. The base score tells words apart by 64-bit hashes.
+    each count. Texts of any length are scored whole. The base score tells words apart by
+    64-bit hashes.
     """
     spark = prepare(docs.sparkSession)
     test = F.coalesce(remainder(F.col("doc_id"), 10) == 0 if held_out is None else held_out, F.lit(False))
