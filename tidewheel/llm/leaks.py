@@ -8,8 +8,7 @@ of the item's words that tiles cover decides, so passages in another order count
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +23,47 @@ from tidewheel.llm.common import groups, prepare, stored, tidy
 MATCH, COVERAGE = 5, 0.6
 #: Characters of all items together up to which they are sent to every task; beyond it seeds are joined.
 BROADCAST_CHARS = 32 << 20
-FILTER_BITS = 1 << 26
+#: Bits of the filter of item windows, and those that one task sets.
+FILTER_BITS, STRETCH = 1 << 26, 1 << 17
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], match: int = MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two sequences of word hashes: (item start, document start, words), longest first.
+def maximal(hits: Iterable[tuple[int, np.ndarray]], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of equal windows: words, document start, item start. `hits` has document starts, ascending, each with its ascending item starts.
+
+    One document start is looked at at a time, so memory grows with the item and the runs, not with the pairs of equal windows.
+    """
+    none = np.zeros(0, np.int64)
+    out, last, before, begun = [], -2, none, none
+
+    def close(which: np.ndarray) -> None:
+        more = before[which] - begun[which]
+        out.append((more + match, last - more, begun[which]))
+
+    for j, now in hits:
+        start = now.copy()
+        if j == last + 1 and len(before):
+            k = np.minimum(np.searchsorted(before, now - 1), len(before) - 1)
+            on = before[k] == now - 1
+            start[on] = begun[k[on]]
+            ended = np.ones(len(before), bool)
+            ended[k[on]] = False
+            close(ended)
+        elif len(before):
+            close(np.ones(len(before), bool))
+        last, before, begun = j, now, start
+    if len(before):
+        close(np.ones(len(before), bool))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
+
+
+def greedy(item: int, doc: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray], match: int = MATCH) -> list[tuple[int, int, int]]:
+    """Greedy tiling of sequences of so many words from their maximal runs: (item start, document start, words), longest first.
 
-    `seeds` are the (item, document) starts of all equal windows of `match` words.
     Ties go to the smaller document start, then the smaller item start.
     """
-    heap = []
-    by_diagonal = sorted(seeds, key=lambda s: (s[1] - s[0], s[0]))
-    for _, run in groupby(enumerate(by_diagonal), key=lambda e: (e[1][1] - e[1][0], e[1][0] - e[0])):
-        own = [s for _, s in run]
-        heap.append((-(len(own) + match - 1), own[0][1], own[0][0]))
+    heap = list(zip((-runs[0]).tolist(), runs[1].tolist(), runs[2].tolist(), strict=True))
     heapq.heapify(heap)
-    used_item, used_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    used_item, used_doc = np.zeros(item, bool), np.zeros(doc, bool)
     out = []
     while heap:
         n, j, i = heapq.heappop(heap)
@@ -56,6 +80,14 @@ def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], match
     return out
 
 
+def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], match: int = MATCH) -> list[tuple[int, int, int]]:
+    """`greedy` from the (item, document) starts of all equal windows of `match` words."""
+    by_doc: dict[int, list[int]] = {}
+    for i, j in sorted(seeds):
+        by_doc.setdefault(j, []).append(i)
+    return greedy(len(item), len(doc), maximal(((j, np.array(by_doc[j])) for j in sorted(by_doc)), match), match)
+
+
 class Items:
     """Test items as word hashes, with the windows of all of them in one sorted array."""
 
@@ -76,16 +108,21 @@ class Items:
         lo = np.searchsorted(self.hash, h)
         hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
         hi = np.searchsorted(self.hash, h[hit], "right")
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        seeds: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for w, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-            d = int(words.doc[w])
-            for k in range(a, b):
-                seeds.setdefault((d, int(self.item[k])), []).append((int(self.start[k]), w - int(words.first[d])))
-        for (d, i), own in sorted(seeds.items()):
+            d, items = int(words.doc[w]), self.item[a:b]
+            cut = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1], [True]])).tolist()
+            for x, y in zip(cut, cut[1:], strict=False):
+                seeds.setdefault((d, int(items[x])), []).append((w - int(words.first[d]), self.start[a + x : a + y]))
+        for (d, i), own in sorted(seeds.items(), key=lambda s: s[0]):
             size = len(self.words[i])
-            if len({s + k for s, _ in own for k in range(self.match)}) < coverage * size:
+            covered = np.zeros(size + 1, np.int64)
+            begin = np.unique(np.concatenate([s for _, s in own]))
+            covered[begin] += 1
+            np.add.at(covered, begin + self.match, -1)
+            if np.count_nonzero(np.cumsum(covered)) < coverage * size:
                 continue  # tiles can't cover more than the seeds
-            found = tiles(self.words[i], words.hash[words.first[d] : words.first[d + 1]], own, self.match)
+            found = greedy(size, int(words.counts[d]), maximal(own, self.match), self.match)
             share = sum(n for *_, n in found) / size
             if share >= coverage:
                 yield d, i, share, found
@@ -106,8 +143,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage:
 
     `docs` (doc_id, text), `items` (item_id, text). Items of fewer than `match` words can't be
     told from chance and match nothing; so do null and empty texts. Repeated rows of either
-    give repeated result rows. Items of up to `broadcast_chars` characters in all are sent
-    to the tasks; more are joined by the hashes of their windows.
+    give repeated result rows. Texts of any length are tiled whole. Items of up to
+    `broadcast_chars` characters in all are sent to the tasks; more are joined by the hashes
+    of their windows. Both ways give the same rows.
     """
     spark = prepare(docs.sparkSession)
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").where(F.col("text").isNotNull())
@@ -115,10 +153,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage:
     arrow = to_arrow_type(items.schema["item_id"].dataType)
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars:
         rows = items.collect()
-        sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        sent = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], match))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(*sent.value, match)
+            known = sent.value
             for b in batches:
                 texts = b.column("text").to_pylist()
                 for x, y in groups(texts):
@@ -142,12 +180,22 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kind
                 at, h = words.windows(match)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(words.doc[at] + x)), pa.array(h.view(np.int64))], ["iid", "hash"])
 
-    seeds = items.mapInArrow(tidy(windows), "iid long, hash long").distinct()
-    places = seeds.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("place")).distinct()
-    bits = np.zeros(FILTER_BITS, bool)
-    for r in places.toLocalIterator():
-        bits[r.place] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bits))
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed bits of each stretch of the filter."""
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            part, place = b.column("part").to_numpy(), b.column("place").to_numpy()
+            for p in np.unique(part).tolist():
+                bits.setdefault(p, np.zeros(STRETCH, bool))[place[part == p] % STRETCH] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], ["part", "bits"])
+
+    seeds = stored(items.mapInArrow(tidy(windows), "iid long, hash long").groupBy("hash", "iid").agg(F.count("*").alias("places")), "seeds")
+    place = F.pmod("hash", F.lit(FILTER_BITS))
+    places = seeds.select(place.alias("place"), F.call_function("div", place, F.lit(STRETCH)).alias("part")).distinct().repartition("part")
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in places.mapInArrow(tidy(stretch), "part long, bits binary").collect():  # FILTER_BITS in all
+        bits[r.part * STRETCH // 8 : (r.part + 1) * STRETCH // 8] = np.frombuffer(r.bits, np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(sent.value).view(bool)
@@ -164,7 +212,9 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float, kind
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows + x)), pa.array([texts[x + i] for i in rows.tolist()], pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text", "hashes"])
 
     near = stored(docs.mapInArrow(tidy(candidates), f"doc_id {kinds[0]}, text string, hashes array<long>").withColumn("rid", F.monotonically_increasing_id()), "candidates")
-    pairs = near.select("rid", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("rid", "iid").count().select("rid", "iid")
+    pairs = near.select("rid", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("rid", "iid").agg(F.sum("places").alias("places"))
+    whole = seeds.groupBy("iid").agg((F.sum("places") + match - 1).alias("words"))
+    pairs = pairs.join(whole, "iid").where(match * F.col("places") >= coverage * F.col("words")).select("rid", "iid")  # tiles can't cover more than the seeds
     full = pairs.join(items.select("iid", "item_id", F.col("text").alias("item")), "iid").join(near.select("rid", "doc_id", "text"), "rid").select("doc_id", "text", "item_id", "item")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
