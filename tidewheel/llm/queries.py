@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op4_line_dedup": lines.SQL, "op7_jaccard_join": jaccard.SQL}
+    return {"op1_quality_rules": quality.SQL, "op2_suffix_dedup": repeats.SQL, "op4_line_dedup": lines.SQL, "op7_jaccard_join": jaccard.SQL, "op10_license_scan": licences.sql()}
