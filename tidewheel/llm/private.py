@@ -32,10 +32,13 @@ TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 ROUNDS, SUPPORT, CONFIDENCE, BELIEF = 3, 3, 0.6, 0.8
 #: Digits that a value needs to be taken for an identifier; code points that a value outside of base spans needs, and those beyond which it is compared by its hash.
 DIGITS, LEAST, HASHED = 4, 5, 64
-#: What may part the tokens of a run (blanks, and one bank code), and how tokens end and begin where they go on.
+#: What may part the tokens of a run (blanks, and one bank code of four capitals, no more than WORD code points in all), and how tokens end and begin where they go on.
 BETWEEN, ENDS, BEGINS = r"^[\x20\x09]+(?:[A-Z]{4}[\x20\x09]+)?$", r"^[^@]*[\p{L}0-9)-]$", r"^[\p{L}0-9(+][^@]*$"
-#: Elements summed in one step of a prefix sum, and code points of context kept on either side.
-CHUNK, CONTEXT = 64, 64
+#: Elements summed in one step of a prefix sum.
+CHUNK = 64
+#: Code points of the longest word that patterns tell apart: longer ones are all the same word to them, written LONG. Two words and their blanks take WIDE at most.
+WORD, LONG = 64, "\u2026"
+WIDE = 2 * WORD + 3
 
 
 def with_steps(df: DataFrame, name: str) -> DataFrame:
@@ -90,18 +93,23 @@ def kept(kind: str) -> Column:
     return F.transform(good, lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("rank"), s["end"], s["value"]))
 
 
+def short(x: Column) -> Column:
+    """Words with one blank between them, long ones as LONG."""
+    return F.regexp_replace(F.regexp_replace(x, rf"[{_SPACE}]++", " "), rf"[^\x20]{{{WORD + 1},}}+", LONG)
+
+
 def words_before(i: Column) -> Column:
-    """The text before token i, as far back as two words reach, be they tokens or not."""
+    """The words before token i, two at least where there are so many, be they tokens or not."""
     gap = lambda k: F.element_at("before", i + 1 - k)
-    token = lambda k: F.right(F.element_at("token", i + 1 - k), F.lit(CONTEXT))
-    second = F.concat(F.when((i > 1) & (F.length(gap(1)) < CONTEXT), token(2)).otherwise(""), gap(1), token(1))
-    return F.right(F.concat(F.when((i > 0) & (F.length(gap(0)) < CONTEXT), second).otherwise(""), gap(0)), F.lit(CONTEXT))
+    token = lambda k: short(F.element_at("token", i + 1 - k))
+    second = F.concat(F.when((i > 1) & (F.length(gap(1)) < WIDE), token(2)).otherwise(""), gap(1), token(1))
+    return F.right(F.concat(F.when((i > 0) & (F.length(gap(0)) < WIDE), second).otherwise(""), gap(0)), F.lit(WIDE))
 
 
 def words_after(i: Column) -> Column:
-    """The text after token i, as far as one word reaches."""
+    """The word after token i, be it a token or not."""
     gap = F.element_at("after", i + 2)
-    return F.concat(gap, F.when((F.length(gap) < CONTEXT) & (i + 1 < F.size("token")), F.left(F.element_at("token", i + 2), F.lit(CONTEXT))).otherwise(""))
+    return F.concat(gap, F.when((F.trim(gap) == "") & (i + 1 < F.size("token")), short(F.element_at("token", i + 2))).otherwise(""))
 
 
 def of_rank(rank: int) -> Column:
@@ -121,7 +129,9 @@ def matches(docs: DataFrame) -> DataFrame:
         parts = F.split(source, expression, -1)
         columns.append(F.when(gate, F.transform(parts, lambda x: F.length(x))).alias(f"{name}_gaps"))
         if name == "token":
-            columns += [F.when(gate, F.transform(parts, lambda x: F.right(x, F.lit(CONTEXT)))).alias("before"), F.when(gate, F.transform(parts, lambda x: F.left(x, F.lit(CONTEXT)))).alias("after")]
+            first = lambda x: short(F.regexp_extract(x, rf"^[{_SPACE}]*+[^{_SPACE}]*+", 0))
+            columns += [F.when(gate, F.transform(parts, lambda x: F.right(short(x), F.lit(WIDE)))).alias("before"), F.when(gate, F.transform(parts, first)).alias("after")]
+            columns.append(F.when(gate, F.transform(parts, lambda x: F.when(F.length(x) <= WORD, x).otherwise(LONG))).alias("between"))
     raw = stored(docs.select("doc_id", "text").select(*columns), "matches")
     for name in (*KINDS, "token"):
         raw = with_steps(raw, name)
@@ -129,7 +139,7 @@ def matches(docs: DataFrame) -> DataFrame:
     for name in (*KINDS, "token"):
         raw = located(raw, name)
     spans = [kept(k) for k in KINDS]
-    tokens = F.transform("token_spans", lambda s, i: F.struct(s["start"], s["end"], s["value"], F.element_at("before", i + 1).alias("gap"), words_before(i).alias("before"), words_after(i).alias("after")))
+    tokens = F.transform("token_spans", lambda s, i: F.struct(s["start"], s["end"], s["value"], F.element_at("between", i + 1).alias("gap"), words_before(i).alias("before"), words_after(i).alias("after")))
     base = F.transform("entities", lambda s: F.struct(s["start"], s["rank"], s["end"]))
     return stored(raw.select("rid", "doc_id", F.array_sort(F.concat(*spans)).alias("entities"), tokens.alias("tokens")).select("rid", "doc_id", base.alias("base"), "entities", "tokens"), "spans")
 
@@ -220,8 +230,10 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
 def find_private(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, base and found spans, as arrays of (start, rank, end) in code points.
 
-    Null and empty texts have none. Repeated rows are found each for itself; a value counts
-    once per pattern, however many rows repeat it. Extra columns are not read.
+    Null and empty texts have none; texts of any length are searched whole. Repeated rows are
+    found each for itself; a value counts once per pattern, however many rows repeat it. Of
+    values that a pattern believes equally, any one stands for their place. Extra columns
+    are not read.
     """
     prepare(docs.sparkSession)
     rows = matches(docs)
