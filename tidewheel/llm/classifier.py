@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blocks import Words
-from tidewheel.llm.common import map_texts, prepare, stored, tidy
+from tidewheel.llm.common import fresh, map_texts, prepare, stored, tidy
 from tidewheel.llm.quality import letters, lines_of, repeat_words, sums
 
 
@@ -68,13 +68,14 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 @dataclass
 class Discriminant:
-    """Class means, Cholesky factors of shrunk covariances, and log priors; of one class alone, the score is that class."""
+    """Class means, inverted Cholesky factors of shrunk covariances, kept with the logs of their determinants, and priors; of one class alone, the score is that class."""
 
     centre: np.ndarray
     scale: np.ndarray
     prior: list[float]
     mean: list[np.ndarray]
     factor: list[np.ndarray]
+    spread: list[float]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1: the logistic of the difference of log densities, with temperature for long tails."""
@@ -82,9 +83,9 @@ class Discriminant:
             return np.full(len(x), float(self.prior[1] > 0) if max(self.prior) else 0.5)
         z = (x - self.centre) / self.scale
         log = []
-        for p, m, c in zip(self.prior, self.mean, self.factor, strict=True):
-            y = np.linalg.solve(c, (z - m).T)
-            log.append(np.log(p) - 0.5 * (y * y).sum(axis=0) - np.log(np.diag(c)).sum())
+        for p, m, c, d in zip(self.prior, self.mean, self.factor, self.spread, strict=True):
+            y = (z - m) @ c.T
+            log.append(np.log(p) - 0.5 * (y * y).sum(axis=1) - d)
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / len(self.centre) ** 0.5, -40, 40)))
 
 
@@ -115,7 +116,7 @@ def fit(labelled: DataFrame, features: str = "features", label: str = "label", s
         total[r.c, r.k] = r.v
     n = total[:, 0]
     if min(n) < 1:
-        return Discriminant(np.zeros(d), np.ones(d), (n / max(n.sum(), 1)).tolist(), [], [])
+        return Discriminant(np.zeros(d), np.ones(d), (n / max(n.sum(), 1)).tolist(), [], [], [])
     both = total.sum(axis=0)
     centre = both[1 : d + 1] / both[0]
     scale = np.sqrt(np.maximum(both[d + 1 :].reshape(d, d).diagonal() / both[0] - centre**2, 1e-12))
@@ -128,7 +129,7 @@ def fit(labelled: DataFrame, features: str = "features", label: str = "label", s
         scatter.append(s / np.outer(scale, scale))
     pooled = (scatter[0] * n[0] + scatter[1] * n[1]) / n.sum()
     factor = [np.linalg.cholesky((1 - ridge) * ((1 - shrink) * s + shrink * pooled) + ridge * np.eye(d)) for s in scatter]
-    return Discriminant(centre, scale, (n / n.sum()).tolist(), mean, factor)
+    return Discriminant(centre, scale, (n / n.sum()).tolist(), mean, [np.linalg.inv(c) for c in factor], [float(np.log(np.diag(c)).sum()) for c in factor])
 
 
 def with_statistics(docs: DataFrame, text: str = "text", out: str = "features") -> DataFrame:
@@ -156,10 +157,13 @@ def statistics_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return stored(with_statistics(docs.select("doc_id", F.col(text).alias("text"))).drop("text").withColumn("held_out", test), "statistics")
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("label"))
+
+
 def learnt(rows: DataFrame, labels: DataFrame) -> Discriminant:
     """The model of the labelled rows that aren't held out."""
-    known = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("label"))
-    return fit(rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("__id")))
+    return fit(rows.where(~F.col("held_out")).join(known_labels(labels), F.col("doc_id") == F.col("__id")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -167,19 +171,21 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 
     Rows with crc32(doc_id) mod 3 = 1 are held out and never learnt from. A doc_id labelled
     more than once takes its largest label; a null doc_id isn't learnt from (held_out is
-    false for it). Null and empty texts get the score of a text without words. Without
-    labels of both classes, the score is the share of label 1, or 0.5 without any.
+    false for it). Null and empty texts get the score of a text without words; texts of any
+    length count whole. Repeated rows each count. Without labels of both classes, the score is the share of label 1, or 0.5 without any.
     """
     rows = statistics_of(docs, text)
     return score(rows, learnt(rows, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of `docs` with a score of at least `least`, all columns as they are; the model is as in `classify`."""
+    """The rows of `docs` with a score of at least `least`, all columns as they are; the model is as in `classify`, from the statistics of the rows it learns from alone."""
     prepare(docs.sparkSession)
-    model = learnt(statistics_of(docs, text), labels)
-    scored = map_texts(docs, text, [T.StructField("__score", T.DoubleType())], lambda texts: [model.score(statistics(texts))])
-    return scored.where(F.col("__score") >= least).select(*docs.columns)
+    own = docs.select("doc_id", text).where(remainder(F.col("doc_id"), 3) != 1).join(known_labels(labels).select(F.col("__id").alias("doc_id")), "doc_id", "left_semi")
+    model = learnt(statistics_of(own, text), labels)
+    (own,) = fresh(docs, "__score")
+    scored = map_texts(docs, text, [T.StructField(own, T.DoubleType())], lambda texts: [model.score(statistics(texts))])
+    return scored.where(F.col(own) >= least).select(*docs.columns)
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
