@@ -294,7 +294,7 @@ class Codec:
         bare, led, plan = [], [], []
         for x in texts:
             steps = []
-            for i, part in enumerate(split.split(x) if split and x and "<" in x else [x or ""]):
+            for i, part in enumerate(split.split(x) if split and x and split.search(x) else [x or ""]):
                 if i % 2:
                     steps.append(special[part])
                     continue
