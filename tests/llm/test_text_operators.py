@@ -247,7 +247,9 @@ def brute_tree(train, test):
     return total
 
 
-def test_context_tree(spark):
+@pytest.mark.parametrize("least", [scoring.LEAST_SHARD, 3])
+def test_context_tree(spark, least, monkeypatch):
+    monkeypatch.setattr(scoring, "LEAST_SHARD", least)  # 3: nearly all contexts are split
     texts = [prose(i, 12) for i in range(6)] + ["", None, "ünïcode"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in scoring.score_documents(df, held_out=F.col("doc_id") % 3 == 2).collect()}
@@ -274,6 +276,41 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_discriminant_equals_densities_written_out(docs, spark):
+    """Scores from covariances shrunk, inverted and put into log densities one text at a time."""
+    import numpy as np
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(45)], "doc_id long, quality int")
+    rows = pairs(docs)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+    x = np.array([classifier.statistics([t])[0] for _, t in rows])
+    own = {c: x[[i for i, (d, _) in enumerate(rows) if d is not None and d < 45 and not held(d) and d % 2 == c]] for c in (0, 1)}
+    both = np.concatenate([own[0], own[1]])
+    centre, scale = both.mean(axis=0), both.std(axis=0)
+    scale[scale < 1e-5] = 1
+    z = {c: (own[c] - centre) / scale for c in own}
+    cov = {c: np.cov(z[c].T, bias=True) for c in z}
+    pooled = sum(len(z[c]) * cov[c] for c in z) / len(both)
+    want = []
+    for (d, _), v in zip(rows, (x - centre) / scale, strict=True):
+        log = []
+        for c in (0, 1):
+            s = 0.95 * (0.9 * cov[c] + 0.1 * pooled) + 0.05 * np.eye(len(v))
+            e = v - z[c].mean(axis=0)
+            log.append(math.log(len(z[c]) / len(both)) - 0.5 * e @ np.linalg.inv(s) @ e - 0.5 * np.linalg.slogdet(s)[1])
+        want.append((d, held(d), 1 / (1 + math.exp(-max(-40, min(40, (log[1] - log[0]) / len(v) ** 0.5))))))
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    got = sorted((tuple(r) for r in classifier.op6(docs, labels).select("doc_id", "held_out", "score").collect()), key=order)
+    for a, b in zip(got, sorted(want, key=order), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6
+
+
+def test_kept_documents_are_those_with_a_good_score(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(45)], "doc_id long, quality int")
+    good = [r.doc_id for r in classifier.classify(docs, labels).where("score >= 0.5").collect()]
+    same([(r.doc_id,) for r in classifier.keep_good(docs, labels).collect()], [(d,) for d in good])
+
+
 def test_classifier_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in classifier.op6(docs, none).collect()} == {0.5}
@@ -462,6 +499,23 @@ def test_tiles_equal_the_greedy_definition():
         assert sum(n for *_, n in got) == brute_tiles(item, doc, 3)
 
 
+def test_tiles_of_equal_words_stay_small():
+    import numpy as np
+
+    words = np.zeros(20_000, np.uint64)
+    own = [(j, np.arange(196)) for j in range(19_996)]
+    runs = leaks.maximal(own, 5)
+    assert len(runs[0]) < 20_300
+    assert leaks.greedy(200, len(words), runs, 5) == [(0, 0, 200)]
+
+
+def test_broadcast_and_joined_items_find_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    a, b = (collected(leaks.find_leaks(docs, items, broadcast_chars=most), "doc_id", "item_id", "coverage", "tiles") for most in (leaks.BROADCAST_CHARS, 0))
+    assert a and a == b
+
+
 # --- 10
 
 
@@ -481,6 +535,25 @@ def test_licences(spark):
     assert [rows[n + i].labels for i in (0, 2, 3, 4, 5, 6)] == ["mit", "apache", "gpl", "cc-by-nc", "", "proprietary"]
 
 
+def filled(markup):
+    """A text that a markup accepts: optional regions left out at first, words put in for {n}."""
+    while "[[" in markup:
+        markup = re.sub(r"\[\[[^\[\]]*\]\]", "", markup)
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["anyone"] * int(m[1])), markup)
+
+
+def test_whole_licences_notices_and_denials():
+    for label, ts in licences.TEMPLATES.items():
+        for kind, markup in ts:
+            text = "Some words first. " + filled(markup).upper() + " and more."
+            labels, score = (licences.scan([text])[k][0] for k in (5, 6))
+            assert label in labels.split(",") and score >= licences.SCORES[kind]
+    mit = filled(licences.TEMPLATES["mit"][0][1])
+    altered = mit.replace("without warranty of any kind", "with every warranty")
+    assert [licences.scan([t])[6][0] for t in (mit, altered, "This is not licensed under the MIT License.")] == [1.0, 0.7, 0.5]
+    assert licences.scan(["No longer released under the MIT license; all rights reserved"])[5] == ["mit,proprietary"]
+
+
 def test_template_markup():
     m = licences.Matcher({"x": ["a [[b [[c]]]] d {2} e"]})
     for text, good in (("a d e", True), ("a b d e", True), ("a b c d q r e", True), ("a c d e", False), ("a d q r s e", False), ("a b c", False)):
