@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, classifier, jaccard, leaks, lines
-from tidewheel.llm.common import documents, prepare, stored
+from tidewheel.llm.common import documents, fresh, prepare, stored
 from tidewheel.llm.queries import tokenizer_path
 
 
@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that three or more hold, but for the last copy; n_chars follows the text."""
     prepare(spark)
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return lines.dedup_lines(docs, added=tuple(fresh(docs, "n_lines", "n_dropped"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
