@@ -278,13 +278,13 @@ WITH d AS (
 ), p AS (
   SELECT r, doc_id, len(w) AS n_words, s, {', '.join(f'{x} AS at_{label}' for label, x in places.items())} FROM f
 ), m AS (
-  SELECT r, doc_id, n_words, {' || '.join(f'[x - 1 for x in at_{label}]' for label in places)} AS at,
+  SELECT r, doc_id, n_words, {' || '.join(f'[x - 1 for x in at_{label}]' for label in places)} AS found,
     list_filter([{', '.join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for label in places)}], lambda x: x IS NOT NULL) AS base,
     list_filter([{', '.join(f"CASE WHEN {c} THEN '{label}' END" for label, _, c in cases)}], lambda x: x IS NOT NULL) AS own,
     list_max([{', '.join(f'CASE WHEN {c} THEN {score} ELSE 0 END' for _, score, c in cases)}]) AS best
   FROM p
 )
-SELECT doc_id, n_words, len(at) AS n_base, list_min(at) AS first_word, list_max(at) AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(base || own)), ',') AS labels, CAST(CASE WHEN best > 0 THEN best WHEN len(at) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+SELECT doc_id, n_words, len(found) AS n_base, list_min(found) AS first_word, list_max(found) AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || own)), ',') AS labels, CAST(CASE WHEN best > 0 THEN best WHEN len(found) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
 FROM m
 """
