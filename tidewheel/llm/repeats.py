@@ -90,7 +90,7 @@ def _suspected(docs: DataFrame, bits: int, wanted: Callable[[np.ndarray], np.nda
             for a, b in groups(texts):
                 shard += 1
                 raw, begin, doc, at, first, last, h = anchors(texts[a:b])
-                token = tokens_of(h, bits).view(np.int64)
+                token = tokens_of(mix(h), bits).view(np.int64)
                 keep = np.zeros(len(h), bool)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
@@ -225,7 +225,7 @@ def suspected(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def columns(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         _, _, doc, *_, h = anchors(texts)
-        return doc, h
+        return doc, mix(h)  # anchors have small hashes, which would crowd few shards
 
     known = shared_columns(docs.select(F.struct("u1", "u2").alias("id"), "text"), columns, [], expected).where(F.col("tokens").isNotNull())
     return known.select("id.u1", "id.u2", "tokens", "often").dropDuplicates(["u1", "u2"]), token_bits(expected)
