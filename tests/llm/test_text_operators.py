@@ -438,6 +438,13 @@ def found_ids(spark, seeds, unseen):
     return [[cut(t, s) for s in got[i].split(",") if s.startswith("id:")] for i, t in rows if t in unseen]
 
 
+def test_keys_are_seeds_and_teach_patterns(spark):
+    key = lambda i: sha(str(i))[:40]
+    seeds = [f"{prose(i, 6)} token = \"{key(i)}\" {prose(i + 50, 5)}" for i in range(6)]
+    unseen = [f"{prose(90, 6)} token = \"QX-44192-zz\" {prose(4, 4)}", key(77), f"{prose(91, 4)} " + "long" * 30 + f" {key(78)} ends"]
+    assert found_ids(spark, seeds, unseen) == [["QX-44192-zz"], [key(77)], [key(78)]]
+
+
 def test_spans_of_several_words_seed_the_bootstrap(spark):
     phones = [f"{prose(i, 6)} reach me at +1 (771) 555-16{i}5 any time {prose(i + 50, 5)}" for i in range(6)]
     assert found_ids(spark, phones, [f"{prose(90, 6)} reach me at QX-44192 any time {prose(4, 4)}"]) == [["QX-44192"]]

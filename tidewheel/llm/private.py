@@ -1,6 +1,6 @@
 """Personal data: base spans, and bootstrapped contextual extraction. DataFrame operations alone.
 
-Base entities seed the bootstrap. Words around whole base spans, identifier-like tokens and runs
+Base entities, and keys of many hexadecimal digits, seed the bootstrap. Words around whole base spans, identifier-like tokens and runs
 of such tokens are patterns; a bipartite graph joins patterns with the values they extract. Each round scores patterns by
 the share of their values that are believed, and values by the patterns that extract them;
 trusted patterns then mark identifiers that no base expression knows.
@@ -30,6 +30,8 @@ _SPACE = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 #: Rounds of the bootstrap; distinct believed values and share of them that a pattern needs; belief that a value needs.
 ROUNDS, SUPPORT, CONFIDENCE, BELIEF = 3, 3, 0.6, 0.8
+#: Keys by their shape alone: as many hexadecimal digits, letters and figures among them. They are seeds too.
+KEY = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 #: Digits that a value needs to be taken for an identifier; code points that a value outside of base spans needs, and those beyond which it is compared by its hash.
 DIGITS, LEAST, HASHED = 4, 5, 64
 #: What may part the tokens of a run (blanks, and one bank code of four capitals, no more than WORD code points in all), and how tokens end and begin where they go on.
@@ -156,7 +158,7 @@ def seeds_of(rows: DataFrame) -> DataFrame:
         last = F.size(F.filter("tokens", lambda t: t["start"] < b["end"]))
         return F.struct(b["start"], b["end"], b["value"], F.element_at("tokens", first)["before"].alias("before"), F.element_at("tokens", last)["after"].alias("after"))
 
-    return rows.where(F.size("entities") > 0).select("rid", F.inline(F.transform("entities", one))).withColumn("seed", F.lit(True)).withColumn("place", compared(F.col("value")))
+    return rows.where(F.size("entities") > 0).select("rid", F.inline(F.transform("entities", one))).withColumn("seed", F.lit(True)).withColumn("known", F.lit(True)).withColumn("place", compared(F.col("value")))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -189,14 +191,14 @@ def candidates(rows: DataFrame) -> DataFrame:
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}0-9+@]*+", 0))
     core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}0-9+@]++", ""), r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
     one = one.withColumn("start", F.col("start") + lead).withColumn("value", core).withColumn("end", F.col("start") + F.length("value"))
-    return one.where((F.length("value") >= LEAST) & F.col("value").rlike("[0-9@]")).withColumn("seed", F.lit(False))
+    return one.where((F.length("value") >= LEAST) & F.col("value").rlike("[0-9@]")).withColumn("seed", F.col("value").rlike(KEY)).withColumn("known", F.lit(False))
 
 
 def instances(rows: DataFrame) -> DataFrame:
-    """One row per base span or candidate and pattern: rid, start, end, value, place, digits (it has enough), seed (it is a base span), pattern.
+    """One row per base span or candidate and pattern: rid, start, end, value, place, digits (it has enough), seed (a base span or a key), known (a base span), pattern.
 
     Patterns are the two words before the instance, and the word before with the word after;
-    an instance without a word before has none. Words may hold digits. A long value is its hash.
+    an instance without a word before has one row with none. Words may hold digits. A long value is its hash.
     """
     one = seeds_of(rows).unionByName(candidates(rows))
     low = lambda c: F.translate(c, UPPER, UPPER.lower())
@@ -205,7 +207,7 @@ def instances(rows: DataFrame) -> DataFrame:
     right = F.regexp_extract(low(F.col("after")), rf"^[{_SPACE}]*([^{_SPACE}]+)", 1)
     patterns = F.array(F.when(left != "", F.concat(F.lit("L "), F.regexp_replace(left, rf"[{_SPACE}]+", " "))), F.when((last != "") & (right != ""), F.concat_ws(" ", F.lit("M"), last, F.lit("_"), right)))
     digits = F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS
-    return one.select("rid", "start", "end", compared(F.col("value")).alias("value"), "place", digits.alias("digits"), "seed", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
+    return one.select("rid", "start", "end", compared(F.col("value")).alias("value"), "place", digits.alias("digits"), "seed", "known", F.explode_outer(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -213,11 +215,11 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
 
     Candidates of one place count once for a pattern, by the one believed most.
     """
-    edges = stored(found.groupBy("pattern", "place", "value").agg(F.max("seed").alias("seed")), "edges")
+    edges = stored(found.where("pattern IS NOT NULL OR seed").groupBy("pattern", "place", "value").agg(F.max("seed").alias("seed")), "edges")
     seeds = edges.where("seed").select("value").distinct().withColumn("belief", F.lit(1.0))
     belief = seeds
     for _ in range(rounds):
-        known = edges.join(belief, "value", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
+        known = edges.where("pattern IS NOT NULL").join(belief, "value", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
         places = known.groupBy("pattern", "place").agg(F.max("belief").alias("belief"), F.max_by("value", "belief").alias("value"))
         scored = places.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("belief").alias("s"), F.countDistinct(F.when(F.col("belief") >= BELIEF, F.col("value"))).alias("k"))
         trusted = scored.where((F.col("k") >= support) & (F.col("s") >= confidence * F.col("n"))).select("pattern", (F.col("s") / (F.col("n") + 0.5)).alias("c"))
@@ -239,7 +241,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     rows = matches(docs)
     found = stored(instances(rows), "instances")
     belief = bootstrap(found).where(F.col("belief") >= BELIEF).select("value")
-    new = found.where(~F.col("seed") & F.col("digits")).select("rid", "start", "end", "value").distinct().join(belief, "value")
+    new = found.where(~F.col("known") & F.col("digits")).select("rid", "start", "end", "value").distinct().join(belief, "value")
     # the longest of nested finds stays
     before = F.max("end").over(Window.partitionBy("rid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
     new = new.withColumn("reached", before).where(F.col("reached").isNull() | (F.col("end") > F.col("reached")))
@@ -253,7 +255,7 @@ def joined(spans: Column) -> Column:
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans that the method adds), n_spans (all)."""
     rows = find_private(docs)
     counts = [of_rank(r).alias(f"n_{k}") for r, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "found"))).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans"))
