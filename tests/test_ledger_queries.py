@@ -13,7 +13,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.registered()))
 def test_query_agrees_with_sql(spark, con, name):
     sql = queries.oracles().get(name)
     if sql is None:
