@@ -193,6 +193,35 @@ def test_filters_suspect_no_larger_share_of_a_larger_corpus(spark):
         assert lines.suspects(df, 20, n * 300).count() < 0.01 * 10 * n
 
 
+@pytest.mark.parametrize("expected", [0, 1e9])
+def test_shared_columns_equal_counts(spark, expected):
+    """Words as columns, whatever the number of shards; a word that a text repeats counts each time, and is told once."""
+    import numpy as np
+    import xxhash
+
+    from tidewheel.llm import incidence
+
+    texts = [*ODD, *(prose(i, 40) for i in range(30)), *(f"only{i} own{i}" for i in range(5))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, None)], "id long, text string").repartition(3)
+
+    def columns(batch):
+        words = [(t or "").split() for t in batch]
+        h = [xxhash.xxh3_64_intdigest(w) for x in words for w in x]
+        return np.repeat(np.arange(len(batch)), [len(x) for x in words]), np.array(h, np.uint64), np.array([len(set(x)) for x in words], np.int64)
+
+    bits = incidence.token_bits(expected)
+    name = lambda w: int(incidence.tokens_of(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64), bits)[0])
+    count = Counter(w for t in texts for w in (t or "").split())
+    for percent in (0, 60):
+        rows = incidence.shared_columns(df, columns, ["n"], expected, percent).collect()
+        assert len(rows) == len(texts) + 1
+        for r in rows:
+            words = set((texts[r.id] or "").split()) if r.id or r.n else set()
+            own = sorted((incidence.often(count[w]), name(w)) for w in words if count[w] > 1)
+            told = list(zip(r.often or (), r.tokens or (), strict=True))
+            assert r.n == len(words) and told == (own if own and 100 * len(own) >= percent * r.n else [])
+
+
 # --- 5
 
 

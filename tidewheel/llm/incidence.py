@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import BATCH_ROWS, groups, tidy
 
-#: Distinct hashes a shard should see; bits that tell columns apart, at least; bits of a text's place in its batch.
-SHARD, TOKEN, PLACE = 1 << 17, 44, (BATCH_ROWS - 1).bit_length()
+#: Hashes a shard should see, up to MANY shards, and beyond these, so that a batch's rows for its shards don't get too small.
+SHARD, MANY, LARGE = 1 << 17, 1 << 12, 1 << 22
+#: Bits that tell columns apart, at least; bits of a text's place in its batch.
+TOKEN, PLACE = 44, (BATCH_ROWS - 1).bit_length()
 #: Characters of a batch, and hashes that a shard's task handles at a time.
 BATCH, TOGETHER = 8 << 20, 1 << 19
 #: Steps of an octave in which counts are told.
@@ -29,7 +31,7 @@ U = np.uint64
 
 
 def shard_bits(columns: float) -> int:
-    return max(8, min(30, (int(columns) // SHARD).bit_length()))
+    return max(8, min((int(columns) // SHARD).bit_length(), MANY.bit_length() - 1), min(30, (int(columns) // LARGE).bit_length()))
 
 
 def token_bits(columns: float) -> int:
@@ -109,8 +111,9 @@ def shared_columns(docs: DataFrame, columns: Callable[[list], tuple], facts: lis
                 hashes = [one[0], *(_planes(inner[x:y], size) for x, y in zip(cut, cut[1:], strict=False))]
                 weights = [one[1], *(_planes(weight[x:y], 4) if (weight[x:y] > 1).any() else None for x, y in zip(cut, cut[1:], strict=False))]
                 n = len(place)
-                ids = pa.ListArray.from_arrays(pa.array([0] + [m] * n, pa.int32()), batch.column("id").slice(a, m))
-                numbers = pa.ListArray.from_arrays(pa.array([0] + [m * len(known)] * n, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *known])))
+                only = pa.array(np.arange(n) > 0)
+                ids = pa.ListArray.from_arrays(pa.array([0] + [m] * n, pa.int32()), pa.concat_arrays([batch.column("id").slice(a, m)]), mask=only)
+                numbers = pa.ListArray.from_arrays(pa.array([0] + [m * len(known)] * n, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *known])), mask=only)
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array([own] * n, pa.int64()), ids, numbers, pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], ["place", "batch", "ids", "facts", "a", "b"])
 
     asked = f"place long, batch long, ids array<{kind}>, facts array<long>, a binary, b binary"
