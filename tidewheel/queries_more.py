@@ -382,6 +382,10 @@ def on_grid(x: Ledger) -> DataFrame:
 
 for _name, _column in (("TS2_good_increase", "good"), ("TS3_count_increase", "n")):
     query(_name, f"WITH {_grid} SELECT g.stage, g.minute, CAST(sum(coalesce(m.{_column}, 0)) OVER (PARTITION BY g.stage ORDER BY g.minute RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS increase FROM g LEFT JOIN m ON m.stage = g.stage AND m.minute = g.minute")(lambda x, c=_column: on_grid(x).select("stage", "minute", F.col(c).alias("increase")))
+_recovery = ", ".join(f"('{b}')" for b in (*slo.LEASE_RECOVERY, "inf"))
+query("TS1_recovery_buckets", f"WITH o AS (SELECT 'lease_recovery' AS stage, lease_recovery AS ns FROM ({TIMING_SQL}) WHERE lease_recovery IS NOT NULL), b(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {_recovery}) v(le)) SELECT stage, le, count(*) FILTER (WHERE ns / 1e9 <= le) AS n FROM o, b GROUP BY stage, le")(
+    lambda x: slo.buckets(timing_of(x).where(F.col("lease_recovery").isNotNull()).select(F.lit("lease_recovery").alias("stage"), F.col("lease_recovery").alias("ns")), slo.LEASE_RECOVERY)
+)
 query("TS10_outcomes", "SELECT l.label, count(c.job_id) AS n FROM (VALUES ('SUCCEEDED'), ('FAILED'), ('DEAD_LETTER'), ('RETRYING')) l(label) LEFT JOIN job_completions c ON c.state = l.label GROUP BY l.label")(
     lambda x: slo.zero_filled(x.job_completions.groupBy(F.col("state").alias("label")).agg(F.count("*").alias("n")), x.spark.createDataFrame([("SUCCEEDED",), ("FAILED",), ("DEAD_LETTER",), ("RETRYING",)], "label string"), "label")
 )
@@ -530,6 +534,7 @@ _GRANTS = f"""WITH r AS (SELECT * FROM ({READY_SQL}) WHERE rank <= 100), q AS (S
     g AS (SELECT id, tenant_id, queue_name, slot_cost, rank, nq, CAST(ceil(reach / weight) AS BIGINT) AS round, ((qi - 1) % nq + nq) % nq AS turn FROM c ORDER BY round, turn, rank LIMIT 60),
     h AS (SELECT *, (round - 1) * nq + turn - coalesce(lag((round - 1) * nq + turn) OVER o, -1) AS gap, sum(slot_cost) OVER o AS used FROM g WINDOW o AS (ORDER BY round, turn, rank)), k AS (SELECT *, max(CASE WHEN gap > nq THEN 1 ELSE 0 END) OVER (ORDER BY round, turn, rank) AS ended FROM h)
     SELECT id, tenant_id, queue_name, round, turn, CAST(used AS BIGINT) AS used FROM k WHERE ended = 0 AND used <= 90"""
+query("SCH4_worker_reserves", "SELECT worker_id, CASE WHEN capacity_slots <= 1 THEN 0 ELSE (capacity_slots + 3) // 4 END AS reserve FROM workers")(lambda x: x.workers.select("worker_id", scheduling.recovery_reserve(F.col("capacity_slots")).alias("reserve")))
 query("SCH2_grant_order", _GRANTS)(lambda x: scheduling.grant_order(reads.ready_candidates(x.jobs, x.tenant_limits, x.queue_state, now_of(x), 100), 1, 60, 90))
 query("RPL1_replayed_log", f"{LOG} SELECT cust, sequence FROM r WHERE cust % 17 = 2 AND sequence = 1")(lambda x: bent_log(x).where(F.sha2(F.col("material").cast("binary"), 256) != F.col("hash")).select("cust", "sequence"))
 query("RPL3_canonical_lines", "SELECT tenant_id, queue_name, '{\"tenant_id\":\"' || tenant_id || '\",\"queue\":\"' || queue_name || '\",\"deficit\":' || deficit || '}' || chr(10) AS line FROM queue_state")(
