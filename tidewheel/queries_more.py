@@ -176,7 +176,7 @@ query("FLT3_expired", f"SELECT job_id, attempt_no FROM attempts WHERE state IN (
 query("FLT4_fenced", f"SELECT a.job_id, a.attempt_no, a.lease_generation, slot_cost FROM {FENCED}")(lambda x: reads.fenced_leases(x.attempts, x.jobs).select("job_id", "attempt_no", "lease_generation", "slot_cost"))
 query("FLT5_audit_range", f"SELECT id, actor FROM audit_events WHERE occurred_at BETWEEN {NOW} - 86400000000000 * 900 AND {NOW}")(lambda x: reads.audit(x.audit_events, now_of(x) - 86_400_000_000_000 * 900, now_of(x)).select("id", "actor"))
 query("FLT6_open_dead_letters", "SELECT job_id FROM dead_letters WHERE redriven_job_id IS NULL")(lambda x: x.dead_letters.where(F.col("redriven_job_id").isNull()).select("job_id"))
-_FENCES = "SELECT job_id, attempt_no, lease_generation + CASE WHEN k % 200 = 0 THEN 100 ELSE 0 END AS lease_generation FROM {0} WHERE k % 50 = 0"
+_FENCES = "SELECT job_id, attempt_no, lease_generation + CASE WHEN k % 200 = 0 THEN 100 ELSE 0 END AS lease_generation FROM {0}"
 _LEASED = f"SELECT f.job_id, f.attempt_no, f.lease_generation, a.state, CASE WHEN a.job_id IS NOT NULL THEN coalesce(a.completed_at, 0) END AS completed_at FROM ({_FENCES.format('attempts')}) f LEFT JOIN attempts a ON a.job_id = f.job_id AND a.attempt_no = f.attempt_no AND a.lease_generation = f.lease_generation"
 
 
@@ -186,7 +186,7 @@ def fences(x: Ledger) -> DataFrame:
 
 query("JN17_fence_lookup", _LEASED)(fences)
 query("FLT7_lease_fences", f"SELECT * FROM ({_LEASED}) WHERE state IS NOT NULL")(lambda x: fences(x).where(F.col("state").isNotNull()))
-query("FLT8_jobs_in_list", "SELECT a.job_id, a.attempt_no, a.lease_generation, a.leased_at, coalesce(c.committed_at, 0) AS committed_at FROM attempts a LEFT JOIN job_completions c ON c.job_id = a.job_id WHERE a.k % 40 = 3")(lambda x: reads.attempts_of(x.attempts, x.job_completions, x.jobs.where("k % 40 = 3").select(F.col("id").alias("job_id"))))
+query("FLT8_jobs_in_list", "SELECT a.job_id, a.attempt_no, a.lease_generation, a.leased_at, coalesce(c.committed_at, 0) AS committed_at FROM attempts a LEFT JOIN job_completions c ON c.job_id = a.job_id WHERE a.job_id IN (SELECT job_id FROM dead_letters)")(lambda x: reads.attempts_of(x.attempts, x.job_completions, x.dead_letters))
 query(
     "FLT9_constraints",
     f"""WITH {_ctes(True)}, v AS (SELECT 'terminal_at is null' AS rule FROM f_jobs WHERE terminal_at IS NULL UNION ALL SELECT 'slot_cost >= 1' FROM f_jobs WHERE NOT slot_cost >= 1 UNION ALL SELECT 'state known' FROM f_jobs WHERE state NOT IN ('SUCCEEDED')
@@ -199,7 +199,7 @@ query("JN1_ready_join", f"SELECT id, tenant_id, queue_name, weight, deficit FROM
 query("JN3_worker_leases", f"SELECT w.worker_id, l.job_id FROM workers w LEFT JOIN (SELECT a.worker_id, a.job_id FROM {FENCED}) l ON l.worker_id = w.worker_id")(lambda x: x.workers.select("worker_id").join(reads.fenced_leases(x.attempts, x.jobs).select("worker_id", "job_id"), "worker_id", "left"))
 query("JN4_expired_fences", f"SELECT a.job_id, a.attempt_no, a.lease_generation, a.expires_at FROM {FENCED} AND a.expires_at <= {NOW}")(lambda x: reads.fenced_leases(x.attempts, x.jobs).where(F.col("expires_at") <= now_of(x)).select("job_id", "attempt_no", "lease_generation", "expires_at"))
 query("JN6_dag_nodes", "SELECT g.dag_id, g.node_key, j.id, j.state FROM dag_jobs g JOIN jobs j ON j.id = g.job_id")(lambda x: reads.run_view(x.jobs, x.dag_jobs, x.job_dependencies).select("dag_id", "node_key", F.col("job_id").alias("id"), "state"))
-query("JN7_dag_of_job", "SELECT j.id, coalesce(g.dag_id, '') AS dag FROM jobs j LEFT JOIN (SELECT * FROM dag_jobs WHERE node_key LIKE '%1') g ON g.job_id = j.id")(lambda x: x.jobs.select("id").join(x.dag_jobs.where("node_key LIKE '%1'").select(F.col("job_id").alias("id"), "dag_id"), "id", "left").select("id", F.coalesce("dag_id", F.lit("")).alias("dag")))
+query("JN7_dag_of_job", "SELECT j.id, coalesce(g.dag_id, '') AS dag FROM jobs j LEFT JOIN dag_jobs g ON g.job_id = j.id")(lambda x: x.jobs.select("id").join(x.dag_jobs.select(F.col("job_id").alias("id"), "dag_id"), "id", "left").select("id", F.coalesce("dag_id", F.lit("")).alias("dag")))
 query("JN8_no_open_parent", "SELECT id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE d.job_id = j.id AND p.state <> 'SUCCEEDED')")(lambda x: reads.without_open_parent(x.jobs, x.job_dependencies, x.jobs).select("id"))
 query("JN9_accepted_heartbeats", f"SELECT job_id, attempt_no FROM attempts a WHERE a.state IN ('LEASED', 'RUNNING') AND expires_at > {NOW} - 86400000000000 * 900 AND EXISTS (SELECT 1 FROM jobs j WHERE j.id = a.job_id AND j.attempt_no = a.attempt_no AND j.lease_generation = a.lease_generation)")(
     lambda x: transitions.heartbeat(x.attempts.select("job_id", "attempt_no", "token_hash"), x.attempts, 1, now_of(x) - 86_400_000_000_000 * 900).where("accepted").join(x.jobs.select(F.col("id").alias("job_id"), "attempt_no"), ["job_id", "attempt_no"], "left_semi").select("job_id", "attempt_no")
@@ -223,7 +223,7 @@ query("JN14_event_completions", "SELECT e.event_seq, c.state FROM ledger_events
 query("JN15_successors", "SELECT a.job_id, a.lease_generation AS killed, min(b.lease_generation) AS successor, arg_min(b.leased_at, b.lease_generation) AS leased_at FROM attempts a LEFT JOIN attempts b ON b.job_id = a.job_id AND b.lease_generation > a.lease_generation WHERE a.state = 'EXPIRED' GROUP BY a.job_id, a.lease_generation")(
     lambda x: evidence.recoveries(x.attempts.where("state = 'EXPIRED'").select(F.col("lease_generation").alias("kill_sequence"), "job_id", F.col("lease_generation").alias("killed_generation"), F.col("completed_at").alias("killed_at")), x.attempts).select("job_id", F.col("killed_generation").alias("killed"), F.col("generation").alias("successor"), "leased_at")
 )
-query("JN20_children", "SELECT d.job_id AS id, count(*) FILTER (WHERE p.state <> 'SUCCEEDED') AS open_parents FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE d.job_id IN (SELECT d.job_id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.k % 3 = 0) GROUP BY d.job_id")(lambda x: reads.children(x.jobs.where("k % 3 = 0").select("id"), x.job_dependencies, x.jobs))
+query("JN20_children", "SELECT d.job_id AS id, count(*) FILTER (WHERE p.state <> 'SUCCEEDED') AS open_parents FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE d.job_id IN (SELECT d.job_id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.state = 'SUCCEEDED') GROUP BY d.job_id")(lambda x: reads.children(x.jobs.where("state = 'SUCCEEDED'").select("id"), x.job_dependencies, x.jobs))
 query("JN22_after_restart", f"SELECT j.tenant_id, count(*) AS n, min(a.leased_at) AS first FROM attempts a JOIN jobs j ON j.id = a.job_id WHERE a.leased_at > {NOW} - 86400000000000 * 400 GROUP BY j.tenant_id")(
     lambda x: x.attempts.where(F.col("leased_at") > now_of(x) - 86_400_000_000_000 * 400).join(x.jobs.select(F.col("id").alias("job_id"), "tenant_id"), "job_id").groupBy("tenant_id").agg(F.count("*").alias("n"), F.min("leased_at").alias("first"))
 )
@@ -262,7 +262,7 @@ query("EV3_submissions", f"{SUBMISSIONS} SELECT rule, count(*) AS n FROM v GROUP
 query("AG23_stable_keys", f"{SUBMISSIONS} SELECT rule, count(*) AS n FROM v WHERE rule IN ('unstable key', 'duplicate index', 'duplicate key') GROUP BY rule")(lambda x: submitted(x).where("rule IN ('unstable key', 'duplicate index', 'duplicate key')").groupBy("rule").agg(F.count("*").alias("n")))
 query("WN8_first_and_last", f"SELECT job_id, first_lease, final_lease FROM ({SAMPLES_SQL}) WHERE first_lease IS NOT NULL")(lambda x: evidence.benchmark_samples(x.manifest, x.jobs, x.attempts, x.job_completions).where("first_lease is not null").select("job_id", "first_lease", "final_lease"))
 query("SO1_union_of_scalars", "SELECT greatest((SELECT max(created_at) FROM jobs), (SELECT max(created_at) FROM dead_letters), (SELECT max(last_heartbeat_at) FROM workers)) AS clock_ns")(lambda x: reads.logical_clock(jobs=(x.jobs, ["created_at"]), dead=(x.dead_letters, ["created_at"]), workers=(x.workers, ["last_heartbeat_at"])))
-query("SO3_reachable", "WITH RECURSIVE c AS (SELECT d.job_id AS id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.k % 9 = 0 UNION SELECT d.job_id FROM c JOIN job_dependencies d ON d.depends_on_id = c.id) SELECT id FROM c")(lambda x: graph.descendants(x.job_dependencies, x.jobs.where("k % 9 = 0").select("id")))
+query("SO3_reachable", "WITH RECURSIVE c AS (SELECT d.job_id AS id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.state IN ('FAILED', 'DEAD_LETTER') UNION SELECT d.job_id FROM c JOIN job_dependencies d ON d.depends_on_id = c.id) SELECT id FROM c")(lambda x: graph.descendants(x.job_dependencies, x.jobs.where("state IN ('FAILED', 'DEAD_LETTER')").select("id")))
 query("TK5_due_cron", f"SELECT tenant_id || '/' || queue_name AS id, {NOW} + (weight - 2) * 3600000000000 AS nominal_at FROM queue_state WHERE weight <= 2 ORDER BY nominal_at, id LIMIT 20")(lambda x: cron.due(triggers_of(x), now_of(x), 20).select("id", "nominal_at"))
 
 
@@ -399,9 +399,9 @@ query("EV4_environment", f"WITH r AS ({_ENV.format('workers')}) SELECT run, 'wor
 query("EV9_qualification", "SELECT CASE WHEN count(*) FILTER (WHERE NOT valid) > 0 THEN 'invalid' WHEN count(*) FILTER (WHERE NOT met) > 0 THEN 'miss' ELSE 'qualified' END AS verdict FROM (SELECT count(*) > 0 AS valid, max(state_version) < 3 AS met FROM jobs UNION ALL SELECT true, true)")(
     lambda x: evidence.verdict(x.jobs.agg((F.count("*") > 0).alias("valid"), (F.max("state_version") < 3).alias("met")).withColumn("part", F.lit("a")).unionByName(x.spark.createDataFrame([("b", True, True)], "part string, valid boolean, met boolean"), allowMissingColumns=True))
 )
-_RUN = """SELECT CAST(k % 500 AS STRING) AS run, CASE WHEN k % 71 = 1 THEN 'other' ELSE CAST(k % 500 AS STRING) END AS summary_run, CASE WHEN k % 4 = 0 THEN 'warmup' WHEN k % 71 = 2 THEN 'x' ELSE 'measured' END AS phase, CASE WHEN k % 4 = 0 THEN 'warmup' WHEN k % 71 = 2 THEN 'x' ELSE 'measured' END AS summary_phase,
+_RUN = """SELECT CAST(CASE WHEN k % 71 = 14 THEN k - 1 ELSE k END AS STRING) AS run, CASE WHEN k % 71 = 1 THEN 'other' ELSE CAST(CASE WHEN k % 71 = 14 THEN k - 1 ELSE k END AS STRING) END AS summary_run, CASE WHEN k % 4 = 0 THEN 'warmup' WHEN k % 71 = 2 THEN 'x' ELSE 'measured' END AS phase, CASE WHEN k % 4 = 0 THEN 'warmup' WHEN k % 71 = 2 THEN 'x' ELSE 'measured' END AS summary_phase,
     CASE WHEN k % 71 = 3 THEN k % 4 = 0 ELSE k % 4 <> 0 END AS scored, CASE WHEN k % 71 = 4 THEN 'invalid' ELSE 'valid' END AS status, k % 71 <> 5 AS valid, k % 71 <> 6 AS qualification, CASE WHEN k % 71 = 7 THEN 4999 ELSE 5000 END AS job_count, 8 AS worker_count, CASE WHEN k % 71 = 8 THEN 255 ELSE 256 END AS worker_slots,
-    CASE WHEN k % 71 = 9 THEN 1 ELSE 5000 END AS canonical_jobs, 5000 AS lease_grants, CASE WHEN k % 71 = 10 THEN 1 ELSE 0 END AS repeats, execution_key AS digest, CASE WHEN k % 71 = 11 THEN 'x' WHEN k % 71 = 12 THEN upper(execution_key) WHEN k % 71 = 13 THEN md5(id) ELSE execution_key END AS recorded_digest FROM {0} WHERE k <= 600"""
+    CASE WHEN k % 71 = 9 THEN 1 ELSE 5000 END AS canonical_jobs, 5000 AS lease_grants, CASE WHEN k % 71 = 10 THEN 1 ELSE 0 END AS repeats, execution_key AS digest, CASE WHEN k % 71 = 11 THEN 'x' WHEN k % 71 = 12 THEN upper(execution_key) WHEN k % 71 = 13 THEN md5(id) ELSE execution_key END AS recorded_digest FROM {0}"""
 query(
     "EV10a_benchmark_runs",
     f"""WITH r AS ({_RUN.format('jobs').replace('STRING', 'VARCHAR')}), v AS (SELECT 'digest of the summary differs' AS message FROM r WHERE NOT regexp_full_match(recorded_digest, '[0-9a-fA-F]{{64}}') OR lower(recorded_digest) <> digest UNION ALL SELECT 'invalid status or phase' FROM r WHERE status <> 'valid' OR phase NOT IN ('warmup', 'measured')
@@ -508,18 +508,18 @@ query("DM3_workflow_records", f"{FLOW_SQL} SELECT outcome, count(DISTINCT reques
 query("DM8_slots", f"SELECT t.tenant_id, max_slots, active_slots, CAST(coalesce(sum(slot_cost), 0) AS BIGINT) AS asked, max_slots = 0 OR active_slots + coalesce(sum(slot_cost), 0) <= max_slots AS fits FROM tenant_limits t LEFT JOIN (SELECT tenant_id, slot_cost FROM ({READY_SQL}) WHERE rank <= 2) r ON r.tenant_id = t.tenant_id GROUP BY t.tenant_id, max_slots, active_slots")(
     lambda x: transitions.reserved(reads.ready_candidates(x.jobs, x.tenant_limits, x.queue_state, now_of(x), 2), x.tenant_limits)
 )
-query("DM12_fail_descendants", "WITH RECURSIVE c AS (SELECT d.job_id AS id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.k % 11 = 0 UNION SELECT d.job_id FROM c JOIN job_dependencies d ON d.depends_on_id = c.id) SELECT j.id FROM jobs j JOIN c ON c.id = j.id WHERE j.state NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER')")(lambda x: transitions.fail_descendants(x.jobs.where("k % 11 = 0").select("id"), x.jobs, x.job_dependencies))
-query("DM15_retry_clones", "SELECT job_id, 'not dead' AS outcome, queue_name, slot_cost FROM (SELECT id AS job_id, queue_name, slot_cost FROM jobs WHERE state = 'SUCCEEDED' AND k % 5 = 0) UNION ALL SELECT d.job_id, CASE WHEN redriven_job_id IS NULL THEN 'cloned' ELSE 'already' END, queue_name, slot_cost FROM dead_letters d JOIN jobs j ON j.id = d.job_id")(
-    lambda x: transitions.redrive(x.jobs.where("state = 'DEAD_LETTER' OR state = 'SUCCEEDED' AND k % 5 = 0").select(F.col("id").alias("job_id"), F.lit(1).alias("request")), x.dead_letters, x.jobs).select("job_id", "outcome", "queue_name", "slot_cost")
+query("DM12_fail_descendants", "WITH RECURSIVE c AS (SELECT d.job_id AS id FROM job_dependencies d JOIN jobs p ON p.id = d.depends_on_id WHERE p.state = 'RUNNING' UNION SELECT d.job_id FROM c JOIN job_dependencies d ON d.depends_on_id = c.id) SELECT j.id FROM jobs j JOIN c ON c.id = j.id WHERE j.state NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTER')")(lambda x: transitions.fail_descendants(x.jobs.where("state = 'RUNNING'").select("id"), x.jobs, x.job_dependencies))
+query("DM15_retry_clones", "SELECT job_id, 'not dead' AS outcome, queue_name, slot_cost FROM (SELECT id AS job_id, queue_name, slot_cost FROM jobs WHERE state = 'SUCCEEDED') UNION ALL SELECT d.job_id, CASE WHEN redriven_job_id IS NULL THEN 'cloned' ELSE 'already' END, queue_name, slot_cost FROM dead_letters d JOIN jobs j ON j.id = d.job_id")(
+    lambda x: transitions.redrive(x.jobs.where("state IN ('DEAD_LETTER', 'SUCCEEDED')").select(F.col("id").alias("job_id"), F.lit(1).alias("request")), x.dead_letters, x.jobs).select("job_id", "outcome", "queue_name", "slot_cost")
 )
-_ACT = "SELECT tenant_id, 'cancel' AS action, concat('key-', CAST(k AS STRING)) AS idempotency_key, 'me' AS actor, 'job' AS target_type, id AS target_id, execution_key AS digest FROM {0} WHERE k % 4 = 0"
-query("DM16_record_actions", f"SELECT 'audit-' || substr({blob('tenant_id', 'action', 'idempotency_key')}, 1, 24) AS id, target_id, CASE k % 3 WHEN 0 THEN 'recorded' WHEN 1 THEN 'replayed' ELSE 'conflict' END AS outcome FROM (SELECT tenant_id, 'cancel' AS action, 'key-' || k AS idempotency_key, id AS target_id, k FROM jobs WHERE k % 4 = 0)")(
-    lambda x: transitions.record_actions(x.spark.sql(_ACT.format("{jobs}"), jobs=x.jobs), x.jobs.where("k % 4 = 0 AND k % 3 <> 0").select("tenant_id", F.lit("cancel").alias("action"), F.concat(F.lit("key-"), F.col("k").cast("string")).alias("idempotency_key"), F.when(F.col("k") % 3 == 1, F.col("execution_key")).otherwise("x").alias("digest")), 1).select("id", "target_id", "outcome")
+_ACT = "SELECT tenant_id, 'cancel' AS action, concat('key-', CAST(k AS STRING)) AS idempotency_key, 'me' AS actor, 'job' AS target_type, id AS target_id, execution_key AS digest FROM {0}"
+query("DM16_record_actions", f"SELECT 'audit-' || substr({blob('tenant_id', 'action', 'idempotency_key')}, 1, 24) AS id, target_id, CASE k % 3 WHEN 0 THEN 'recorded' WHEN 1 THEN 'replayed' ELSE 'conflict' END AS outcome FROM (SELECT tenant_id, 'cancel' AS action, 'key-' || k AS idempotency_key, id AS target_id, k FROM jobs)")(
+    lambda x: transitions.record_actions(x.spark.sql(_ACT.format("{jobs}"), jobs=x.jobs), x.jobs.where("k % 3 <> 0").select("tenant_id", F.lit("cancel").alias("action"), F.concat(F.lit("key-"), F.col("k").cast("string")).alias("idempotency_key"), F.when(F.col("k") % 3 == 1, F.col("execution_key")).otherwise("x").alias("digest")), 1).select("id", "target_id", "outcome")
 )
 query("DM18_create_triggers", "SELECT tenant_id || '/' || queue_name AS id, CASE weight WHEN 1 THEN 'created' WHEN 2 THEN 'same' ELSE 'conflict' END AS outcome FROM queue_state")(
     lambda x: transitions.create_triggers(triggers_of(x), x.queue_state.where("weight > 1").select(F.concat_ws("/", "tenant_id", "queue_name").alias("id"), F.when(F.col("weight") == 2, "@hourly").otherwise("@daily").alias("schedule"))).select("id", "outcome")
 )
-query("DM19_save_dag", "SELECT id AS job_id, CASE WHEN tenant_id <> 'nation-7' THEN 'missing job' END AS message FROM jobs WHERE k % 5 = 0")(lambda x: transitions.save_dag(x.jobs.where("k % 5 = 0").select(F.col("id").alias("job_id"), F.concat(F.lit("node-"), F.col("k").cast("string")).alias("node_key")), x.jobs, TENANT, "run").select("job_id", "message"))
+query("DM19_save_dag", "SELECT id AS job_id, CASE WHEN tenant_id <> 'nation-7' THEN 'missing job' END AS message FROM jobs")(lambda x: transitions.save_dag(x.jobs.select(F.col("id").alias("job_id"), F.concat(F.lit("node-"), F.col("k").cast("string")).alias("node_key")), x.jobs, TENANT, "run").select("job_id", "message"))
 query("DM20_next_counter", "SELECT greatest(max(ready_seq), 17) AS value FROM jobs")(lambda x: transitions.next_counter(x.jobs, "ready_seq", 17))
 query("STR7_promotion", f"SELECT id, 1000 + row_number() OVER (ORDER BY available_at, id) AS ready_seq FROM ({DUE_SQL.replace('LIMIT 50', 'LIMIT 500')})")(lambda x: transitions.promote(x.jobs, x.job_dependencies, 1000, now_of(x), 500))
 
@@ -615,11 +615,10 @@ query(
 
 
 def slid(x: Ledger) -> DataFrame:
-    """The sliding windows at whole hours."""
     own = observed(x).select("stage", F.timestamp_millis(F.call_function("div", F.col("at_ns"), F.lit(1_000_000))).alias("at"), "ns")
-    last = own.agg(F.max("at").alias("m")).select(F.lit("end").alias("stage"), (F.col("m") + F.expr("INTERVAL 2 DAYS")).alias("at"), F.lit(0).cast("long").alias("ns"))
+    last = own.agg(F.max("at").alias("m")).select(F.lit("end").alias("stage"), (F.col("m") + F.expr("INTERVAL 2 DAYS")).alias("at"), F.lit(0).cast("long").alias("ns"))  # moves the watermark past all others
     done = streamed(x, streams.sliding(as_files(x, own.unionByName(last), 1)), "slid")
-    return done.where("stage <> 'end'").select("stage", F.unix_millis("until").alias("until_ms"), "good", "n").where(F.col("until_ms") % 3_600_000 == 0)
+    return done.where("stage <> 'end'").select("stage", F.unix_millis("until").alias("until_ms"), "good", "n")
 
 
-query("STR9_sliding_stream", f"WITH {_o}, h AS (SELECT stage, (at_ns // 1000000 // 3600000 + 1) * 3600000 AS until_ms, at_ns // 1000000 AS ms, ns FROM o) SELECT stage, until_ms, count(*) FILTER (WHERE ns <= 5000000000) AS good, count(*) AS n FROM h WHERE ms >= until_ms - 1800000 GROUP BY stage, until_ms")(slid)
+query("STR9_sliding_stream", f"WITH {_o}, w AS (SELECT stage, (at_ns // {slo.MINUTE} + i) * 60000 AS until_ms, ns FROM o, range(1, 31) t(i)) SELECT stage, until_ms, count(*) FILTER (WHERE ns <= 5000000000) AS good, count(*) AS n FROM w GROUP BY stage, until_ms")(slid)
