@@ -24,7 +24,7 @@ SHARD, MANY, LARGE = 1 << 17, 1 << 12, 1 << 22
 #: Bits that tell columns apart, at least; bits of a text's place in its batch.
 TOKEN, PLACE = 44, (BATCH_ROWS - 1).bit_length()
 #: Characters of a batch, and hashes that a shard's task handles at a time.
-BATCH, TOGETHER = 8 << 20, 1 << 19
+BATCH, TOGETHER = 2 << 20, 1 << 19
 #: Steps of an octave in which counts are told.
 STEPS = 8
 U = np.uint64
