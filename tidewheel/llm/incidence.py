@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import BATCH_ROWS, groups, tidy
 
 #: Hashes a shard should see, up to MANY shards, and beyond these, so that a batch's rows for its shards don't get too small.
-SHARD, MANY, LARGE = 1 << 19, 1 << 12, 1 << 22
+SHARD, MANY, LARGE = 1 << 20, 1 << 12, 1 << 22
 #: Bits that tell columns apart, at least; bits of a text's place in its batch.
 TOKEN, PLACE = 44, (BATCH_ROWS - 1).bit_length()
 #: Characters of a batch, and hashes that a shard's task handles at a time.
